@@ -66,23 +66,30 @@ def _narrow(values: DataFrame, bounds: list, ranks: list[int]) -> dict:
             out[r] = bounds[lo]
         else:
             bands.setdefault((lo, hi), []).append(r)
+    small = F.lit(False)
     for (lo, hi), inside in bands.items():
         # The rank lies strictly above the lower bound.
-        below = counts[f"upto{lo}"]
-        band = values.where((F.col("v") > F.lit(bounds[lo])) & (F.col("v") <= F.lit(bounds[hi])))
-        got = _select(band, counts[f"upto{hi}"] - below, [r - below for r in inside])
-        out.update({r: got[r - below] for r in inside})
+        below, upto = counts[f"upto{lo}"], counts[f"upto{hi}"]
+        within = (F.col("v") > F.lit(bounds[lo])) & (F.col("v") <= F.lit(bounds[hi]))
+        if upto - below <= _BAND_ROWS:
+            small = small | within
+        else:
+            got = _select(values.where(within), upto - below, [r - below for r in inside])
+            out.update({r: got[r - below] for r in inside})
+    if len(out) < len(ranks):
+        # All narrow bands are read in one scan; their sizes are known to be small.
+        listed = [row["v"] for row in values.where(small).collect()]
+        for (lo, hi), inside in bands.items():
+            if inside[0] not in out:
+                band = sorted(v for v in listed if bounds[lo] < v <= bounds[hi])
+                out.update({r: band[r - counts[f"upto{lo}"]] for r in inside})
     return out
 
 
 def _from_counts(values: DataFrame, ranks: list[int]) -> dict:
-    """At most ``_BAND_ROWS`` rows: list the distinct values in order."""
-    out, seen, todo = {}, 0, list(ranks)
-    for row in values.groupBy("v").count().orderBy("v").collect():
-        seen += row["count"]
-        while todo and todo[0] < seen:
-            out[todo.pop(0)] = row["v"]
-    return out
+    """At most ``_BAND_ROWS`` rows: list them in order."""
+    listed = sorted(row["v"] for row in values.collect())
+    return {r: listed[r] for r in ranks}
 
 
 def count_and_quantiles(df: DataFrame, col: str, ps: list[float]) -> tuple[int, list[float | None]]:
