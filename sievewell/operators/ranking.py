@@ -131,21 +131,33 @@ def hash_rank_key(seed: int, *cols) -> Column:
 
 
 def cut_points(df: DataFrame, order_cols: list[str], ranks: list[int]) -> list[tuple]:
-    """Composite keys of the rows at the given 0-based ranks under ``order_cols``.
+    """Keys of the rows at the given 0-based ranks under ``order_cols``, for :func:`before`.
 
     The first column is cut exactly; where its value is tied, the search goes on
-    among the tied rows with the next column. The last column must make rows
-    distinct for the cut to fall between two rows.
+    among the tied rows with the next column. All columns but the last must be
+    numbers or times; the last must make rows distinct.
     """
     first, rest = order_cols[0], order_cols[1:]
+    if not ranks:
+        return []
     heads = values_at_ranks(df, first, ranks)
     if not rest:
         return [(h,) for h in heads]
+    counts = df.agg(
+        *[F.count_if(F.col(first) < F.lit(h)).alias(f"b{i}") for i, h in enumerate(heads)],
+        *[F.count_if(F.col(first) == F.lit(h)).alias(f"t{i}") for i, h in enumerate(heads)],
+    ).first()
     out = []
-    for rank, head in zip(ranks, heads):
-        below = df.where(F.col(first) < F.lit(head)).count()
-        tied = df.where(F.col(first) == F.lit(head))
-        out.append((head, *cut_points(tied, rest, [rank - below])[0]))
+    for i, (rank, head) in enumerate(zip(ranks, heads)):
+        inside, n = rank - counts[f"b{i}"], counts[f"t{i}"]
+        if n == 1:
+            out.append((head,))
+            continue
+        tied = df.where(F.col(first) == F.lit(head)).select(*rest)
+        if n <= _BAND_ROWS:
+            out.append((head, *sorted(tuple(r) for r in tied.collect())[inside]))
+        else:
+            out.append((head, *cut_points(tied, rest, [inside])[0]))
     return out
 
 
