@@ -189,67 +189,99 @@ def decide(
     blocked are zero. All steps are row-wise projections.
     """
     flag = lambda v: F.lit(v) if isinstance(v, bool) else v
-    enforce_g, enforce_c = flag(check_grounding), flag(check_coverage)
     ev = F.coalesce(F.col(evidence), F.array().cast(df.schema[evidence].dataType))
-    d = df.withColumn("_v", parse_answer(F.col(content)))
-    d = d.withColumn("_issues", schema_issues(F.col("_v")))
-    d = d.withColumn("_answer", F.when(F.size("_issues") == 0, typed_answer(F.col("_v"))))
-    d = d.withColumns(
-        {
-            "_a": tx.tokenize(answer_text(F.col("_answer"))),
-            "_e": tx.tokenize(evidence_text(ev)),
-            "_any": F.size(ev) > 0,
-        }
+    limits = (grounding, coverage, flag(check_grounding), flag(check_coverage))
+    # One expression with bound intermediate values: a later filter on the
+    # decision is pushed below it as a whole and does not multiply the parsing.
+    result = tx.bind(
+        parse_answer(F.col(content)),
+        lambda v: tx.bind(
+            schema_issues(v),
+            lambda issues: tx.bind(
+                F.when(F.size(issues) == 0, typed_answer(v)),
+                lambda answer: tx.bind(
+                    _scores(answer, ev),
+                    lambda s: tx.bind(
+                        _rule_tag(v, issues, s, *limits), lambda tag: _outcome(tag, issues, answer, s, *limits)
+                    ),
+                ),
+            ),
+        ),
     )
-    live = F.col("_answer").isNotNull() & F.col("_any")
-    d = d.withColumns(
-        {
-            "_g": F.when(live, grounding_score(F.col("_a"), F.col("_e"))).otherwise(F.lit(0.0)),
-            "_c": F.when(live, coverage_counts(F.col("_a"), F.col("_e"))),
-        }
+    d = df.withColumn("_result", result)
+    return d.select(*[c for c in df.columns if c not in _DECISION], *[F.col(f"_result.{c}").alias(c) for c in _DECISION])
+
+
+_DECISION = [
+    "decision", "rule_tag", "grounding_score", "coverage_ratio", "messages",
+    "validated_output", "safe_refusal_message",
+]
+
+
+def _scores(answer: Column, evidence: Column) -> Column:
+    """struct(any, g, covered, terms, r): is there evidence, grounding, coverage counts and ratio."""
+    some = F.size(evidence) > 0
+
+    def counted(a: Column, e: Column) -> Column:
+        return tx.bind(
+            coverage_counts(a, e),
+            lambda c: F.struct(
+                F.lit(True).alias("any"),
+                grounding_score(a, e).alias("g"),
+                c["covered"].alias("covered"),
+                c["terms"].alias("terms"),
+                F.when(c["terms"] > 0, c["covered"] / c["terms"]).otherwise(F.lit(0.0)).alias("r"),
+            ),
+        )
+
+    nothing = F.struct(
+        some.alias("any"), F.lit(0.0).alias("g"), F.lit(0).alias("covered"), F.lit(0).alias("terms"), F.lit(0.0).alias("r")
     )
-    ratio = F.when(F.col("_c.terms") > 0, F.col("_c.covered") / F.col("_c.terms")).otherwise(F.lit(0.0))
-    d = d.withColumn("_r", F.coalesce(ratio, F.lit(0.0)))
-    tag = (
-        F.when(F.col("_v").isNull(), "JSON_INVALID")
-        .when(F.size("_issues") > 0, "SCHEMA_INVALID")
-        .when(enforce_g & ~((F.col("_g") >= grounding) & F.col("_any")), "LOW_GROUNDING")
-        .when(enforce_c & ~((F.col("_r") >= coverage) & (F.coalesce(F.col("_c.terms"), F.lit(0)) > 0)), "LOW_COVERAGE")
+    live = tx.bind(
+        tx.tokenize(answer_text(answer)),
+        lambda a: tx.bind(tx.tokenize(evidence_text(evidence)), lambda e: counted(a, e)),
     )
-    d = d.withColumn("rule_tag", tag)
-    g_msg = F.when(F.col("_any"), F.format_string(f"GROUNDING_SCORE=%.3f (threshold={grounding})", F.col("_g"))).otherwise(
-        F.lit("GROUNDING_SCORE=0.000 (no evidence)")
+    return F.when(answer.isNotNull() & some, live).otherwise(nothing)
+
+
+def _rule_tag(v, issues, s, grounding, coverage, enforce_g, enforce_c) -> Column:
+    return (
+        F.when(v.isNull(), "JSON_INVALID")
+        .when(F.size(issues) > 0, "SCHEMA_INVALID")
+        .when(enforce_g & ~(s["any"] & (s["g"] >= grounding)), "LOW_GROUNDING")
+        .when(enforce_c & ~((s["terms"] > 0) & (s["r"] >= coverage)), "LOW_COVERAGE")
     )
+
+
+def _outcome(tag, issues, answer, s, grounding, coverage, enforce_g, enforce_c) -> Column:
+    g_msg = F.when(
+        s["any"], F.format_string(f"GROUNDING_SCORE=%.3f (threshold={grounding})", s["g"])
+    ).otherwise(F.lit("GROUNDING_SCORE=0.000 (no evidence)"))
     c_msg = (
-        F.when(~F.col("_any"), F.lit("COVERAGE_RATIO=0.000 (no evidence)"))
-        .when(F.col("_c.terms") == 0, F.lit("COVERAGE_RATIO=0.000 (no key terms in output)"))
-        .otherwise(
-            F.format_string(
-                "COVERAGE_RATIO=%.3f (%d/%d terms covered)", F.col("_r"), F.col("_c.covered"), F.col("_c.terms")
-            )
-        )
+        F.when(~s["any"], F.lit("COVERAGE_RATIO=0.000 (no evidence)"))
+        .when(s["terms"] == 0, F.lit("COVERAGE_RATIO=0.000 (no key terms in output)"))
+        .otherwise(F.format_string("COVERAGE_RATIO=%.3f (%d/%d terms covered)", s["r"], s["covered"], s["terms"]))
     )
     noted = lambda enforced, msg: F.when(enforced, msg).otherwise(F.concat(F.lit("[not enforced] "), msg))
     passed = F.array(F.lit("JSON_PARSE: OK"), F.lit("SCHEMA_CHECK: OK"))
     messages = (
-        F.when(F.col("rule_tag") == "JSON_INVALID", F.array(F.lit("JSON parse failed")))
-        .when(F.col("rule_tag") == "SCHEMA_INVALID", F.col("_issues"))
-        .when(F.col("rule_tag") == "LOW_GROUNDING", F.concat(passed, F.array(g_msg)))
-        .when(F.col("rule_tag") == "LOW_COVERAGE", F.concat(passed, F.array(noted(enforce_g, g_msg), c_msg)))
+        F.when(tag == "JSON_INVALID", F.array(F.lit("JSON parse failed")))
+        .when(tag == "SCHEMA_INVALID", issues)
+        .when(tag == "LOW_GROUNDING", F.concat(passed, F.array(g_msg)))
+        .when(tag == "LOW_COVERAGE", F.concat(passed, F.array(noted(enforce_g, g_msg), c_msg)))
         .otherwise(F.concat(passed, F.array(noted(enforce_g, g_msg), noted(enforce_c, c_msg))))
     )
-    early = F.coalesce(F.col("rule_tag").isin("JSON_INVALID", "SCHEMA_INVALID"), F.lit(False))
-    no_coverage = early | F.coalesce(F.col("rule_tag") == "LOW_GROUNDING", F.lit(False))
-    return d.withColumns(
-        {
-            "decision": F.when(F.col("rule_tag").isNull(), "ALLOW").otherwise("BLOCK"),
-            "grounding_score": F.when(early, F.lit(0.0)).otherwise(F.col("_g")),
-            "coverage_ratio": F.when(no_coverage, F.lit(0.0)).otherwise(F.col("_r")),
-            "messages": messages,
-            "validated_output": F.when(F.col("rule_tag").isNull(), F.col("_answer")),
-            "safe_refusal_message": F.when(F.col("rule_tag").isNotNull(), F.lit(P.REFUSAL_DEFAULT)),
-        }
-    ).drop("_v", "_issues", "_answer", "_a", "_e", "_any", "_g", "_c", "_r")
+    early = F.coalesce(tag.isin("JSON_INVALID", "SCHEMA_INVALID"), F.lit(False))
+    no_coverage = early | F.coalesce(tag == "LOW_GROUNDING", F.lit(False))
+    return F.struct(
+        F.when(tag.isNull(), "ALLOW").otherwise("BLOCK").alias("decision"),
+        tag.alias("rule_tag"),
+        F.when(early, F.lit(0.0)).otherwise(s["g"]).alias("grounding_score"),
+        F.when(no_coverage, F.lit(0.0)).otherwise(s["r"]).alias("coverage_ratio"),
+        messages.alias("messages"),
+        F.when(tag.isNull(), answer).alias("validated_output"),
+        F.when(tag.isNotNull(), F.lit(P.REFUSAL_DEFAULT)).alias("safe_refusal_message"),
+    )
 
 
 # --- rendering ------------------------------------------------------------------------
@@ -337,10 +369,7 @@ def is_retriable(df_mode: Column, decision: Column, rule_tag: Column) -> Column:
     )
 
 
-_RESULT = [
-    "decision", "rule_tag", "grounding_score", "coverage_ratio", "messages",
-    "validated_output", "safe_refusal_message", "content", "evidence",
-]
+_RESULT = [*_DECISION, "content", "evidence"]
 
 
 def resolve_passes(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -202,3 +202,17 @@ def running_totals(df: DataFrame, order_col: str, totals: dict[str, Column], blo
     for n in totals:
         out = out.withColumn(n, F.sum(n).over(within) + F.col(f"_off_{n}"))
     return out.drop("_block", *[f"_off_{n}" for n in totals])
+
+
+def hash_row_numbers(df: DataFrame, id_col: str, seed: int, bits: int = 12) -> DataFrame:
+    """Number rows from 0 in the order of a seeded hash of the id.
+
+    Rows are numbered within 2^bits hash buckets, and the sizes of the buckets
+    before are added from a broadcast of at most that many rows.
+    """
+    keyed = df.withColumn("_h", hash_rank_key(seed, id_col)).withColumn("_b", F.shiftright("_h", 60 - bits))
+    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    earlier = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    within = F.row_number().over(W.partitionBy("_b").orderBy("_h", id_col)) - 1
+    return keyed.join(F.broadcast(offsets), "_b").withColumn("row_number", within + F.col("_off")).drop("_h", "_b", "_off")

@@ -129,3 +129,151 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query")
     )
     return passages.unionByName(numbered)
+
+
+# --- answers -----------------------------------------------------------------------
+
+# Question and answer turns with an answer object made from them. Every answer is
+# kept; the turn number decides which defect it gets.
+PAIRS_SQL = """pairs AS (SELECT q.conv_id, q.turn, q.conv_id * 7 + q.turn AS n, q.text AS question, a.text AS answer
+  FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1
+  WHERE q.role = 'user' AND a.role = 'assistant')"""
+
+ANSWERS_SQL = f"""{PAIRS_SQL},
+answers AS (SELECT conv_id, turn, n, question, answer,
+  CASE WHEN n % 11 = 0 THEN '{{' || j WHEN n % 17 = 0 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN n % 29 = 0 THEN '[' || j || ']' ELSE j END AS content,
+  CASE WHEN n % 31 = 0 THEN [] WHEN n % 3 = 0 THEN [answer, 'unrelated words'] WHEN n % 3 = 1 THEN [question, answer[1:200]] ELSE ['nothing of the kind'] END AS ev
+  FROM (SELECT *, CASE
+    WHEN n % 13 = 0 THEN json_object('summary', answer, 'primary_indications', ['pain relief', 'fever'], 'mechanism_summary', 'Not specified', 'tags', ['a'])::VARCHAR
+    WHEN n % 19 = 0 THEN json_object('summary', answer, 'mechanism_summary', 'Not specified', 'safety_notes', question, 'tags', NULL)::VARCHAR
+    WHEN n % 23 = 0 THEN json_object('summary', 5, 'mechanism_summary', 'Not specified', 'safety_notes', question, 'tags', ['a'])::VARCHAR
+    WHEN n % 37 = 0 THEN json_object('direct_answer', 'Twice a day.', 'summary', answer, 'primary_indications', ['pain relief'], 'mechanism_summary', 'n/a', 'safety_notes', 'None', 'tags', ['a'])::VARCHAR
+    ELSE json_object('summary', answer, 'primary_indications', ['pain relief', ' unknown ', 'fever'], 'mechanism_summary', 'Not specified', 'safety_notes', 'Ask first.', 'tags', ['a', 'b', 'c'])::VARCHAR END AS j FROM pairs))"""
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user turn and the assistant turn that follows it."""
+    c = table(spark, sf_dir, "conversations")
+    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return q.join(a, ["conv_id", "turn"]).select(
+        "conv_id", "turn", (F.col("conv_id") * 7 + F.col("turn")).alias("n"), "question", "answer"
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer objects as JSON text with evidence arrays; see ``ANSWERS_SQL``."""
+    n = F.col("n")
+    strings = lambda *v: F.array(*[F.lit(x) for x in v])
+    part = lambda **kw: F.to_json(F.struct(*[c.alias(k) for k, c in kw.items()]), {"ignoreNullFields": "false"})
+    unsaid, answer, question = F.lit("Not specified"), F.col("answer"), F.col("question")
+    j = (
+        F.when(n % 13 == 0, part(summary=answer, primary_indications=strings("pain relief", "fever"),
+                                 mechanism_summary=unsaid, tags=strings("a")))
+        .when(n % 19 == 0, part(summary=answer, mechanism_summary=unsaid, safety_notes=question,
+                                tags=F.lit(None).cast("array<string>")))
+        .when(n % 23 == 0, part(summary=F.lit(5), mechanism_summary=unsaid, safety_notes=question, tags=strings("a")))
+        .when(n % 37 == 0, part(direct_answer=F.lit("Twice a day."), summary=answer,
+                                primary_indications=strings("pain relief"), mechanism_summary=F.lit("n/a"),
+                                safety_notes=F.lit("None"), tags=strings("a")))
+        .otherwise(part(summary=answer, primary_indications=strings("pain relief", " unknown ", "fever"),
+                        mechanism_summary=unsaid, safety_notes=F.lit("Ask first."), tags=strings("a", "b", "c")))
+    )
+    content = (
+        F.when(n % 11 == 0, F.concat(F.lit("{"), j))
+        .when(n % 17 == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
+        .when(n % 29 == 0, F.concat(F.lit("["), j, F.lit("]")))
+        .otherwise(j)
+    )
+    texts = (
+        F.when(n % 31 == 0, F.array().cast("array<string>"))
+        .when(n % 3 == 0, F.array(answer, F.lit("unrelated words")))
+        .when(n % 3 == 1, F.array(question, F.substring("answer", 1, 200)))
+        .otherwise(strings("nothing of the kind"))
+    )
+    return turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", "n", "question", "answer", content.alias("content"),
+        evidence_of(texts, F.col("conv_id")).alias("evidence"),
+    )
+
+
+def evidence_of(texts, owner):
+    """Evidence structs around an array of texts."""
+    return F.transform(
+        texts,
+        lambda t, i: F.struct(
+            owner.cast("string").alias("drug_id"),
+            F.lit("turn").alias("drug_name"),
+            F.lit("description").alias("field_name"),
+            i.alias("chunk_idx"),
+            t.alias("chunk_text"),
+            (F.lit(1.0) / (i + 1)).alias("bm25_score"),
+        ),
+    )
+
+
+EVAL_SQL = """ev AS (SELECT d.doc_id, quality = 1 AS should_allow, (length(text) % 101) / 100.0::DOUBLE AS grounding_score,
+  (length(text) % 53) / 53.0::DOUBLE AS coverage_ratio, 20 + n_chars / 100.0::DOUBLE AS latency_ms,
+  CASE doc_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'rag' ELSE 'self_correcting' END AS model_mode,
+  CASE WHEN d.doc_id % 11 = 0 THEN '{' ELSE '' END || CASE WHEN d.doc_id % 13 = 0 THEN json_object('summary', source)::VARCHAR
+    ELSE json_object('summary', source, 'mechanism_summary', lang, 'safety_notes', '')::VARCHAR END AS content
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+evals AS (SELECT *, CASE WHEN grounding_score < 0.45 THEN 'LOW_GROUNDING' WHEN coverage_ratio < 0.3 THEN 'LOW_COVERAGE' END AS rule_tag,
+  CASE WHEN grounding_score >= 0.45 AND coverage_ratio >= 0.3 THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM ev)"""
+
+
+def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inference records: labelled documents with scores from their text length."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    g = (F.length("text") % 101) / 100.0
+    c = (F.length("text") % 53) / 53.0
+    body = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))
+    content = F.concat(
+        F.when(F.col("doc_id") % 11 == 0, "{").otherwise(""),
+        F.when(F.col("doc_id") % 13 == 0, body(summary=F.col("source"))).otherwise(
+            body(summary=F.col("source"), mechanism_summary=F.col("lang"), safety_notes=F.lit(""))
+        ),
+    )
+    mode = (
+        F.when(F.col("doc_id") % 3 == 0, "baseline").when(F.col("doc_id") % 3 == 1, "rag").otherwise("self_correcting")
+    )
+    d = d.select(
+        "doc_id",
+        (F.col("quality") == 1).alias("should_allow"),
+        g.alias("grounding_score"),
+        c.alias("coverage_ratio"),
+        (20 + F.col("n_chars") / 100.0).alias("latency_ms"),
+        mode.alias("model_mode"),
+        content.alias("content"),
+    )
+    low_g, low_c = F.col("grounding_score") < 0.45, F.col("coverage_ratio") < 0.3
+    return d.withColumns(
+        {
+            "rule_tag": F.when(low_g, "LOW_GROUNDING").when(low_c, "LOW_COVERAGE"),
+            "decision": F.when(~low_g & ~low_c, "ALLOW").otherwise("BLOCK"),
+        }
+    )
+
+
+SCOPE_PHRASES = [
+    "What is the mechanism of", "Tell me about the drug", "How much of the dose should I take of",
+    "Do I have an infection, is this drug", "Please write me a prescription for the drug",
+    "Can I take aspirin with my", "What is a lethal dose of", "What is the weather in", "What are the side effects of",
+    "Should I stop taking the medicine", "Which food interactions has", "What is the half-life of the tablet",
+    "How does it work in the body:", "What is ibuprofen used for, says",
+]
+
+SCOPE_SQL = (
+    "asked AS (SELECT doc_id, (["
+    + ", ".join(f"'{p}'" for p in SCOPE_PHRASES)
+    + f"])[doc_id % {len(SCOPE_PHRASES)} + 1] || ' ' || source || '?' AS query FROM documents)"
+)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per document: a phrase chosen by the id, about the document's source."""
+    phrases = F.array(*[F.lit(p) for p in SCOPE_PHRASES])
+    chosen = F.get(phrases, (F.col("doc_id") % len(SCOPE_PHRASES)).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(chosen, F.lit(" "), "source", F.lit("?")).alias("query")
+    )

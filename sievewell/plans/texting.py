@@ -6,7 +6,15 @@ from sievewell.functions import text as tx
 from sievewell.operators import chunks as ch
 from sievewell.operators import features as ft
 from sievewell.plans.base import plan, table
-from sievewell.plans.frames import SILVER_SQL, silver, sql_clean_markup, sql_tokenize, sql_words
+from sievewell.plans.frames import (
+    PAIRS_SQL,
+    SILVER_SQL,
+    silver,
+    sql_clean_markup,
+    sql_tokenize,
+    sql_words,
+    turn_pairs,
+)
 
 _PAGES_CLEAN = sql_clean_markup("html")
 
@@ -167,19 +175,6 @@ def key_terms(spark, sf):
     )
 
 
-def turn_pairs(spark, sf):
-    """A user turn and the assistant turn that follows it."""
-    c = table(spark, sf, "conversations")
-    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return q.join(a, ["conv_id", "turn"])
-
-
-PAIRS_SQL = """pairs AS (SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer
-  FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1
-  WHERE q.role = 'user' AND a.role = 'assistant')"""
-
-
 @plan(
     "turn_jaccard",
     "T-16 U4",
