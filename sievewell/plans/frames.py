@@ -214,7 +214,7 @@ def evidence_of(texts, owner):
 
 EVAL_SQL = """ev AS (SELECT d.doc_id, quality = 1 AS should_allow, (length(text) % 101) / 100.0::DOUBLE AS grounding_score,
   (length(text) % 53) / 53.0::DOUBLE AS coverage_ratio, 20 + n_chars / 100.0::DOUBLE AS latency_ms,
-  CASE doc_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'rag' ELSE 'self_correcting' END AS model_mode,
+  CASE d.doc_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'rag' ELSE 'self_correcting' END AS model_mode,
   CASE WHEN d.doc_id % 11 = 0 THEN '{' ELSE '' END || CASE WHEN d.doc_id % 13 = 0 THEN json_object('summary', source)::VARCHAR
     ELSE json_object('summary', source, 'mechanism_summary', lang, 'safety_notes', '')::VARCHAR END AS content
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
