@@ -1 +1,72 @@
+"""Streaming queries (S12, S13, K8, K9, X)."""
 
+from functools import cache
+
+from pyspark.sql import functions as F
+
+from sievewell.plans.base import plan
+from sievewell.plans.frames import MESSAGES_SQL, messages
+from sievewell.session import work_dir
+from sievewell.streaming import streams as sm
+
+CLEANED_SQL = f"""m AS ({MESSAGES_SQL}), j AS (SELECT event_id, CASE WHEN json_valid(value) THEN value::JSON END AS v FROM m),
+cleaned AS (SELECT v->>'$.id' AS id, CASE WHEN json_exists(v, '$.source') THEN v->>'$.source' ELSE 'unknown' END AS source, v->>'$.text' AS text FROM j WHERE json_type(v, '$.text') = 'VARCHAR')"""
+
+
+@cache
+def _topic(app_id: str, spark, sf: str) -> str:
+    """The messages as a folder of text files, the stand-in for a topic."""
+    path = work_dir(spark, "topic")
+    messages(spark, sf).repartition(6, "event_id").select("value").write.text(path)
+    return path
+
+
+def topic(spark, sf):
+    return _topic(spark.sparkContext.applicationId, spark, sf)
+
+
+@plan(
+    "stream_to_partitioned_parquet",
+    "S12 K8 X1",
+    f"""WITH m AS ({MESSAGES_SQL}), j AS (SELECT CASE WHEN json_valid(value) THEN value::JSON END AS v FROM m)
+    SELECT '2025-01-01' AS dt, v->>'$.source' AS source, count(*) AS row_count FROM j WHERE v IS NOT NULL GROUP BY 1, 2""",
+)
+def stream_to_partitioned_parquet(spark, sf):
+    out, check = work_dir(spark, "stream-out"), work_dir(spark, "stream-check")
+    parsed = sm.json_stream(spark, "text", sm.EVENT_SCHEMA, path=topic(spark, sf), maxFilesPerTrigger=2)
+    landed = sm.with_landing_date(parsed.where(F.col("text").isNotNull() | F.col("source").isNotNull()), F.lit("2025-01-01"))
+    sm.start_sink(landed, out, check, ["dt"]).awaitTermination()
+    return spark.read.parquet(out).where("text IS NULL OR text <> 'cut'").groupBy(F.col("dt").cast("string").alias("dt"), "source").agg(F.count("*").alias("row_count"))
+
+
+@plan("stream_idempotent_sink", "K9 X2", f"WITH m AS ({MESSAGES_SQL}) SELECT count(*) AS row_count, count(DISTINCT value) AS messages FROM m")
+def stream_idempotent_sink(spark, sf):
+    out, check = work_dir(spark, "idem-out"), work_dir(spark, "idem-check")
+    raw = sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=2)
+    for _ in range(2):  # the second start finds nothing to do
+        sm.start_idempotent_sink(raw, out, check).awaitTermination()
+    return spark.read.parquet(out).agg(F.count("*").alias("row_count"), F.countDistinct("value").alias("messages"))
+
+
+@plan("stream_landed_envelopes", "S13", f"WITH m AS ({MESSAGES_SQL}) SELECT value, '2025-01-01T00:00:00' AS ts FROM m")
+def stream_landed_envelopes(spark, sf):
+    out, check = work_dir(spark, "landed"), work_dir(spark, "landed-check")
+    raw = sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=1)
+    sm.land_messages(sm.envelope(raw, F.lit("2025-01-01T00:00:00")), out, check).awaitTermination()
+    return spark.read.schema("value string, ts string").json(out)
+
+
+@plan("stream_two_hops", "X3 P10 S13", f"WITH {CLEANED_SQL} SELECT id, source, text, length(text) AS text_length FROM cleaned")
+def stream_two_hops(spark, sf):
+    raw_path, clean_path, check = work_dir(spark, "hop1"), work_dir(spark, "hop2"), work_dir(spark, "hops-check")
+    raw = sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=2)
+    sm.two_hop(spark, raw, raw_path, clean_path, check, F.lit("2025-01-01T00:00:00"))
+    return spark.read.schema("id string, source string, text string, text_length bigint").json(clean_path)
+
+
+@plan("stream_progress", "X4", "SELECT count(*) AS input_rows FROM events")
+def stream_progress(spark, sf):
+    out, check = work_dir(spark, "progress-out"), work_dir(spark, "progress-check")
+    q = sm.start_sink(sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=3), out, check)
+    q.awaitTermination()
+    return sm.progress_rows(q).agg(F.sum("input_rows").alias("input_rows"))
