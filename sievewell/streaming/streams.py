@@ -99,7 +99,7 @@ def two_hop(spark: SparkSession, raw: DataFrame, raw_path: str, clean_path: str,
 
 def progress_rows(query: StreamingQuery) -> DataFrame:
     """(batch_id, input_rows) of the recent micro-batches, newest state as kept by the query."""
-    spark = query.sparkSession
+    spark = SparkSession.active()
     rows = [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
     return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint")
 
@@ -107,6 +107,6 @@ def progress_rows(query: StreamingQuery) -> DataFrame:
 def status_row(query: StreamingQuery) -> DataFrame:
     """One row: is the query active, its last message, how many recent batches had input."""
     recent = sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
-    return query.sparkSession.createDataFrame(
+    return SparkSession.active().createDataFrame(
         [(query.isActive, query.status["message"], recent)], "active boolean, message string, recent_batches int"
     )
