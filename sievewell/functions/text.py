@@ -143,6 +143,29 @@ def key_terms(tokens: Column, k: int = P.KEY_TERMS) -> Column:
     return F.array_distinct(F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["t"]))
 
 
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a token array: sorted, then measured run by run.
+
+    Counting inside the row needs neither a shuffle nor a hash table.
+    """
+
+    def runs(s: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bind(
+            starts,
+            lambda b: F.transform(
+                b,
+                lambda i, j: F.struct(
+                    F.get(s, i).alias("term"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).alias("tf")
+                ),
+            ),
+        )
+
+    empty = F.array().cast("array<struct<term:string,tf:int>>")
+    return bind(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two token arrays taken as sets; 0 when either is empty."""
     shared = F.size(F.array_intersect(a, b))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievewell.operators import augment as ag
-from sievewell.plans.base import plan, table
+from sievewell.plans.base import plan, text_table
 
 _BASE = """base AS (SELECT doc_id, lang || '-' || source AS label, lower(text) AS text FROM documents),
 cnt AS (SELECT label, count(*) AS n FROM base GROUP BY 1),
@@ -19,7 +19,7 @@ def _u(tail: str) -> str:
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id", F.concat_ws("-", "lang", "source").alias("label"), "text"
     )
 

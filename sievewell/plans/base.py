@@ -8,6 +8,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievewell.session import spread
+
 AREAS = [
     "sourcing",
     "standardizing",
@@ -60,3 +62,8 @@ def oracles() -> dict[str, str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts get heavy row-wise work: one small file is spread over the cores."""
+    return spread(table(spark, sf_dir, name))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sievewell.functions import text as tx
 from sievewell.operators import chunks as ch
 from sievewell.operators import features as ft
-from sievewell.plans.base import plan, table
+from sievewell.plans.base import plan, text_table
 from sievewell.plans.frames import (
     PAIRS_SQL,
     SILVER_SQL,
@@ -21,7 +21,7 @@ _PAGES_CLEAN = sql_clean_markup("html")
 
 @plan("clean_markup_pages", "T-1", f"SELECT page_id, {_PAGES_CLEAN} AS cleaned FROM pages")
 def clean_markup_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.clean_markup(F.col("html")).alias("cleaned"))
+    return text_table(spark, sf, "pages").select("page_id", tx.clean_markup(F.col("html")).alias("cleaned"))
 
 
 @plan(
@@ -31,7 +31,7 @@ def clean_markup_pages(spark, sf):
     SELECT doc_id, len(w) AS token_count, len(list_distinct(w)) AS distinct_tokens, md5(array_to_string(w, ' ')) AS token_md5 FROM t""",
 )
 def token_counts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", tx.tokenize(F.col("text")).alias("w"))
+    d = text_table(spark, sf, "documents").select("doc_id", tx.tokenize(F.col("text")).alias("w"))
     return d.select(
         "doc_id",
         F.size("w").cast("bigint").alias("token_count"),
@@ -46,7 +46,7 @@ def token_counts(spark, sf):
     f"""SELECT doc_id, len({sql_words('text')}) AS plain_tokens, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ascii_tokens FROM documents""",
 )
 def plain_and_ascii_tokens(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id",
         F.size(tx.words(F.col("text"))).cast("bigint").alias("plain_tokens"),
         F.size(tx.ascii_words(F.col("text"))).cast("bigint").alias("ascii_tokens"),
@@ -60,7 +60,7 @@ def plain_and_ascii_tokens(spark, sf):
     SELECT doc_id, len(s) AS sentences, md5(array_to_string(s, '|')) AS sentence_md5 FROM s""",
 )
 def sentence_counts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", tx.split_sentences(F.col("text")).alias("s"))
+    d = text_table(spark, sf, "documents").select("doc_id", tx.split_sentences(F.col("text")).alias("s"))
     return d.select(
         "doc_id", F.size("s").cast("bigint").alias("sentences"), F.md5(F.array_join("s", "|")).alias("sentence_md5")
     )
@@ -86,7 +86,7 @@ chunks AS (SELECT doc_id::VARCHAR AS drug_id, source AS drug_name, lang AS field
 
 def document_chunks(spark, sf):
     """Documents as evidence records: source is the name, language the field."""
-    d = table(spark, sf, "documents").select(
+    d = text_table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("drug_id"),
         F.col("source").alias("drug_name"),
         F.col("lang").alias("field_name"),
@@ -124,13 +124,13 @@ def record_field_chunks(spark, sf):
 
 @plan("stop_word_tokens", "T-9 A12")
 def stop_word_tokens(spark, sf):
-    d = ft.stop_word_tokens(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    d = ft.stop_word_tokens(text_table(spark, sf, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", F.size("text_tokens").alias("tokens"))
 
 
 @plan("hashed_tfidf", "T-10")
 def hashed_tfidf(spark, sf):
-    d = ft.stop_word_tokens(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    d = ft.stop_word_tokens(text_table(spark, sf, "documents").select("doc_id", "text"), "text")
     return ft.hashed_tfidf(d, "text_tokens", "text_tfidf").select("doc_id", "text_tfidf")
 
 
@@ -142,7 +142,7 @@ def hashed_tfidf(spark, sf):
 def mean_token_counts(spark, sf):
     from sievewell.operators.profile import mean_token_counts as means
 
-    d = table(spark, sf, "documents").select(tx.tokenize(F.col("text")).alias("text_tokens"))
+    d = text_table(spark, sf, "documents").select(tx.tokenize(F.col("text")).alias("text_tokens"))
     return means(d, ["text_tokens"]).select(F.round("avg_text_tokens", 6).alias("avg_text_tokens"))
 
 
@@ -170,7 +170,7 @@ def label_index(spark, sf):
       ON t.doc_id = g.doc_id""",
 )
 def key_terms(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         "doc_id", F.array_join(tx.key_terms(tx.tokenize(F.col("text"))), " ").alias("terms")
     )
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app_name: str = "sievewell", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -61,5 +62,10 @@ def spread(df, *keys):
     return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def broadcast_if_small(df, max_rows: int = 500_000):
+    """Mark a frame for broadcast when it is counted to have few rows.
+
+    The count stops one row past the limit. A larger frame is returned as it is,
+    and the join is planned as a shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
