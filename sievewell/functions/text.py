@@ -168,9 +168,11 @@ def term_counts(tokens: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two token arrays taken as sets; 0 when either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
+    def score(x: Column, y: Column) -> Column:
+        union = F.size(F.array_union(x, y))
+        return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
+
+    return bind(a, lambda x: bind(b, lambda y: score(x, y)))
 
 
 def tfidf_cosine(a: Column, b: Column) -> Column:

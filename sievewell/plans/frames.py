@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewell.plans.base import table
+from sievewell.plans.base import table, text_table
 
 # One expression list in SQL serves both engines: the dialects agree on it.
 SILVER_COLUMNS = """
@@ -42,7 +42,7 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A standardised table with the faults the quality rules look for."""
     return spark.sql(
         f"SELECT {SILVER_COLUMNS} FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey",
-        orders=table(spark, sf_dir, "orders"),
+        orders=text_table(spark, sf_dir, "orders"),
         customer=table(spark, sf_dir, "customer"),
     )
 
@@ -153,7 +153,7 @@ answers AS (SELECT conv_id, turn, n, question, answer,
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn and the assistant turn that follows it."""
-    c = table(spark, sf_dir, "conversations")
+    c = text_table(spark, sf_dir, "conversations")
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return q.join(a, ["conv_id", "turn"]).select(
@@ -224,7 +224,7 @@ evals AS (SELECT *, CASE WHEN grounding_score < 0.45 THEN 'LOW_GROUNDING' WHEN c
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inference records: labelled documents with scores from their text length."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = text_table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     g = (F.length("text") % 101) / 100.0
     c = (F.length("text") % 53) / 53.0
     body = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))

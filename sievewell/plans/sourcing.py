@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewell.operators import standardize as st
-from sievewell.plans.base import plan, table
+from sievewell.plans.base import plan, table, text_table
 from sievewell.plans.frames import MESSAGES_SQL, SILVER_SQL, messages, silver
 from sievewell.session import work_dir
 from sievewell.sources import files as fs
@@ -20,7 +20,7 @@ from sievewell.sources import sinks
 @cache
 def _xml(app_id: str, spark, sf: str) -> str:
     """Parts as nested XML records: ids in both orders, some unflagged, nested row tags inside."""
-    p = table(spark, sf, "part")
+    p = text_table(spark, sf, "part")
     key = F.col("p_partkey")
     ident = lambda prefix, primary: F.struct(
         F.concat(F.lit(prefix), key.cast("string")).alias("_VALUE"), primary.alias("_primary")
