@@ -169,29 +169,37 @@ def before(order_cols: list[str], point: tuple) -> Column:
     return cond
 
 
-def order_blocks(df: DataFrame, col: str, blocks: int = 64) -> Column:
-    """A block number that grows with ``col``; blocks hold about equal numbers of rows.
+def with_order_blocks(df: DataFrame, col: str, out: str, blocks: int = 64, block_rows: int = 1_000_000) -> DataFrame:
+    """Add a block number that grows with ``col``; blocks hold about equal numbers of rows.
 
-    The bounds come from a quantile sketch and are passed on as literals, so a
-    re-run task computes the same block for the same row.
+    Bounds come from a quantile sketch. Where blocks would be larger than
+    ``block_rows``, each is cut once more by its own sketch, which gives up to
+    ``blocks`` squared. The bounds are literals and a table of at most
+    ``blocks`` rows, so a re-run task computes the same block for the same row.
     """
     ps = [i / blocks for i in range(1, blocks)]
-    bounds = df.agg(F.percentile_approx(col, ps, _ACCURACY)).first()[0] or []
-    distinct = sorted(set(bounds))
-    if not distinct:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in distinct]), lambda b: b <= F.col(col)))
-
-
-def running_totals(df: DataFrame, order_col: str, totals: dict[str, Column], blocks: int = 64) -> DataFrame:
-    """Running sums over the whole frame in ``order_col`` order.
+    row = df.agg(F.count(col).alias("n"), F.percentile_approx(col, ps, _ACCURACY).alias("b")).first()
+    bounds = sorted(set(row["b"] or []))
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    first = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(col)))
+    tagged = df.withColumn(out, first)
+    if row["n"] <= blocks * block_rows:
+        return tagged
+    finer = tagged.groupBy(out).agg(F.percentile_approx(col, ps, _ACCURACY).alias("_finer"))
+    second = F.size(F.filter(F.array_distinct("_finer"), lambda b: b <= F.col(col)))
+    return tagged.join(F.broadcast(finer), out).withColumn(out, F.col(out) * blocks + second).drop("_finer")
+
+
+def running_totals(
+    df: DataFrame, order_col: str, totals: dict[str, Column], blocks: int = 64, block_rows: int = 1_000_000
+) -> DataFrame:
+    """Running sums over the whole frame in ``order_col`` order; the column must make rows distinct.
 
     Each block is summed by its own task; the totals of the blocks before it
-    (at most ``blocks`` rows) are added from a broadcast.
+    (a row per block) are added from a broadcast.
     """
-    tagged = df.select("*", order_blocks(df, order_col, blocks).alias("_block"))
-    for name, value in totals.items():
-        tagged = tagged.withColumn(name, value)
+    tagged = with_order_blocks(df, order_col, "_block", blocks, block_rows).withColumns(totals)
     sums = tagged.groupBy("_block").agg(*[F.sum(n).alias(n) for n in totals])
     earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(

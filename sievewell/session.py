@@ -56,7 +56,8 @@ def written_once(df, purpose: str):
 def spread(df, *keys):
     """Give a frame with few input partitions one per core before heavy row-wise work.
 
-    A table of many files is left as it is.
+    For scans only: a table of many splits is left as it is, and asking a plan
+    with joins for its partitions would run them.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df

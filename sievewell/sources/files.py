@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewell.operators.guardrail import kind_of
+from sievewell.session import broadcast_if_small
 
 
 def read_xml(
@@ -108,7 +109,7 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     splits = tagged.groupBy("_file", "_start").agg(F.min("_mono").alias("_first"), F.count("*").alias("_n"))
     earlier = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    joined = tagged.join(F.broadcast(offsets), ["_file", "_start"])
+    joined = tagged.join(broadcast_if_small(offsets), ["_file", "_start"])
     number = F.col("_off") + F.col("_mono") - F.col("_first")
     return joined.withColumn("line_number", number).select(*lines.columns, "line_number")
 

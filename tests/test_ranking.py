@@ -57,10 +57,11 @@ def test_cut_points_cut_inside_ties(spark, monkeypatch):
         assert df.where(rk.before(order, point)).count() == rank
 
 
-def test_running_totals(spark):
+@pytest.mark.parametrize("block_rows", [1_000_000, 10])
+def test_running_totals(spark, block_rows):
     n = 500
     df = spark.range(n).select((F.col("id") * 37 % n).alias("k"), (F.col("id") % 5).alias("x"))
-    got = rk.running_totals(df, "k", {"total": F.col("x")}, blocks=7).orderBy("k").collect()
+    got = rk.running_totals(df, "k", {"total": F.col("x")}, 7, block_rows).orderBy("k").collect()
     by_k = {r["k"]: r["x"] for r in df.collect()}
     run = 0
     for r in got:
