@@ -14,9 +14,11 @@ _ACCURACY = 10_000
 _SLACK = 2.0 / _ACCURACY
 
 
-def values_at_ranks(df: DataFrame, col: str, ranks: list[int]) -> list:
+def values_at_ranks(df: DataFrame, col: str, ranks: list[int], n: int | None = None) -> list:
     """The values at the given 0-based ranks of ``col`` in ascending order, nulls left out.
 
+    ``n`` is the number of known values, when the caller has counted them.
+
     Each round asks a mergeable quantile sketch for values that bracket the
     wanted ranks, counts exactly how many rows lie below them, and goes on
     inside the bracket. Rounds are plain aggregations over one column, so no
@@ -25,7 +27,7 @@ def values_at_ranks(df: DataFrame, col: str, ranks: list[int]) -> list:
     if not ranks:
         return []
     values = df.select(F.col(col).alias("v")).where(F.col(col).isNotNull())
-    n = values.count()
+    n = values.count() if n is None else n
     wanted = sorted(set(ranks))
     if wanted[0] < 0 or wanted[-1] >= n:
         raise ValueError(f"rank out of range for {n} values")
@@ -130,7 +132,7 @@ def hash_rank_key(seed: int, *cols) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def cut_points(df: DataFrame, order_cols: list[str], ranks: list[int]) -> list[tuple]:
+def cut_points(df: DataFrame, order_cols: list[str], ranks: list[int], n: int | None = None) -> list[tuple]:
     """Keys of the rows at the given 0-based ranks under ``order_cols``, for :func:`before`.
 
     The first column is cut exactly; where its value is tied, the search goes on
@@ -140,7 +142,7 @@ def cut_points(df: DataFrame, order_cols: list[str], ranks: list[int]) -> list[t
     first, rest = order_cols[0], order_cols[1:]
     if not ranks:
         return []
-    heads = values_at_ranks(df, first, ranks)
+    heads = values_at_ranks(df, first, ranks, n)
     if not rest:
         return [(h,) for h in heads]
     counts = df.agg(
@@ -149,15 +151,15 @@ def cut_points(df: DataFrame, order_cols: list[str], ranks: list[int]) -> list[t
     ).first()
     out = []
     for i, (rank, head) in enumerate(zip(ranks, heads)):
-        inside, n = rank - counts[f"b{i}"], counts[f"t{i}"]
-        if n == 1:
+        inside, n_tied = rank - counts[f"b{i}"], counts[f"t{i}"]
+        if n_tied == 1:
             out.append((head,))
             continue
         tied = df.where(F.col(first) == F.lit(head)).select(*rest)
-        if n <= _BAND_ROWS:
+        if n_tied <= _BAND_ROWS:
             out.append((head, *sorted(tuple(r) for r in tied.collect())[inside]))
         else:
-            out.append((head, *cut_points(tied, rest, [inside])[0]))
+            out.append((head, *cut_points(tied, rest, [inside], n_tied)[0]))
     return out
 
 
