@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sievewell.functions import patterns as P
 from sievewell.functions import text as tx
-from sievewell.operators.guardrail import kind_of
+from sievewell.functions.text import bind
+from sievewell.operators.guardrail import kind_of, parse_answer, schema_issues, typed_answer
 
 
 def _filled(df: DataFrame, *cols: str) -> Column:
@@ -43,6 +44,21 @@ def fallback_enrichment(df: DataFrame, name: str = "name") -> Column:
     )
 
 
+def chosen_enrichment(df: DataFrame, content: str | None, name: str = "name") -> Column:
+    """The model's answer where it parses and fits the schema, else the fallback from the record."""
+    fallback = fallback_enrichment(df, name)
+    if content is None:
+        return fallback
+
+    def pick(v: Column) -> Column:
+        a = typed_answer(v)
+        fields = ["summary", "primary_indications", "mechanism_summary", "safety_notes", "tags"]
+        given = F.struct(*[a[f].alias(f) for f in fields])
+        return F.when(v.isNotNull() & (F.size(schema_issues(v)) == 0), given).otherwise(fallback)
+
+    return bind(parse_answer(F.col(content)), pick)
+
+
 # Deduction per issue.
 _DEDUCTIONS = {
     "summary_empty": (0.25, "Field summary is empty string"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievewell.functions import patterns as P
 from sievewell.functions import text as tx
-from sievewell.operators.guardrail import parse_answer, schema_issues
+from sievewell.operators.guardrail import decide, parse_answer, schema_issues
 from sievewell.operators.ranking import count_and_quantiles, running_totals
 
 CONFUSION = ["tp", "fp", "tn", "fn"]
@@ -198,6 +198,37 @@ def change_lists(compared: DataFrame) -> DataFrame:
     )
 
 
+def fill_decisions(df: DataFrame, content: str = "content", evidence: str = "evidence", **checks) -> DataFrame:
+    """Records with what they lack of decision, rule tag and scores taken from a new check of the answer."""
+    names = ["decision", "rule_tag", "grounding_score", "coverage_ratio"]
+    kept = df.withColumns({f"_recorded_{c}": F.col(c) for c in names})
+    checked = decide(kept, content, evidence, **checks)
+    filled = checked.withColumns({c: F.coalesce(f"_recorded_{c}", c) for c in names})
+    return filled.select(*df.columns)
+
+
+def enrichment_metrics(
+    df: DataFrame, valid: Column, raw_text: Column, answer_text: Column, processed_at: str, latency_ms: Column | None = None
+) -> DataFrame:
+    """One row for a run of enriched records: validity, overlap, latency, throughput.
+
+    JSON validity and schema match are the same count here: the answers are
+    already structured. A negative latency is no measurement.
+    """
+    lat = latency_ms if latency_ms is not None else F.lit(None).cast("double")
+    base = df.agg(
+        F.count("*").alias("num_records"),
+        F.avg(F.when(valid, 1.0).otherwise(0.0)).alias("jsvs"),
+        F.avg(F.when(valid, 1.0).otherwise(0.0)).alias("smr"),
+        F.avg(F.when(lat >= 0, lat)).alias("latency_ms_mean"),
+    )
+    overlap = overlap_metrics(df, raw_text, answer_text)
+    both = overlap.select(F.struct("hdm", "fce_mean_jaccard").alias("o"))
+    return base.select("*", both.scalar().alias("o"), throughput(df, processed_at).scalar().alias("records_per_min")).select(
+        "num_records", "jsvs", "smr", "o.hdm", "o.fce_mean_jaccard", "latency_ms_mean", "records_per_min"
+    )
+
+
 def running_allows(df: DataFrame, order_col: str, every: int = 10) -> DataFrame:
     """Rows seen, allowed so far and the rate, at every ``every``-th row in order."""
     out = running_totals(

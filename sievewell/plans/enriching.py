@@ -286,3 +286,43 @@ def overlap_metrics(spark, sf):
 def throughput(spark, sf):
     d = ev.throughput(enriched_output(spark, sf), "processed_at")
     return d.select(F.round("records_per_min", 6).alias("records_per_min"))
+
+
+@plan(
+    "chosen_enrichments",
+    "E1 E7 D4",
+    f"""WITH {ANSWERS_SQL}, p AS (SELECT conv_id, turn, question, CASE WHEN n % 17 = 0 AND n % 11 <> 0 THEN j2 ELSE content END AS c FROM
+      (SELECT *, regexp_extract(content, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1) AS j2 FROM answers)),
+    v AS (SELECT *, CASE WHEN json_valid(c) THEN c::JSON END AS v FROM p),
+    ok AS (SELECT *, coalesce(json_type(v) = 'OBJECT' AND json_type(v, '$.summary') = 'VARCHAR' AND json_type(v, '$.mechanism_summary') = 'VARCHAR'
+      AND json_type(v, '$.safety_notes') = 'VARCHAR' AND json_type(v, '$.tags') = 'ARRAY', false) AS good FROM v)
+    SELECT conv_id, turn, CASE WHEN good THEN v->>'$.summary' ELSE 'Turn is a drug in the DrugBank dataset.' || CASE WHEN question <> '' THEN ' Typical indications include: ' || substr(question, 1, 200) ELSE '' END END AS summary,
+      CASE WHEN good THEN v->>'$.mechanism_summary' ELSE 'Mechanism not specified.' END AS mechanism_summary FROM ok""",
+)
+def chosen_enrichments(spark, sf):
+    d = answers(spark, sf).select(
+        "conv_id", "turn", "content", F.lit("Turn").alias("name"), F.col("question").alias("indication")
+    )
+    e = d.withColumn("e", en.chosen_enrichment(d, "content"))
+    return e.select(
+        "conv_id", "turn", F.col("e.summary").alias("summary"), F.col("e.mechanism_summary").alias("mechanism_summary")
+    )
+
+
+@plan(
+    "enrichment_run_metrics",
+    "V7 V8 V9 TR19",
+    f"""WITH {RECORDS_SQL}, w AS (SELECT k, name, list_distinct({sql_words("concat_ws(' ', coalesce(description, ''), coalesce(indication, ''), coalesce(mechanism_of_action, ''), coalesce(toxicity, ''))")}) AS a,
+      list_distinct({sql_words("concat_ws(' ', summary, how, 'Safety information not specified in the source record.')")}) AS b FROM enr),
+    j AS (SELECT *, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS sim FROM w)
+    SELECT count(*) AS num_records, 1.0::DOUBLE AS jsvs, 1.0::DOUBLE AS smr, round(avg(CASE WHEN sim < 0.10 THEN 1.0 ELSE 0.0 END), 6) AS hdm, round(avg(sim), 6) AS fce_mean_jaccard,
+      round(avg(CASE WHEN k % 50 <> 0 THEN (k % 50)::DOUBLE END), 6) AS latency_ms_mean, round(count(*) / ((max(k % 60) - min(k % 60)) / 60.0::DOUBLE), 6) AS records_per_min FROM j""",
+)
+def enrichment_run_metrics(spark, sf):
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    raw = F.concat_ws(" ", *[blank(f"raw.{c}") for c in ("description", "indication", "mechanism_of_action", "toxicity")])
+    out = F.concat_ws(" ", *[blank(f"llm_enriched.{c}") for c in ("summary", "mechanism_summary", "safety_notes")])
+    latency = F.when(F.col("raw.k") % 50 == 0, -1.0).otherwise((F.col("raw.k") % 50).cast("double"))
+    valid = F.col("llm_enriched.summary").isNotNull() & F.col("llm_enriched.safety_notes").isNotNull()
+    d = ev.enrichment_metrics(enriched_output(spark, sf), valid, raw, out, "processed_at", latency)
+    return d.select("num_records", *[F.round(c, 6).alias(c) for c in d.columns if c != "num_records"])
