@@ -1 +1,281 @@
-"""In work."""
+"""Near-duplicate documents: a self-join on the Jaccard likeness of word shingles, by a MinHash LSH forest.
+
+1. One pass gives each text a digest of its words and, for every tree of the forest,
+   the prefix of its MinHash signature. Texts with equal words are one class from here on.
+2. The prefix matched in the sorted tries is shortened from the full depth until
+   ``trees`` tries find a pair at the threshold with the target recall. Classes that
+   share such a prefix in a tree are tied to the smallest class there, so a bucket of n
+   classes gives n - 1 ties and no pairs.
+3. Components of the ties are the only places where links can be. A component's
+   shingle sets meet once, however many trees tie them. A component above a fixed weight
+   is cut into blocks, and every pair of blocks is a task of its own.
+4. Tasks compare whole sets exactly, count links, and give the edges of a spanning
+   forest of what they found; the components of these edges are the groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievewell.llm.graph import components
+from sievewell.llm.texts import by_text, lower_words, mixed, shingles, slices
+from sievewell.session import broadcast_if_small, written_once
+
+DEPTH = 10
+_U = np.uint64
+_NONE = _U(0xFFFFFFFFFFFFFFFF)
+
+
+def prefix_depth(similarity: float, trees: int, recall: float, depth: int = DEPTH) -> int:
+    """The longest prefix at which ``trees`` tries find a pair of this similarity with the wanted recall."""
+    for d in range(depth, 0, -1):
+        if 1 - (1 - similarity**d) ** trees >= recall:
+            return d
+    raise ValueError(f"{trees} trees cannot reach a recall of {recall} at {similarity}")
+
+
+def word_digests(words: np.ndarray, bounds: np.ndarray) -> list:
+    """A 16-byte digest of the words of each text in their order; None for a text without words."""
+    place = np.arange(len(words), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
+    low = by_text(np.add, mixed(words + mixed(place + _U(11))), bounds, _U(0))
+    high = by_text(np.add, mixed((words ^ _U(0x5851F42D4C957F2D)) * (mixed(place) | _U(1))), bounds, _U(0))
+    both = np.stack([mixed(low), mixed(high + np.diff(bounds).astype(np.uint64))], 1).astype(">u8")
+    return [x.tobytes() if n else None for x, n in zip(both, np.diff(bounds), strict=True)]
+
+
+def prefixes(sets: np.ndarray, bounds: np.ndarray, trees: int, depth: int, seed: int = 7) -> np.ndarray:
+    """The hashed prefix of each text's MinHash signature in each tree."""
+    factors = np.random.default_rng(seed).integers(1, 1 << 63, (trees, depth), dtype=np.uint64) | _U(1)
+    out = np.zeros((len(bounds) - 1, trees), np.uint64)
+    for t in range(trees):
+        label = np.full(len(bounds) - 1, t + 1, np.uint64)
+        for f in factors[t]:
+            label = mixed(label ^ by_text(np.minimum, (sets * f) >> _U(8), bounds, _NONE)) * _U(3)
+        out[:, t] = label
+    return out
+
+
+def signatures(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
+    """(doc_id, key, text_key, digest, weight, prefixes) of every document; a text without words has no digest."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", 1 << 20):
+            words, bounds = lower_words(piece.column("text"))
+            sets, to = shingles(words, bounds, size)
+            found = prefixes(sets, to, trees, depth)
+            yield pa.record_batch(
+                [
+                    *(piece.column(c) for c in ("doc_id", "key", "text_key")),
+                    pa.array(word_digests(words, bounds), pa.binary()),
+                    pa.array(np.diff(to), pa.int64()),
+                    pa.array(list(found.view(np.int64)), pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "key", "text_key", "digest", "weight", "prefixes"],
+            )
+
+    return keyed(docs).mapInArrow(sign, "doc_id long, key long, text_key long, digest binary, weight long, prefixes array<long>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key, key); key stands for the id, and for the text where there is no id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.withColumn("key", F.coalesce("doc_id", "text_key"))
+
+
+def _sets_of(size: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", 1 << 20):
+            words, bounds = lower_words(piece.column("text"))
+            sets, to = shingles(words, bounds, size)
+            blobs = [np.unique(x).tobytes() for x in np.split(sets, to[1:-1])] if len(to) > 1 else []
+            # an id can stand for several texts; only the one that was meant goes on
+            meant = pa.array([a == b.as_py() for a, b in zip(word_digests(words, bounds), piece.column("digest"), strict=True)], pa.bool_())
+            names = [n for n in piece.schema.names if n != "text"]
+            yield pa.record_batch([*(piece.column(n) for n in names), pa.array(blobs, pa.binary())], names=[*names, "shingles"]).filter(meant)
+
+    return read
+
+
+def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ``left`` x ``right`` whose exact Jaccard likeness reaches ``similarity``; each pair once.
+
+    Shared shingles are counted by products of 0/1 blocks: exact whole numbers.
+    """
+    rows = np.unique(np.concatenate([left, right]))
+    at = {int(r): i for i, r in enumerate(rows)}
+    sizes = np.array([len(sets[r]) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    every = np.concatenate([sets[r] for r in rows])
+    order = np.argsort(every, kind="stable")
+    e = every[order]
+    new = np.ones(len(e), bool)
+    new[1:] = e[1:] != e[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
+    owner = owner[order]
+    owner, column = owner[column >= 0], column[column >= 0]
+    li, ri = np.array([at[int(x)] for x in left]), np.array([at[int(x)] for x in right])
+    common = np.zeros((len(li), len(ri)), np.float32)
+    wide = max(256, min(4096, (8 << 20) // max(1, len(rows))))
+    n = int(column.max()) + 1 if len(column) else 0
+    cuts = np.searchsorted(column, np.arange(0, n + wide, wide))
+    for k in range(len(cuts) - 1):
+        part = slice(cuts[k], cuts[k + 1])
+        block = np.zeros((len(rows), wide), np.float32)
+        block[owner[part], column[part] - k * wide] = 1
+        common += block[li] @ block[ri].T
+    total = sizes[li][:, None] + sizes[ri][None, :] - common
+    return np.nonzero(common >= similarity * total - 1e-9)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links (a, b) over ``n`` nodes."""
+    root = list(range(n))
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = x, y
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        while root[j] != j:
+            root[j] = root[root[j]]
+            j = root[j]
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            out.append((x, y))
+    return out
+
+
+def _verifier(similarity: float):
+    def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("digest", "ascending")]).combine_chunks()
+        again = np.array([a == b for a, b in zip(table.column("digest").to_pylist()[1:], table.column("digest").to_pylist(), strict=False)], bool)
+        table = table.filter(pa.array(np.concatenate([[True], ~again])))
+        digest, copies = table.column("digest").to_pylist(), table.column("copies").to_numpy()
+        block, component = table.column("block").to_numpy(), table.column("component").to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        i, j = key[1].as_py(), key[2].as_py()
+        heads = [k for k in range(len(component)) if not k or component[k] != component[k - 1]]
+        found: dict[str, list] = {"digest": [], "links": [], "other": []}
+        for a, b in zip(heads, [*heads[1:], len(component)], strict=True):
+            rows = np.arange(a, b)
+            left, right = (rows, rows) if i == j else (rows[block[a:b] == i], rows[block[a:b] == j])
+            if not len(left) or not len(right) or b - a < 2:
+                continue
+            x, y = links_within(sets, left, right, similarity)
+            x, y = left[x], right[y]
+            if i == j:
+                x, y = x[x < y], y[x < y]
+            count = np.zeros(b - a, np.int64)
+            np.add.at(count, x - a, copies[y])
+            np.add.at(count, y - a, copies[x])
+            for k in np.flatnonzero(count).tolist():
+                found["digest"].append(digest[a + k])
+                found["links"].append(int(count[k]))
+                found["other"].append(None)
+            for p, q in forest(b - a, x - a, y - a):
+                found["digest"].append(digest[a + p])
+                found["links"].append(0)
+                found["other"].append(digest[a + q])
+        return pa.table([pa.array(found["digest"], pa.binary()), pa.array(found["links"], pa.int64()), pa.array(found["other"], pa.binary())], names=list(found))
+
+    return verify
+
+
+def near_duplicates(
+    docs: DataFrame,
+    similarity: float = 0.8,
+    size: int = 5,
+    trees: int = 20,
+    recall: float = 0.995,
+    block_weight: int = 200_000,
+) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, group_id, kept.
+
+    Two documents are linked when the sets of their ``size``-word shingles have a
+    Jaccard likeness of ``similarity`` or more; words are compared in lower case and
+    without punctuation, and a text of fewer words is one shingle. ``class_id`` is the
+    smallest id of documents with the same words, ``n_links`` the number of other
+    documents linked directly, copies included, ``group_id`` the smallest id that links
+    reach, and ``kept`` marks it. Every link that a shared prefix offers is verified, and
+    none is given that is not; a pair at the threshold is offered with a chance of at
+    least ``recall``, a closer pair with a higher one.
+
+    A null or empty text, or one without words, links with nothing and is a class of its
+    own. A row without id takes part in counting links and is kept unless its words
+    occur under an id; its class and group are those of the ids it is linked to, or null.
+    Rows that repeat an id give one row each. Other columns do not matter; an empty
+    table gives no rows.
+    """
+    found = _resolved(docs, similarity, size, trees, recall, block_weight)
+    return found.select("doc_id", "class_id", "n_links", "group_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of the smallest id; all columns stay."""
+    gone = _resolved(docs, **options).where("NOT kept").select(F.col("key").alias("__key"), F.col("text_key").alias("__text_key")).distinct()
+    text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    gone = broadcast_if_small(written_once(gone, "near-duplicates"))
+    same = (F.coalesce(F.col("doc_id").cast("long"), text_key) == F.col("__key")) & (text_key == F.col("__text_key"))
+    return docs.join(gone, same, "left_anti")
+
+
+def _resolved(docs: DataFrame, similarity: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.995, block_weight: int = 200_000) -> DataFrame:
+    depth = prefix_depth(similarity, trees, recall)
+    signed = written_once(signatures(docs, trees, depth, size), "signatures")
+    some = signed.where("digest IS NOT NULL")
+    classes = some.groupBy("digest").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min("key").alias("pick"), F.first("weight").alias("weight"), F.first("prefixes").alias("prefixes")
+    )
+    classes = written_once(classes, "classes")
+    entries = classes.select("digest", F.explode("prefixes").alias("bucket"))
+    heads = entries.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    ties = entries.join(heads, "bucket").where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
+    placed = components(ties).select(F.col("node").alias("digest"), "component")
+    members = written_once(placed.join(classes.select("digest", "copies", "weight", "pick"), "digest"), "members")
+    loads = members.groupBy("component").agg(F.sum("weight").alias("load"))
+    total = members.agg(F.sum("weight")).first()[0] or 0
+    lots = max(1, int(total // block_weight)) * 2
+    # small components share a task; a heavy one has a block for each part of its weight
+    cut = F.when(F.col("load") > block_weight, F.ceil(F.col("load") / block_weight)).otherwise(F.lit(1)).cast("int")
+    tasks = loads.select("component", cut.alias("blocks"), F.when(F.col("load") > block_weight, F.hex("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(lots)).cast("string")).alias("task"))
+    cells = members.join(tasks, "component").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+
+    cells = written_once(cells.drop("weight"), "cells")
+    # one text of each class; rows that repeat an id and its words come several times and are made one
+    picked = keyed(docs).select(F.col("key").alias("pick"), "text").join(broadcast_if_small(cells, 200_000), "pick")
+    picked = picked.select("pick", "digest", "component", "copies", "blocks", "task", "block", "text")
+    sets = picked.mapInArrow(_sets_of(size), "pick long, digest binary, component binary, copies long, blocks int, task string, block int, shingles binary")
+    if signed.select("digest", F.col("key").alias("pick")).join(cells.select("digest", "pick"), ["digest", "pick"]).count() > cells.count():
+        sets = sets.dropDuplicates(["digest"])
+    ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    spread = sets.select("digest", "component", "copies", "task", "block", "shingles", F.explode(ends).alias("e")).select("*", "e.i", "e.j").drop("e")
+    found = written_once(
+        spread.groupBy("task", "i", "j").applyInArrow(_verifier(similarity), "digest binary, links long, other binary"), "links"
+    )
+    counts = found.groupBy("digest").agg(F.sum("links").alias("links"))
+    groups = components(found.where("other IS NOT NULL").select(F.col("digest").alias("a"), F.col("other").alias("b")))
+    groups = groups.select(F.col("node").alias("digest"), "component")
+    ids = groups.join(classes.select("digest", "class_id"), "digest").groupBy("component").agg(F.min("class_id").alias("group_id"))
+    grouped = groups.join(ids, "component").select("digest", "group_id")
+    facts = classes.select("digest", "copies", "class_id").join(counts, "digest", "left").join(grouped, "digest", "left")
+    facts = facts.select(
+        "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
+    )
+    out = signed.select("doc_id", "key", "text_key", "digest").join(facts, "digest", "left")
+    out = out.select(
+        "doc_id",
+        "key",
+        "text_key",
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+    )
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.col("group_id").isNull()))
