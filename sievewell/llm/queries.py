@@ -17,6 +17,13 @@ def op1_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.toxicity import learned, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.suffix_dedup import remove_repeats
 
