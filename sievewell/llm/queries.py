@@ -30,6 +30,13 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.quality_neighbours import fitted, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.jaccard_join import near_duplicates
 

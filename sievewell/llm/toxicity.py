@@ -189,7 +189,7 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = 3000, entries: int =
     p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     gain = F.col("toxic") * F.log(p / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - base))).otherwise(0.0)
     found = counts.where("term <> '' AND toxic > 1").withColumn("weight", odds).withColumn("gain", gain)
-    found = found.where((F.col("gain") > math.log(max(2, tried)) + 1) & (p > max(0.9, base)) & (F.col("weight") > 1))
+    found = found.where((F.col("gain") > math.log(max(2, tried)) + 1) & (p > max(0.8, base)) & (F.col("weight") > 1))
     rows = found.orderBy(F.desc("gain"), "term").limit(entries).collect()
     stems = {r["term"]: (r["weight"], r["toxic"], r["clean"]) for r in rows if not r["term"].startswith("=")}
     words = {r["term"][1:]: r["weight"] for r in rows if r["term"].startswith("=")}
