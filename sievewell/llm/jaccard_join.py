@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewell.llm.buckets import forest
 from sievewell.llm.graph import components
 from sievewell.llm.texts import by_text, lower_words, mixed, shingles, slices
 from sievewell.session import broadcast_if_small, written_once
@@ -135,24 +136,6 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, si
     return np.nonzero(common >= similarity * total - 1e-9)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links (a, b) over ``n`` nodes."""
-    root = list(range(n))
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = x, y
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        while root[j] != j:
-            root[j] = root[root[j]]
-            j = root[j]
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            out.append((x, y))
-    return out
-
-
 def _verifier(similarity: float):
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("digest", "ascending")]).combine_chunks()

@@ -30,6 +30,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.quality_neighbours import fitted, scored
 
@@ -37,6 +43,12 @@ def op8_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.jaccard_join import near_duplicates
 
