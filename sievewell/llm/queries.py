@@ -24,6 +24,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, learned(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.suffix_dedup import remove_repeats
 
@@ -60,4 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sievewell.llm.licenses import scan_sql
+
+    return {"op3_license_scan": scan_sql()}
