@@ -36,6 +36,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.fingerprints import fingerprint_documents
 
