@@ -36,6 +36,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.pseudo_likelihood import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.pieces import encode_documents
 
