@@ -203,11 +203,13 @@ def near_duplicates(
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the smallest id; all columns stay."""
-    gone = _resolved(docs, **options).where("NOT kept").select(F.col("key").alias("__key"), F.col("text_key").alias("__text_key")).distinct()
-    text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    gone = _resolved(docs, **options).where("NOT kept").select(F.col("key").alias("gone_key"), F.col("text_key").alias("gone_text")).distinct()
     gone = broadcast_if_small(written_once(gone, "near-duplicates"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), text_key) == F.col("__key")) & (text_key == F.col("__text_key"))
-    return docs.join(gone, same, "left_anti")
+    text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that no column can clash
+    rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), text_key).alias("key"), text_key.alias("text_key"))
+    rows = rows.join(gone, (F.col("key") == F.col("gone_key")) & (F.col("text_key") == F.col("gone_text")), "left_anti")
+    return rows.select("row.*")
 
 
 def _resolved(docs: DataFrame, similarity: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.995, block_weight: int = 200_000) -> DataFrame:

@@ -22,7 +22,7 @@ SPELLINGS = {
     "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses", "maximise": "maximize", "modelled": "modeled", "non commercial": "noncommercial",
     "non infringement": "noninfringement", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize",
     "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling",
-    "sub license": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "sub license": "sublicense", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
 # Short licences in full, and notices that name one.

@@ -108,10 +108,13 @@ def _plan(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with the words, the seeded place and the bucket of each row."""
+    """(row, doc_id) with the words, the seeded place and the source of each row; ``row`` holds all columns of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text)), F.lit(1 << 40))
-    return docs.withColumns({"__size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__place": place, "__source": F.col("source").cast("string")})
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size"), place.alias("__place"), F.col("source").cast("string").alias("__source"),
+    )
 
 
 def _same(a: str, b: str) -> Column:
@@ -119,9 +122,9 @@ def _same(a: str, b: str) -> Column:
 
 
 def taken_copies(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies: how often the mix takes each row."""
+    """(row, doc_id, __size, __source_size, __target, __copies): how often the mix takes each row."""
     rows = _sized(docs, seed)
-    facts = written_once(rows.select("__source", "__size", "__place", F.col("doc_id").cast("long").alias("doc_id")), "mix-sizes")
+    facts = written_once(rows.select("__source", "__size", "__place", "doc_id"), "mix-sizes")
     histogram = written_once(facts.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count("*").alias("n")), "mix-lengths")
     targets = source_targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), **shares)
     named = histogram.join(broadcast_if_small(written_once(targets, "mix-targets")).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -167,7 +170,7 @@ def mix_documents(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
     """
     out = taken_copies(docs, seed, **shares)
     return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken")
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken")
     )
 
 
@@ -175,4 +178,4 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **shares) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; a row without words has nothing to weigh and stays once."""
     out = taken_copies(docs, seed, **shares)
     times = F.when(F.col("__size") == 0, 1).otherwise(F.col("__copies"))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")
