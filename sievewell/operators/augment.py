@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewell.functions import patterns as P
 from sievewell.operators.ranking import discrete_quantile
+from sievewell.session import broadcast_if_small, written_once
 
 
 def labelled(df: DataFrame, label: str, text_cols: list[str]) -> DataFrame:
@@ -23,9 +24,7 @@ def minority_classes(counts: DataFrame, label: str, fallback: int = P.BALANCE_FA
     """Classes at or below the first quartile of class sizes, else the ``fallback`` smallest."""
     q25 = discrete_quantile(counts, "count", 0.25)
     small = counts.where(F.col("count") <= F.lit(q25))
-    if q25 is not None and not small.isEmpty():
-        return small
-    return counts.orderBy("count", label).limit(fallback)
+    return small if q25 is not None else counts.orderBy("count", label).limit(fallback)
 
 
 def replication_plan(
@@ -36,7 +35,7 @@ def replication_plan(
     They are lifted towards ``share`` of the largest class, with at most ``cap``
     copies per row.
     """
-    counts = class_counts(df, label)
+    counts = written_once(class_counts(df, label), "class-counts")
     target = F.floor(counts.agg(F.max("count")).scalar() * F.lit(share)).cast("bigint")
     need = F.greatest(F.lit(0).cast("bigint"), target - F.col("count"))
     planned = minority_classes(counts, label).select(label, "count", need.alias("need"))
@@ -45,14 +44,15 @@ def replication_plan(
 
 def replicate(df: DataFrame, plan: DataFrame, label: str) -> DataFrame:
     """Every row of a planned class once per copy, numbered by ``rep`` from 1."""
-    joined = df.join(plan.where("copies > 0").select(label, "copies"), label)
+    wanted = broadcast_if_small(written_once(plan.where("copies > 0").select(label, "copies"), "replication-plan"))
+    joined = df.join(wanted, label)
     return joined.withColumn("rep", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
 def uniform(*parts) -> Column:
-    """A number in [0, 1) from the md5 of the parts."""
+    """A number in [0, 1) from 60 bits of the md5 of the parts."""
     text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") / F.lit(float(1 << 60))
 
 
 def perturb(text: Column, seed: Column) -> Column:

@@ -94,6 +94,8 @@ def run_metrics(
     few by nature (modes) and are listed first.
     """
     group = [by] if by else []
+    if by:  # a run without a mode is one of the usual kind
+        df = df.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("rag")))
     parsed = df.withColumn("_v", parse_answer(F.col(content)))
     parsed = parsed.withColumn("_ok", F.col("_v").isNotNull() & (F.size(schema_issues(F.col("_v"))) == 0))
     n = F.count("*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewell.functions.text import preview
 from sievewell.operators.ranking import count_and_quantiles
+from sievewell.session import broadcast_if_small, written_once
 
 REQUIRED = ["drug_id", "drug_name", "avg_mass", "indication", "mechanism", "description", "toxicity", "ingest_dt"]
 
@@ -57,12 +58,13 @@ def evaluate_rules(df: DataFrame, rules: dict[str, Column] | None = None, key: s
 
     Copies of a key are found by an aggregation that is reduced before its
     shuffle; only keys with copies come back to the join, so a hot key is one
-    row there and not one window group.
+    row there and not one window group. They are stored and, if few, sent to the rows,
+    which then stay where they are.
     """
     copies = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_copies")).where("_copies > 1")
     if rules is None:
         rules = default_rules(df, iqr_bounds(df, "avg_mass"))
-    joined = df.join(copies, key, "left")
+    joined = df.join(broadcast_if_small(written_once(copies, "copied-keys")), key, "left")
     names = [F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]
     failed = F.array_compact(F.array(*names))
     return joined.withColumn("failed_rules", failed).drop("_copies").select(*df.columns, "failed_rules")

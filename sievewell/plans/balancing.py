@@ -15,7 +15,7 @@ u AS (SELECT doc_id, label, text, rep, '42|' || doc_id || '|' || rep || '|text'
 
 
 def _u(tail: str) -> str:
-    return f"(('0x' || substr(md5(seed || '|{tail}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5(seed || '|{tail}), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)"
 
 
 def _docs(spark, sf):
@@ -45,7 +45,7 @@ def replicated_rows(spark, sf):
     "perturbed_copies",
     "G5",
     f"""WITH {_BASE}, x AS (SELECT *, len(w) AS n, floor({_u("i'")} * len(w))::BIGINT AS a, floor({_u("j'")} * len(w))::BIGINT AS b,
-      list_filter(w, lambda t, i: (('0x' || substr(md5(seed || '|d|' || (i - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE) > 0.12) AS kept FROM u)
+      list_filter(w, lambda t, i: (('0x' || substr(md5(seed || '|d|' || (i - 1)), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE) > 0.12) AS kept FROM u)
     SELECT doc_id, rep, md5(CASE WHEN n = 0 THEN text WHEN {_u("c'")} < 0.5 THEN array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE w END, ' ')
       ELSE array_to_string(list_transform(w, lambda t, i: CASE WHEN i - 1 = a THEN w[b + 1] WHEN i - 1 = b THEN w[a + 1] ELSE t END), ' ') END) AS text_md5 FROM x""",
 )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievewell.session import spread
 
@@ -64,6 +65,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def data_version(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """A digest of the files behind tables: their paths, times and sizes. New data under an old path has a new one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    rows = files.load([f"{sf_dir}/{n}.parquet" for n in names]).select("path", "modificationTime", "length")
+    row = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")).alias("s")).first()
+    return f"{row['n']}-{row['s']}"
+
+
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose texts get heavy row-wise work: one small file is spread over the cores."""
     return spread(table(spark, sf_dir, name))

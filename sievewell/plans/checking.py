@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from sievewell.operators import quality as q
 from sievewell.plans.base import plan
 from sievewell.plans.frames import SILVER_SQL, silver
+from sievewell.session import work_dir, written_once
+from sievewell.sources import files as fs
+from sievewell.sources import sinks
 
 # One row per input row with a flag per rule, for the SQL side.
 FLAGS_SQL = f"""
@@ -87,7 +90,7 @@ def good_rows(spark, sf):
     f"WITH {FLAGS_SQL} SELECT k, drug_id FROM s WHERE drug_id IN (SELECT drug_id FROM c WHERE any_failed)",
 )
 def bad_rows_by_key(spark, sf):
-    c = checked(spark, sf)
+    c = written_once(checked(spark, sf), "checked")
     return q.keep_listed(c, q.failing_keys(c)).select("k", "drug_id")
 
 
@@ -98,7 +101,7 @@ def bad_rows_by_key(spark, sf):
     WHERE NOT EXISTS (SELECT 1 FROM c WHERE any_failed AND c.drug_id = s.drug_id)""",
 )
 def good_rows_by_key(spark, sf):
-    c = checked(spark, sf)
+    c = written_once(checked(spark, sf), "checked")
     return q.drop_listed(c, q.failing_keys(c)).select("k", "drug_id")
 
 
@@ -128,6 +131,49 @@ def report_bad_sample(spark, sf):
     return q.report_sample(bad, ["drug_id", "drug_name", "ingest_dt"], ["drug_id", "k"])
 
 
+@plan(
+    "report_good_sample",
+    "Q10 P14 W9",
+    f"""WITH {FLAGS_SQL} SELECT coalesce(drug_id, '') AS drug_id, substr(coalesce(drug_name, ''), 1, 120) AS drug_name,
+    coalesce(ingest_dt, '') AS ingest_dt FROM c WHERE NOT any_failed ORDER BY drug_id, k LIMIT 10""",
+)
+def report_good_sample(spark, sf):
+    good = q.split_good_bad(checked(spark, sf), strict_null_keys=True)[0]
+    return q.report_sample(good, ["drug_id", "drug_name", "ingest_dt"], ["drug_id", "k"])
+
+
+@plan(
+    "promoted_by_rules",
+    "K11 Q9 Q10",
+    f"""WITH {FLAGS_SQL} SELECT 'canonical' AS place, count(*) FILTER (NOT any_failed OR drug_id IS NULL) AS row_count FROM c
+    UNION ALL SELECT 'archive', count(*) FILTER (any_failed AND drug_id IS NOT NULL) FROM c
+    UNION ALL SELECT 'published', count(*) FILTER (NOT any_failed OR drug_id IS NULL) FROM c""",
+)
+def promoted_by_rules(spark, sf):
+    """Standardised rows, checked, promoted and published, and what each place then holds."""
+    canonical, archive, published = (work_dir(spark, f"promoted-{x}") for x in ("canonical", "archive", "published"))
+    good, bad = q.split_good_bad(written_once(checked(spark, sf), "checked"))
+    sinks.promote(good, bad, canonical, archive, "20250101_000000", published, "parquet")
+    count = lambda p, name: spark.read.parquet(p).agg(F.count("*").alias("row_count")).select(F.lit(name).alias("place"), "row_count")
+    parts = count(canonical, "canonical").unionByName(count(f"{archive}/bad_20250101_000000", "archive"))
+    return parts.unionByName(count(published, "published"))
+
+
+@plan(
+    "summary_directory",
+    "A10 S10",
+    f"""WITH {FLAGS_SQL} SELECT rule AS summary_key, row_count::VARCHAR AS row_count FROM ("""
+    + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER ({r}) AS row_count FROM c" for r in RULES)
+    + ") WHERE row_count > 0",
+)
+def summary_directory(spark, sf):
+    """The failures of each rule written as a directory of CSV files and read back."""
+    path = work_dir(spark, "summary")
+    q.rule_summary(checked(spark, sf)).withColumn("line", F.monotonically_increasing_id()).write.option("header", True).csv(f"{path}/summary.csv")
+    lines = fs.read_by_suffix(spark, f"{path}/summary.csv")
+    return q.summary_rows(lines.withColumn("line", F.col("line").cast("bigint")), "line").select("summary_key", "row_count")
+
+
 @plan(
     "summary_last_rows",
     "A10",

@@ -142,7 +142,7 @@ PAIRS_SQL = """pairs AS (SELECT q.conv_id, q.turn, q.conv_id * 7 + q.turn AS n,
 ANSWERS_SQL = f"""{PAIRS_SQL},
 answers AS (SELECT conv_id, turn, n, question, answer,
   CASE WHEN n % 11 = 0 THEN '{{' || j WHEN n % 17 = 0 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN n % 29 = 0 THEN '[' || j || ']' ELSE j END AS content,
-  CASE WHEN n % 31 = 0 THEN [] WHEN n % 3 = 0 THEN [answer, 'unrelated words'] WHEN n % 3 = 1 THEN [question, answer[1:200]] ELSE ['nothing of the kind'] END AS ev
+  CASE WHEN n % 31 = 0 THEN [] WHEN n % 3 = 0 THEN [answer, 'unrelated words'] WHEN n % 3 = 1 THEN [question, answer] ELSE ['nothing of the kind'] END AS ev
   FROM (SELECT *, CASE
     WHEN n % 13 = 0 THEN json_object('summary', answer, 'primary_indications', ['pain relief', 'fever'], 'mechanism_summary', 'Not specified', 'tags', ['a'])::VARCHAR
     WHEN n % 19 = 0 THEN json_object('summary', answer, 'mechanism_summary', 'Not specified', 'safety_notes', question, 'tags', NULL)::VARCHAR
@@ -188,7 +188,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = (
         F.when(n % 31 == 0, F.array().cast("array<string>"))
         .when(n % 3 == 0, F.array(answer, F.lit("unrelated words")))
-        .when(n % 3 == 1, F.array(question, F.substring("answer", 1, 200)))
+        .when(n % 3 == 1, F.array(question, answer))
         .otherwise(strings("nothing of the kind"))
     )
     return turn_pairs(spark, sf_dir).select(

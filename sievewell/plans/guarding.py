@@ -211,7 +211,7 @@ def passes(spark, sf):
     return run(base), run(second)
 
 
-_SECOND = DECIDED_SQL.replace("CASE WHEN n % 31 = 0 THEN [] WHEN n % 3 = 0 THEN [answer, 'unrelated words'] WHEN n % 3 = 1 THEN [question, answer[1:200]] ELSE ['nothing of the kind'] END AS ev", "[answer] AS ev")
+_SECOND = DECIDED_SQL.replace("CASE WHEN n % 31 = 0 THEN [] WHEN n % 3 = 0 THEN [answer, 'unrelated words'] WHEN n % 3 = 1 THEN [question, answer] ELSE ['nothing of the kind'] END AS ev", "[answer] AS ev")
 _MODES = "(VALUES ('baseline'), ('rag'), ('self_correcting')) AS modes(model_mode)"
 
 
@@ -234,15 +234,16 @@ def self_corrected_passes(spark, sf):
 @plan(
     "missing_answers",
     "D12",
-    f"""WITH {DECIDED_SQL} SELECT conv_id, turn, CASE WHEN n % 5 = 0 THEN 'RETRIEVAL_FAILURE' ELSE rule_tag END AS rule_tag,
-    CASE WHEN n % 5 <> 0 AND rule_tag IS NULL THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM decided""",
+    f"""WITH {DECIDED_SQL} SELECT conv_id, turn, rule_tag, CASE WHEN rule_tag IS NULL THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM decided
+    UNION ALL SELECT conv_id, turn, 'RETRIEVAL_FAILURE', 'BLOCK' FROM conversations q WHERE role = 'user'
+    AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = q.conv_id AND a.turn = q.turn + 1)""",
 )
 def missing_answers(spark, sf):
-    every = answers(spark, sf)
-    answered = gr.decide(every.where("n % 5 <> 0")).select(
+    answered = gr.decide(answers(spark, sf)).select(
         "conv_id", "turn", "decision", "rule_tag", "grounding_score", "coverage_ratio"
     )
-    d = gr.missing_answers(every.select("conv_id", "turn"), answered, ["conv_id", "turn"])
+    every = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn")
+    d = gr.missing_answers(every, answered, ["conv_id", "turn"])
     return d.select("conv_id", "turn", "rule_tag", "decision")
 
 
@@ -305,7 +306,7 @@ def baseline_prompts(spark, sf):
 
 
 def _u(what: str) -> str:
-    return f"(('0x' || substr(md5('42|{what}|' || prompt_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5('42|{what}|' || prompt_id), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)"
 
 
 @plan(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewell.operators import standardize as st
-from sievewell.plans.base import plan, table, text_table
+from sievewell.plans.base import data_version, plan, table, text_table
 from sievewell.plans.frames import MESSAGES_SQL, SILVER_SQL, messages, silver
 from sievewell.session import work_dir
 from sievewell.sources import files as fs
@@ -18,7 +18,7 @@ from sievewell.sources import sinks
 
 
 @cache
-def _xml(app_id: str, spark, sf: str) -> str:
+def _xml(app_id: str, version: str, spark, sf: str) -> str:
     """Parts as nested XML records: ids in both orders, some unflagged, nested row tags inside."""
     p = text_table(spark, sf, "part")
     key = F.col("p_partkey")
@@ -54,7 +54,7 @@ def _xml(app_id: str, spark, sf: str) -> str:
 
 
 def xml_path(spark, sf):
-    return _xml(spark.sparkContext.applicationId, spark, sf)
+    return _xml(spark.sparkContext.applicationId, data_version(spark, sf, "part"), spark, sf)
 
 
 _ID_SQL = "CASE WHEN p_partkey % 5 = 0 THEN 'ALT' || p_partkey ELSE 'DB' || p_partkey END"
@@ -67,10 +67,7 @@ _ID_SQL = "CASE WHEN p_partkey % 5 = 0 THEN 'ALT' || p_partkey ELSE 'DB' || p_pa
     CASE WHEN p_partkey % 13 <> 0 THEN p_brand END AS indication, CASE WHEN p_partkey % 11 <> 0 THEN 'made as ' || p_type END AS mechanism FROM part""",
 )
 def xml_standardized(spark, sf):
-    # A field that is null in every record is missing from an inferred schema.
-    raw = fs.read_xml(spark, xml_path(spark, sf), "drug")
-    if "toxicity" not in raw.columns:
-        raw = raw.withColumn("toxicity", F.lit(None).cast("string"))
+    raw = fs.read_xml(spark, xml_path(spark, sf), "drug", schema=rec.RECORD_SCHEMA)
     d = st.standardize(raw, F.lit("2025-01-01").cast("date"))
     return d.select("drug_id", "drug_name", "avg_mass", "indication", "mechanism")
 
@@ -81,7 +78,7 @@ def xml_standardized(spark, sf):
     """SELECT 'DB' || p_partkey AS drug_id, p_name AS drug_name FROM part UNION ALL SELECT 'ALT' || p_partkey, p_name FROM part""",
 )
 def xml_flattened_ids(spark, sf):
-    raw = fs.read_xml(spark, xml_path(spark, sf), "drug").withColumnRenamed("name", "drug_name")
+    raw = fs.read_xml(spark, xml_path(spark, sf), "drug", schema=rec.RECORD_SCHEMA).withColumnRenamed("name", "drug_name")
     return st.flatten_ids(raw, "`drugbank-id`", ["drug_name"]).select("drug_id", "drug_name")
 
 
@@ -115,7 +112,7 @@ def xml_sampled_inference(spark, sf):
     FROM part WHERE p_partkey % 11 = 0 AND p_partkey % 13 <> 0""",
 )
 def evidence_records(spark, sf):
-    d = rec.evidence_records(fs.read_xml(spark, xml_path(spark, sf), "drug"), F.lit("2025-01-01"))
+    d = rec.evidence_records(fs.read_xml(spark, xml_path(spark, sf), "drug", schema=rec.RECORD_SCHEMA), F.lit("2025-01-01"))
     return d.select(
         "drug_id", "drug_name", "description", "drug_interactions", "food_interactions",
         *[F.array_join(c, "|").alias(c) for c in ("synonyms", "groups", "categories")],
@@ -130,7 +127,7 @@ def evidence_records(spark, sf):
 )
 def xml_record_sample(spark, sf):
     path = work_dir(spark, "xml-sample")
-    sinks.write_jsonl(rec.sample_records(fs.read_xml(spark, xml_path(spark, sf), "drug")), path)
+    sinks.write_jsonl(rec.sample_records(fs.read_xml(spark, xml_path(spark, sf), "drug", schema=rec.RECORD_SCHEMA)), path)
     back = fs.read_jsonl(spark, path, "primary_id string, all_ids array<string>, name string, groups array<string>")
     return back.select("primary_id", F.array_join("all_ids", "|").alias("all_ids"), "name", F.array_join("groups", "|").alias("groups"))
 
@@ -296,14 +293,27 @@ def promoted_tables(spark, sf):
 @plan(
     "evidence_manifest",
     "K12 S14",
-    "SELECT 'b1' AS build_id, count(*) AS row_count, 'v2' AS schema_version, 12 AS fields FROM documents",
+    """SELECT 'b1' AS build_id, count(*) AS row_count, 'v2' AS schema_version, 12 AS fields, true AS hash_follows_source
+    FROM part WHERE p_partkey % 11 <> 0 OR p_partkey % 13 <> 0""",
 )
 def evidence_manifest(spark, sf):
-    built, path = work_dir(spark, "evidence"), work_dir(spark, "manifest")
-    sinks.write_table(table(spark, sf, "documents"), built)
-    sinks.write_manifest(sinks.manifest_frame(spark, built, "b1", "2025-01-01T00:00:00", "none"), path)
-    m = spark.read.json(path, schema="build_id string, row_count bigint, schema_version string, fields_in_chunk_basis array<string>")
-    return m.select("build_id", "row_count", "schema_version", F.size("fields_in_chunk_basis").alias("fields"))
+    """Evidence records of the XML source with a manifest that holds the hash of that source."""
+    built, path, source = work_dir(spark, "evidence"), work_dir(spark, "manifest"), xml_path(spark, sf)
+    raw = fs.read_xml(spark, source, "drug", schema=rec.RECORD_SCHEMA)
+    sinks.write_table(rec.evidence_records(raw, F.lit("2025-01-01")), built)
+    digest = fs.folder_fingerprint(spark, source)
+    sinks.write_manifest(sinks.manifest_frame(spark, built, "b1", "2025-01-01T00:00:00", digest, source), path)
+    m = spark.read.json(path, schema="build_id string, row_count bigint, schema_version string, source_xml_hash string, fields_in_chunk_basis array<string>")
+    other = fs.folder_fingerprint(spark, built_as_text(spark, built))
+    follows = (F.length("source_xml_hash") == 64) & (F.col("source_xml_hash") == digest) & (F.col("source_xml_hash") != other)
+    return m.select("build_id", "row_count", "schema_version", F.size("fields_in_chunk_basis").alias("fields"), follows.alias("hash_follows_source"))
+
+
+def built_as_text(spark, built: str) -> str:
+    """Another set of files, whose hash must differ."""
+    path = work_dir(spark, "evidence-text")
+    spark.read.parquet(built).select(F.col("drug_id").alias("value")).write.text(path)
+    return path
 
 
 @plan("registered_view", "K13", "SELECT event_type, count(*) AS row_count FROM events GROUP BY 1")

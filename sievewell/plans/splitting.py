@@ -161,6 +161,40 @@ def split_stratified_rare_to_train(spark, sf):
     return d
 
 
+def fallback_sql(first_random: bool, label: str) -> str:
+    """Splits whose second stage, or both stages, are random, as small classes demand."""
+    src = f"(SELECT doc_id, {label} AS label FROM documents)"
+    if first_random:
+        head = f"""b AS (SELECT doc_id AS id, coalesce(label, '__MISSING__') AS class FROM {src}),
+        n AS (SELECT count(*) AS n, round_even(count(*) * (1.0::DOUBLE - 0.7), 0)::BIGINT AS n_temp FROM b),
+        f AS (SELECT id, class, row_number() OVER (ORDER BY {_hash(42, 'id')}, id) - 1 < n_temp AS rest, n_temp FROM b, n)"""
+    else:
+        head = stratified_sql(src, "doc_id", "label", 2, False, "0.7", "0.5::DOUBLE") + """,
+        f AS (SELECT id, r.class, rn >= q1.train_n AS rest, (SELECT n - keep FROM t) AS n_temp FROM r JOIN q1 USING (class))"""
+    return f"""WITH {head}, g AS (SELECT *, row_number() OVER (PARTITION BY rest ORDER BY {_hash(43, 'id')}, id) - 1 AS rn2 FROM f)
+    SELECT id AS doc_id, class AS label, CASE WHEN NOT rest THEN 'train' WHEN rn2 < round_even(n_temp * 0.5::DOUBLE, 0) THEN 'test' ELSE 'val' END AS split FROM g"""
+
+
+_SINGLES = "CASE WHEN doc_id < 60 THEN concat('s', cast(doc_id AS string)) ELSE lang END"
+_TRIPLES = "CASE WHEN doc_id < 30 THEN concat('s', cast(doc_id % 10 AS string)) ELSE lang END"
+
+
+@plan("split_stage1_fallback", "W6", fallback_sql(True, _SINGLES))
+def split_stage1_fallback(spark, sf):
+    d = table(spark, sf, "documents").selectExpr("doc_id", f"{_SINGLES} AS label")
+    out, notes = sp.split_stratified(d, "label", "doc_id", min_per_class=1)
+    assert notes["stage1_mode"] == "random_fallback_small_class", notes
+    return out
+
+
+@plan("split_stage2_fallback", "W6", fallback_sql(False, _TRIPLES))
+def split_stage2_fallback(spark, sf):
+    d = table(spark, sf, "documents").selectExpr("doc_id", f"{_TRIPLES} AS label")
+    out, notes = sp.split_stratified(d, "label", "doc_id")
+    assert notes["stage2_mode"] == "random_fallback_small_class", notes
+    return out
+
+
 @plan("split_samples", "W9", f"""WITH {RANDOM_SQL} SELECT o_orderkey, split FROM (
   SELECT *, row_number() OVER (PARTITION BY split ORDER BY o_orderkey) AS rn FROM s) WHERE rn <= 5""")
 def split_samples(spark, sf):

@@ -4,7 +4,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from sievewell.plans.base import plan
+from sievewell.plans.base import data_version, plan
 from sievewell.plans.frames import MESSAGES_SQL, messages
 from sievewell.session import work_dir
 from sievewell.streaming import streams as sm
@@ -14,7 +14,7 @@ cleaned AS (SELECT v->>'$.id' AS id, CASE WHEN json_exists(v, '$.source') THEN v
 
 
 @cache
-def _topic(app_id: str, spark, sf: str) -> str:
+def _topic(app_id: str, version: str, spark, sf: str) -> str:
     """The messages as a folder of text files, the stand-in for a topic."""
     path = work_dir(spark, "topic")
     messages(spark, sf).repartition(6, "event_id").select("value").write.text(path)
@@ -22,21 +22,21 @@ def _topic(app_id: str, spark, sf: str) -> str:
 
 
 def topic(spark, sf):
-    return _topic(spark.sparkContext.applicationId, spark, sf)
+    return _topic(spark.sparkContext.applicationId, data_version(spark, sf, "events"), spark, sf)
 
 
 @plan(
     "stream_to_partitioned_parquet",
     "S12 K8 X1",
     f"""WITH m AS ({MESSAGES_SQL}), j AS (SELECT CASE WHEN json_valid(value) THEN value::JSON END AS v FROM m)
-    SELECT '2025-01-01' AS dt, v->>'$.source' AS source, count(*) AS row_count FROM j WHERE v IS NOT NULL GROUP BY 1, 2""",
+    SELECT '2025-01-01' AS dt, v->>'$.source' AS source, count(*) AS row_count FROM j GROUP BY 1, 2""",
 )
 def stream_to_partitioned_parquet(spark, sf):
     out, check = work_dir(spark, "stream-out"), work_dir(spark, "stream-check")
     parsed = sm.json_stream(spark, "text", sm.EVENT_SCHEMA, path=topic(spark, sf), maxFilesPerTrigger=2)
-    landed = sm.with_landing_date(parsed.where(F.col("text").isNotNull() | F.col("source").isNotNull()), F.lit("2025-01-01"))
+    landed = sm.with_landing_date(parsed, F.lit("2025-01-01"))
     sm.start_sink(landed, out, check, ["dt"]).awaitTermination()
-    return spark.read.parquet(out).where("text IS NULL OR text <> 'cut'").groupBy(F.col("dt").cast("string").alias("dt"), "source").agg(F.count("*").alias("row_count"))
+    return spark.read.parquet(out).groupBy(F.col("dt").cast("string").alias("dt"), "source").agg(F.count("*").alias("row_count"))
 
 
 @plan("stream_idempotent_sink", "K9 X2", f"WITH m AS ({MESSAGES_SQL}) SELECT count(*) AS row_count, count(DISTINCT value) AS messages FROM m")
@@ -66,7 +66,7 @@ def stream_two_hops(spark, sf):
 
 @plan("stream_progress", "X4", "SELECT count(*) AS input_rows FROM events")
 def stream_progress(spark, sf):
-    out, check = work_dir(spark, "progress-out"), work_dir(spark, "progress-check")
-    q = sm.start_sink(sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=3), out, check)
-    q.awaitTermination()
-    return sm.progress_rows(q).agg(F.sum("input_rows").alias("input_rows"))
+    out, check, log = (work_dir(spark, f"progress-{x}") for x in ("out", "check", "log"))
+    raw = sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=3)
+    sm.start_idempotent_sink(raw, out, check, log).awaitTermination()
+    return spark.read.parquet(log).agg(F.sum("input_rows").alias("input_rows"))

@@ -111,6 +111,8 @@ def document_chunks_plan(spark, sf):
     "T-8 P5 P6",
     f"""WITH s AS ({SILVER_SQL}), r AS (
       SELECT drug_id, drug_name, 'description' AS field_name, description AS t FROM s UNION ALL
+      SELECT drug_id, drug_name, 'indication', indication FROM s UNION ALL
+      SELECT drug_id, drug_name, 'toxicity', toxicity FROM s UNION ALL
       SELECT drug_id, drug_name, 'mechanism_of_action', mechanism FROM s)
     SELECT drug_id, drug_name, field_name, 0 AS chunk_idx, t AS chunk_text, len({sql_tokenize('t')}) AS token_count
     FROM r WHERE length(trim(t)) >= 50""",
@@ -118,8 +120,7 @@ def document_chunks_plan(spark, sf):
 def record_field_chunks(spark, sf):
     from sievewell.operators.standardize import coalesce_aliases
 
-    s = coalesce_aliases(silver(spark, sf)).select("drug_id", "drug_name", "description", "mechanism_of_action")
-    return ch.build_chunks(s)
+    return ch.build_chunks(coalesce_aliases(silver(spark, sf)))
 
 
 @plan("stop_word_tokens", "T-9 A12")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(app_name: str = "sievewell", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -26,20 +29,32 @@ def local_session(app_name: str = "sievewell", cores: str = "*", shuffle_partiti
     return spark
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+def work_base(spark: SparkSession) -> str:
+    """The session's own folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (single-machine tests) is a temporary
-    folder made, and then it is recorded as the session's checkpoint folder so
-    that every later call agrees on it.
+    On a cluster that setting is required: a folder of the driver's machine is not the
+    executors'. Only a session whose executors live in the driver's process, as in tests,
+    is given a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sievewell-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sievewell/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sievewell/{spark.sparkContext.applicationId}"
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the session's own folder."""
+    return f"{work_base(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this session has written to its own folder; frames that read it end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_base(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written_once(df, purpose: str):
@@ -63,10 +78,25 @@ def spread(df, *keys):
     return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
 
 
-def broadcast_if_small(df, max_rows: int = 500_000):
-    """Mark a frame for broadcast when it is counted to have few rows.
+def _row_bytes(df) -> Column:
+    """About the bytes of a row: texts by their length, other single values as 8, the rest as JSON."""
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda a, b: a + b, parts).cast("long")
+
+
+def broadcast_if_small(df, max_rows: int = 500_000, max_bytes: int = 64 << 20):
+    """Mark a frame for broadcast when its rows and their bytes are counted to be few.
 
-    The count stops one row past the limit. A larger frame is returned as it is,
-    and the join is planned as a shuffle.
+    Counting is an aggregation like any other. A larger frame is returned as it is, and
+    the join is planned as a shuffle. Store a frame first that is dear to compute.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    row = df.agg(F.count("*").alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return F.broadcast(df) if row["n"] <= max_rows and (row["b"] or 0) <= max_bytes else df

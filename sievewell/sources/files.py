@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewell.operators.guardrail import kind_of
-from sievewell.session import broadcast_if_small
+from sievewell.session import broadcast_if_small, written_once
 
 
 def read_xml(
@@ -21,19 +23,72 @@ def read_xml(
     exclude_attribute: bool = False,
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """One row per outermost ``row_tag`` element; files are split between tasks.
+    """One row per outermost ``row_tag`` element.
 
-    Give a schema, or a sampling ratio for the inference, on large inputs.
+    With a schema, files are split between tasks like any text, see :func:`xml_elements`.
+    Without one, the built-in reader infers it: a pass over all files, or the sampled share
+    of them, by one task for each file.
     """
+    if schema is not None:
+        if not isinstance(schema, str):
+            schema = schema.toDDL()
+        options = {"mode": mode, "excludeAttribute": str(exclude_attribute).lower()}
+        parsed = xml_elements(spark, path, row_tag).select(F.from_xml("element", F.lit(schema), options).alias("r"))
+        return parsed.select("r.*")
     reader = spark.read.format("xml").option("rowTag", row_tag).option("mode", mode)
     reader = reader.option("excludeAttribute", exclude_attribute)
     if sampling_ratio is not None:
         reader = reader.option("samplingRatio", sampling_ratio)
-    if schema is not None:
-        reader = reader.schema(schema)
     return reader.load(path)
 
 
+def xml_elements(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """(element): the text of each outermost ``row_tag`` element of the files at ``path``.
+
+    Files are read as text that ends records at the closing tag, so a file is split by size.
+    Nearly all records are whole elements. Where elements of the same name stand inside an
+    element, its records are told by the depth of open tags, which is summed up within each
+    split, and over splits from one row for each; only those records are moved to be joined.
+    Tags in comments and CDATA sections count as tags. Elements without a closing tag
+    (``<tag/>``) have no content and are left out, as are tags that are never closed.
+    """
+    close = f"</{row_tag}>"
+    parts = spark.read.option("lineSep", close).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth")
+    )
+    opening = rf"<{re.escape(row_tag)}(\s[^>]*[^/])?>"
+    parts = parts.withColumn("opens", F.regexp_count("value", F.lit(opening)))
+    # the last record of a file ends without a closing tag; it opens no element that is ever closed
+    parts = parts.withColumn("step", F.col("opens") - 1)
+    sums = parts.groupBy("file", "split").agg(F.sum("step").alias("total"), F.max("opens").alias("most"))
+    before = F.coalesce(F.sum("total").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = written_once(sums.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), before.alias("depth"), "most"), "xml-splits")
+    head = F.regexp_extract("value", f"(?s)({opening}.*)", 1)
+    if (starts.agg(F.max("most")).first()[0] or 0) <= 1:  # no element inside another of its name: nothing to join
+        return parts.where("opens = 1").select(F.concat(head, F.lit(close)).alias("element"))
+    starts = broadcast_if_small(starts.drop("most"))
+    placed = parts.join(starts, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
+    inside = W.partitionBy("file", "split").orderBy("nth")
+    after = F.col("depth") + F.sum("step").over(inside)
+    placed = placed.withColumn("after", after).withColumn("whole", (F.col("opens") == 1) & (F.col("after") == 0))
+    single = placed.where("whole").select(F.concat(head, F.lit(close)).alias("element"))
+    # records of nested elements: a group ends where the depth is 0 again
+    rest = placed.where("NOT whole").select("file", "split", "nth", "value", "after")
+    ends = rest.where("after = 0").groupBy("file", "split").agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = rest.select("file", "split").distinct().join(ends, ["file", "split"], "left").na.fill({"n": 0}).select("file", "split", "n")
+    offsets = broadcast_if_small(counted.select("file", "split", earlier.alias("earlier")))
+    rest = rest.join(offsets, ["file", "split"])
+    closed = F.coalesce(F.sum((F.col("after") == 0).cast("int")).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = rest.withColumn("group", F.col("earlier") + closed)
+    joined = rest.groupBy("file", "group").agg(
+        F.array_sort(F.collect_list(F.struct("split", "nth", "value"))).alias("parts"), F.min("after").alias("lowest")
+    )
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), close), F.lit(close))
+    nested = joined.where("lowest = 0").select(F.regexp_extract(text, f"(?s)({opening}.*)", 1).alias("element"))
+    return single.unionByName(nested)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path)
@@ -155,6 +210,15 @@ def source_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def folder_fingerprint(spark: SparkSession, path: str) -> str:
+    """A sha256 over the names, line counts and line digests of the text files below a folder, whatever their size."""
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = line_fingerprint(spark, path).select(F.concat_ws("|", name, "line_count", "digest").alias("row"))
+    # One row for each file; sums do not depend on the order of files.
+    parts = [F.sum(F.conv(F.substring(F.sha2("row", 256), 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return rows.agg(F.sha2(F.concat_ws("|", F.count("*"), *parts), 256)).first()[0]
+
+
 def line_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_count, digest) per text file of any size.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +41,16 @@ def incremental_load(source: DataFrame, ts_col: str, state_path: str) -> DataFra
 
 
 def pull(source: DataFrame, ts_col: str, state_path: str, out_path: str, landing_date: Column | None = None) -> int:
-    """Append the new rows under their landing date, then move the mark; returns the row count.
+    """Write the new rows under their batch and landing date, then move the mark; returns the row count.
 
-    The new mark and the count come from the rows as written, so the source is
-    read once.
+    The batch is named by the mark it starts from, and replaces what an earlier run from
+    the same mark has left: a run that ends between the rows and the mark is repeated
+    without adding rows twice. The new mark and the count come from the rows as written,
+    so the source is read once.
     """
     spark = source.sparkSession
+    start = read_mark(spark, state_path)
+    batch_name = "first" if start is None else re.sub(r"[^0-9A-Za-z]+", "-", str(start))
     batch = incremental_load(source, ts_col, state_path)
     landed = batch.withColumns(
         {
@@ -53,7 +59,7 @@ def pull(source: DataFrame, ts_col: str, state_path: str, out_path: str, landing
         }
     )
     observed, seen = _observe(landed, ts_col)
-    observed.write.mode("append").partitionBy("dt").parquet(out_path)
+    observed.write.mode("overwrite").partitionBy("dt").parquet(f"{out_path}/batch={batch_name}")
     stats = seen.get
     write_mark(spark, state_path, stats["mark"], dict(source.dtypes)[ts_col])
     return stats["rows"]

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from sievewell.functions import patterns as P
 from sievewell.operators.standardize import clean_text, drop_empty_text, join_texts, list_texts, primary_id
 
+# The fields of a nested record that are read, by their names in the files.
+RECORD_SCHEMA = """
+`drugbank-id` ARRAY<STRUCT<_VALUE: STRING, _primary: BOOLEAN>>, name STRING, `average-mass` STRING, state STRING,
+description STRING, indication STRING, pharmacodynamics STRING, `mechanism-of-action` STRING, toxicity STRING, metabolism STRING,
+absorption STRING, `half-life` STRING, `protein-binding` STRING, `route-of-elimination` STRING, `volume-of-distribution` STRING, clearance STRING,
+groups STRUCT<`group`: ARRAY<STRING>>, synonyms STRUCT<synonym: ARRAY<STRING>>,
+categories STRUCT<category: ARRAY<STRUCT<category: STRING>>>, `food-interactions` STRUCT<`food-interaction`: ARRAY<STRING>>,
+`drug-interactions` STRUCT<`drug-interaction`: ARRAY<STRUCT<description: STRING>>>
+"""
+
 _DIRECT = [f for f in P.EVIDENCE_FIELDS if f not in ("drug_interactions", "food_interactions")]
 
 

@@ -70,14 +70,23 @@ def with_landing_date(df: DataFrame, landing_date: Column | None = None) -> Data
     return df.withColumn("dt", dt)
 
 
-def start_idempotent_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_idempotent_sink(df: DataFrame, path: str, checkpoint: str, progress: str | None = None) -> StreamingQuery:
     """Each micro-batch replaces its own folder, so a repeated batch adds nothing.
 
-    For table formats without a transactional streaming sink.
+    For table formats without a transactional streaming sink. Folders carry the id that the
+    checkpoint gives the query, so a new checkpoint, which counts batches from 0 again,
+    replaces nothing of an older one. With ``progress``, a row (batch_id, input_rows) of every
+    batch is kept there, however many there are.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        run = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        target = f"{path}/run={run}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+        if progress:
+            rows = spark.read.schema(batch.schema).parquet(target).agg(F.lit(batch_id).cast("bigint").alias("batch_id"), F.count("*").alias("input_rows"))
+            rows.write.mode("overwrite").parquet(f"{progress}/run={run}/of={batch_id}")
 
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return writer.foreachBatch(write).start()
@@ -98,7 +107,10 @@ def two_hop(spark: SparkSession, raw: DataFrame, raw_path: str, clean_path: str,
 
 
 def progress_rows(query: StreamingQuery) -> DataFrame:
-    """(batch_id, input_rows) of the recent micro-batches, newest state as kept by the query."""
+    """(batch_id, input_rows) of the micro-batches that the query still remembers, by default the last 100.
+
+    For all of them give :func:`start_idempotent_sink` a ``progress`` folder.
+    """
     spark = SparkSession.active()
     rows = [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
     return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint")

@@ -21,6 +21,94 @@ def test_work_dir_is_below_the_shared_folder(spark):
     assert work_dir(spark, "x") != work_dir(spark, "x")
 
 
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from sievewell import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Other:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.work_dir(Other(), "x")
+
+
+def test_new_data_under_an_old_path_is_seen(spark, tmp_path):
+    from sievewell.plans.base import data_version
+
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    first = data_version(spark, str(tmp_path), "t")
+    assert data_version(spark, str(tmp_path), "t") == first
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    assert data_version(spark, str(tmp_path), "t") != first
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from sievewell.session import broadcast_if_small
+
+    df = spark.range(50).selectExpr("id", "repeat('x', 1000) AS t", "array(id) AS a")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, max_bytes=10_000)) and not hinted(broadcast_if_small(df, max_rows=10))
+
+
+@pytest.mark.parametrize("size", ["100m", "9000", "700"])
+def test_xml_is_split_and_elements_cross_splits(spark, tmp_path, size):
+    inner = "<drugs><drug><name>in</name></drug><drug>\n<name>in</name></drug></drugs>"
+    for f in range(2):
+        body = "".join(f'<drug type="t" id="{f * 1000 + i}"><name>n{f}-{i}</name>{inner * (i % 3)}<note>{"é" * (i % 50)}</note></drug>\n' for i in range(300))
+        (tmp_path / f"{f}.xml").write_text(f'<?xml version="1.0"?>\n<drugbank>\n{body}</drugbank>\n')
+    for k, v in (("maxPartitionBytes", size), ("openCostInBytes", "0")):
+        spark.conf.set(f"spark.sql.files.{k}", v)
+    try:
+        scan = spark.read.option("lineSep", "</drug>").text(str(tmp_path))
+        assert scan.rdd.getNumPartitions() >= {"100m": 2, "9000": 8, "700": 100}[size]
+        got = fs.read_xml(spark, str(tmp_path), "drug", schema="_id long, name string, note string").collect()
+    finally:
+        for k in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{k}")
+    assert sorted((r["_id"], r["name"], len(r["note"] or "")) for r in got) == [(f * 1000 + i, f"n{f}-{i}", i % 50) for f in range(2) for i in range(300)]
+
+
+def test_a_repeated_pull_adds_nothing(spark):
+    state, out = work_dir(spark, "r-mark"), work_dir(spark, "r-out")
+    src = spark.createDataFrame([(i, dt.datetime(2025, 1, i)) for i in range(1, 4)], "id int, updated_at timestamp")
+    inc.pull(src, "updated_at", state, out)
+    mark = inc.read_mark(spark, state)
+    more = src.union(spark.createDataFrame([(9, dt.datetime(2025, 2, 1))], src.schema))
+    inc.pull(more, "updated_at", state, out)
+    inc.write_mark(spark, state, mark)  # as if the run had ended before it moved the mark
+    inc.pull(more, "updated_at", state, out)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 9]
+
+
+def test_progress_of_all_batches_is_kept(spark, tmp_path):
+    topic = messages(tmp_path)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        raw = sm.message_stream(spark, "text", path=topic, maxFilesPerTrigger=1)
+        q = sm.start_idempotent_sink(raw, str(tmp_path / "io"), str(tmp_path / "ic"), str(tmp_path / "ip"))
+        q.awaitTermination()
+        assert len(q.recentProgress) <= 2
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert spark.read.parquet(str(tmp_path / "ip")).agg(F.sum("input_rows")).first()[0] == 24
+    # a new checkpoint counts from 0 again and replaces nothing
+    sm.start_idempotent_sink(raw, str(tmp_path / "io"), str(tmp_path / "ic2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "io")).count() == 48
+
+
+def test_run_metrics_by_mode_keep_rows_without_mode(spark):
+    df = spark.createDataFrame(
+        [("{}", "BLOCK", "SCHEMA_INVALID", 0.0, 0.0, True, 10.0, None), ("x", "ALLOW", None, 1.0, 0.5, True, 20.0, "baseline")],
+        "content string, decision string, rule_tag string, grounding_score double, coverage_ratio double, should_allow boolean, latency_ms double, model_mode string",
+    )
+    got = {r["model_mode"]: r for r in ev.run_metrics(df, by="model_mode").collect()}
+    assert got["rag"]["latency_p95_ms"] == 10.0 and got["rag"]["rule_breakdown"] == {"SCHEMA_INVALID": 1} and got["baseline"]["optimal_threshold"] is not None
+
+
 def test_nested_row_tags_are_no_rows(spark, tmp_path):
     # TR20
     (tmp_path / "a.xml").write_text("<r><drug><name>a</name><pathways><drug><name>inner</name></drug></pathways></drug><drug><name>b</name></drug></r>")
