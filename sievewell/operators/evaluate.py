@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -246,7 +245,3 @@ def long_metrics(one_row: DataFrame, cols: list[str]) -> DataFrame:
     """(metric, value) rows of a one-row frame."""
     casted = one_row.select(*[F.col(c).cast("double").alias(c) for c in cols])
     return casted.unpivot([], cols, "metric", "value")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

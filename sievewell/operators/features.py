@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievewell.functions import patterns as P
 from sievewell.functions.patterns import MECHANISM_KEYWORDS
 from sievewell.operators.profile import date_ordinal, z_score
 
@@ -67,7 +68,8 @@ def stop_word_tokens(df: DataFrame, text: str) -> DataFrame:
     """Lower-case ``\\W+`` tokens without English stop words, as ``<text>_tokens``."""
     lowered = df.withColumn(text, F.lower(F.coalesce(F.col(text), F.lit(""))))
     raw = RegexTokenizer(inputCol=text, outputCol=f"{text}_tok", pattern="\\W+").transform(lowered)
-    return StopWordsRemover(inputCol=f"{text}_tok", outputCol=f"{text}_tokens").transform(raw).drop(f"{text}_tok")
+    remover = StopWordsRemover(inputCol=f"{text}_tok", outputCol=f"{text}_tokens", stopWords=P.ENGLISH_STOP_WORDS, locale="en_US")
+    return remover.transform(raw).drop(f"{text}_tok")
 
 
 def hashed_tfidf(df: DataFrame, tokens: str, out: str, num_features: int = 65536) -> DataFrame:

@@ -123,10 +123,18 @@ def record_field_chunks(spark, sf):
     return ch.build_chunks(coalesce_aliases(silver(spark, sf)))
 
 
-@plan("stop_word_tokens", "T-9 A12")
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in tx.P.ENGLISH_STOP_WORDS)
+
+
+@plan(
+    "stop_word_tokens",
+    "T-9 A12",
+    f"""SELECT doc_id, len(t)::INTEGER AS tokens, md5(array_to_string(t, ' ')) AS token_md5 FROM (SELECT doc_id, list_filter(
+      regexp_split_to_array(lower(coalesce(text, '')), '[^a-zA-Z0-9_]+'), lambda x: x <> '' AND NOT list_contains([{_STOPS}], x)) AS t FROM documents)""",
+)
 def stop_word_tokens(spark, sf):
     d = ft.stop_word_tokens(text_table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return d.select("doc_id", F.size("text_tokens").alias("tokens"))
+    return d.select("doc_id", F.size("text_tokens").alias("tokens"), F.md5(F.array_join("text_tokens", " ")).alias("token_md5"))
 
 
 @plan("hashed_tfidf", "T-10")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_CLEARED_AT_EXIT: set[str] = set()
+
+
 def local_session(app_name: str = "sievewell", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
     builder = (
@@ -30,7 +35,7 @@ def local_session(app_name: str = "sievewell", cores: str = "*", shuffle_partiti
 
 
 def work_base(spark: SparkSession) -> str:
-    """The session's own folder below the shared folder named by ``spark.checkpoint.dir``.
+    """The session's own folder below the shared folder named by ``spark.checkpoint.dir``; deleted when the process ends.
 
     On a cluster that setting is required: a folder of the driver's machine is not the
     executors'. Only a session whose executors live in the driver's process, as in tests,
@@ -42,9 +47,17 @@ def work_base(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sievewell-")
         spark.sparkContext.setCheckpointDir(base)
+    if (app := spark.sparkContext.applicationId) not in _CLEARED_AT_EXIT:
+        _CLEARED_AT_EXIT.add(app)
+        atexit.register(_clear_quietly, spark)
     return f"{base.rstrip('/')}/sievewell/{spark.sparkContext.applicationId}"
 
 
+def _clear_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the process
+        clear_work(spark)
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the session's own folder."""
     return f"{work_base(spark)}/{purpose}-{uuid.uuid4().hex}"
