@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievewell.functions import patterns as P
 from sievewell.functions.patterns import MECHANISM_KEYWORDS
 from sievewell.operators.profile import date_ordinal, z_score
+from sievewell.session import broadcast_if_small, written_once
 
 
 def engineered(
@@ -45,19 +46,25 @@ def numeric_features(df: DataFrame, texts: tuple = ("description", "indication",
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """(label, label_index): 0 for the most frequent label, ties alphabetical.
 
-    The window runs over one row per distinct label, after the counting.
+    The labels are sorted by ranges and stored with their place in the range; one row per
+    range tells how many labels lie before it. No task sees all labels.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    order = W.orderBy(F.desc("n"), F.asc(label))
-    return counts.select(label, (F.row_number().over(order) - 1).cast("double").alias("label_index"))
+    placed = counts.orderBy(F.desc("n"), F.asc(label)).select(label, F.monotonically_increasing_id().alias("_place"))
+    placed = written_once(placed, "label-order").withColumn("_range", F.shiftrightunsigned("_place", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_place").bitwiseAND((1 << 33) - 1) + F.col("_before")
+    return placed.join(F.broadcast(offsets), "_range").select(label, place.cast("double").alias("label_index"))
 
 
 def with_label_index(df: DataFrame, label: str, out: str) -> DataFrame:
     """Join the index; a null or unseen label gets the number of labels."""
-    index = label_index(df, label)
+    index = written_once(label_index(df, label), "label-index")
     size = index.agg(F.count("*").cast("double")).scalar()
     return (
-        df.join(index, label, "left")
+        df.join(broadcast_if_small(index), label, "left")
         .withColumn(out, F.coalesce("label_index", size))
         .drop("label_index")
         .select(*df.columns, out)

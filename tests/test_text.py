@@ -106,3 +106,15 @@ def test_cosine_of_two_texts(spark):
 def test_preview(spark):
     assert one(spark, tx.preview(F.col("a"), 5), "ab\ncdefg") == "ab cd..."
     assert one(spark, tx.preview(F.col("a"), 5), None) == ""
+
+
+def test_label_index_orders_by_frequency_then_name(spark):
+    from sievewell.operators.features import label_index, with_label_index
+
+    names = [f"l{i:03d}" for i in range(200)]
+    data = [(n,) for i, n in enumerate(names) for _ in range(1 + i % 5)] + [(None,)]
+    df = spark.createDataFrame(data, "label string").repartition(6)
+    want = {n: float(k) for k, n in enumerate(sorted(names, key=lambda n: (-(1 + int(n[1:]) % 5), n)))}
+    assert {r["label"]: r["label_index"] for r in label_index(df, "label").collect()} == want
+    got = {(r["label"], r["at"]) for r in with_label_index(df, "label", "at").collect()}
+    assert got == {*want.items(), (None, 200.0)}
