@@ -200,7 +200,9 @@ def test_pieces_are_the_library_s(spark, docs, messy, nothing):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pieces.encode_documents(df).collect()}
     assert all(list(got[i].ids) == lib.encode(t or "") for i, t in rows)
-    assert all(got[i].round_trip for i, t in rows if "▁" not in (t or ""))
+    assert all(got[i].round_trip == ("▁" not in (t or "")) for i, t in rows)
+    back = pieces.decoded(pieces.encoded(df)).collect()
+    assert all(r.text == (dict(rows)[r.doc_id] or "").replace("▁", " ") for r in back)
     out = pieces.encoded(messy)
     assert set(out.columns) == {*messy.columns} - {"text"} and out.count() == messy.count()
     assert pieces.encoded(nothing).collect() == []
