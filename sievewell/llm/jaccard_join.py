@@ -124,7 +124,7 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, si
     owner, column = owner[column >= 0], column[column >= 0]
     li, ri = np.array([at[int(x)] for x in left]), np.array([at[int(x)] for x in right])
     common = np.zeros((len(li), len(ri)), np.float32)
-    wide = max(256, min(4096, (8 << 20) // max(1, len(rows))))
+    wide = max(256, min(4096, (2 << 20) // max(1, len(rows))))
     n = int(column.max()) + 1 if len(column) else 0
     cuts = np.searchsorted(column, np.arange(0, n + wide, wide))
     for k in range(len(cuts) - 1):
