@@ -1,5 +1,6 @@
 """Toxicity, quality, pseudo-likelihood, licences, mixing, pieces and the pipeline."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -104,6 +105,34 @@ def test_pseudo_likelihood(spark, messy, nothing):
     assert pseudo_likelihood.score_documents(nothing).collect() == []
 
 
+def test_pseudo_likelihood_learns_rare_words_at_one_rate(spark):
+    rnd = random.Random(5)
+    # each of 300 words has one word that follows it; the pairs stand in any order
+    pairs = [f"{chr(97 + i % 26)}x{i} {chr(97 + i % 26)}y{i}" for i in range(300)]
+    texts = [" ".join(rnd.choice(pairs) for _ in range(60)) + f" once{i:05d}" for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert pseudo_likelihood.fitted(docs, rounds=0).tokens == 33 + math.isqrt(1200 * 121)
+    net = pseudo_likelihood.fitted(docs, vocabulary=600, rounds=4)
+    shuffled = [(i, " ".join(rnd.sample(t.split(), 121))) for i, t in enumerate(texts)]
+    own = {r.doc_id: r.log_prob for r in pseudo_likelihood.scored(docs, net).collect()}
+    other = {r.doc_id: r.log_prob for r in pseudo_likelihood.scored(spark.createDataFrame(shuffled, "doc_id long, text string"), net).collect()}
+    assert np.mean([own[i] > other[i] for i in own]) > 0.99
+    # chances of all words after one place sum to one, over all classes
+    h, kinds, bounds = pseudo_likelihood.words_of(pa.array([texts[0]]))
+    ids = net.ids(h, kinds)
+    assert (ids <= 32).sum() == 1 and pseudo_likelihood.class_count(net.tokens) > 4
+    total = 0.0
+    for token in range(net.tokens):
+        row = pseudo_likelihood.edged(np.array([*ids[:5], token, *ids[6:9]], np.int32), np.array([0, 9]))[0]
+        total += np.exp(pseudo_likelihood.log_likelihoods(net.weights, net.tokens, 16, row)[5]) if token else 0
+    assert abs(total - 1) < 1e-3
+    # one window in seven, also of few texts; a sequence that comes again is picked by its place
+    piece = pa.record_batch([pa.array([1, 2, None]), pa.array(["a b c d e f g " * 700] * 3)], names=["doc_id", "text"])
+    got = next(pseudo_likelihood._tokens_of(net, 7)([piece])).column("chosen")[0].as_py()
+    places = np.frombuffer(got, np.int32)
+    assert abs(len(places) / (3 * 4900) - 1 / 7) < 0.02 and len(set(places % 7)) == 7
+
+
 def test_licenses(spark, messy, nothing):
     full = licenses.KNOWN[7][1]
     rows = [(1, "Copyright (c) 2020 A. Person\nCOPYRIGHT B\n\n" + full.upper().replace("LICENSE", "LICENCE")), (2, full + " And more."), (3, "x\nLicenced under the apache licence — version 2.0\ny")]
