@@ -1,13 +1,20 @@
 """Licence scans: canonical digests of whole texts, looked up among those of known licences.
 
-Canonical form: small letters; copyright lines dropped; everything but letters and digits
+Canonical form: small letters; copyright notices dropped; everything but letters and digits
 made one blank; variant spellings made one. The digest of the form is joined with a table
 of known digests, for the whole text and for each of its lines, so a licence text is found
 as a document and a notice as a line. Only Spark's own functions are used.
+
+Known are the texts of ``KNOWN`` and the whole texts in the folder ``known_licenses``, with
+and without their titles and the instructions after their terms.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,13 +69,40 @@ KNOWN = [
     ),
 ]
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A notice names a sign or a year right after the word, or opens a paragraph without being a sentence about
+# copyright, or follows another notice. A line of a licence's body that a wrap has begun with the word is none.
+_SIGNED = r"(?:©|copyright[ \t:,]*(?:\(c\)|©|&copy;|[\[<{(]?(?:yyyy|year)|(?:19|20)[0-9][0-9])|\(c\)[ \t]*(?:copyright|©|(?:19|20)[0-9][0-9]))[^\n]*"
+_ABOUT = "notice|holder|owner|law|licen[sc]e|statement|interest|protection|right|act|treat|disclaimer|permission|and|or|in|is|as|to|of|are|for|shall|may"
+_NAMED = rf"copyright\b(?![ \t]+(?:{_ABOUT})s?\b)[^\n]*"
+_FOLLOWING = rf"(?:\n[ \t]*(?:{_SIGNED}|{_NAMED}|all rights reserved[ \t\r.]*(?=\n|$)))*"
+NOTICE = rf"(?:(?:^|\n)[ \t]*{_SIGNED}|(?:^[ \t\r\n]*|\n[ \t\r]*\n[ \t]*){_NAMED}){_FOLLOWING}"
+
+# Titles above texts that are known without one.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "The Expat License", "MIT License (Expat)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "Unlicense": ["Unlicense", "The Unlicense", "Unlicense (Public Domain)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The 2-Clause BSD License", "BSD License"],
+    "BSD-3-Clause": [
+        "BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "The 3-Clause BSD License", "BSD License",
+    ],
+    "BSL-1.0": [],
+}
+_THIRD = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ADDRESSES = [
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+    "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA",
+]
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VARIANT = r"\b(" + "|".join(SPELLINGS) + r")\b"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null gives an empty one."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), COPYRIGHT, " ")
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
+    plain = F.when(marked, F.regexp_replace(low, NOTICE, " ")).otherwise(low)
     plain = F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
     spelled = plain
     for variant, one in SPELLINGS.items():
@@ -76,8 +110,49 @@ def canonical(text: Column) -> Column:
     return F.when(plain.rlike(_VARIANT), spelled).otherwise(plain)
 
 
+@cache
+def known_texts() -> list[tuple[str, str]]:
+    """``KNOWN`` and the whole texts of the folder, in the forms in which they stand as files."""
+    bodies = [x for x in KNOWN if len(x[1]) > 200 and x[0] in TITLES and x[0] != "Unlicense"]
+    out = list(KNOWN)
+    for file in sorted(files("sievewell.llm").joinpath("known_licenses").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        if name in TITLES:
+            bodies.append((name, text))
+            continue
+        parts = re.split(r"\n\s*\n", text.strip(), maxsplit=2)
+        texts = [text, text.strip()[len(parts[0]) :]]  # with and without the title
+        if len(parts[1].strip()) < 60:
+            texts.append(parts[2])
+        ends = [re.split(r"(?<=END OF TERMS AND CONDITIONS)", t)[0] for t in texts]
+        plain = [t.removesuffix("END OF TERMS AND CONDITIONS") for t in ends]
+        for t in {*texts, *ends, *plain}:
+            out += [(name, _ADDRESS.sub(a, t)) for a in _ADDRESSES] if _ADDRESS.search(t) else []
+            out.append((name, t))
+    two = next(t for name, t in bodies if name == "BSD-2-Clause")
+    head, rest = two[two.index("Redistribution and use") :].split("THIS SOFTWARE IS PROVIDED", 1)
+    for whom in ("the copyright holder", "copyright holder", "the copyright holders", "the University", "the author", "the authors", "the project"):
+        bodies.append(("BSD-3-Clause", f"{head}\n3. {_THIRD.format(whom)}\n\nTHIS SOFTWARE IS PROVIDED{rest}"))
+    # the same texts with other marks before their clauses, other makers, and other links
+    for name, t in list(bodies):
+        if name.startswith("BSD"):
+            bodies.append((name, re.sub(r"(?m)^\s*[123][.)]\s", "* ", t)))
+        if name == "ISC":
+            bodies.append((name, t.replace("and/or distribute", "and distribute")))
+            bodies.append((name, t.replace("THE AUTHOR", "ISC")))
+        if name == "Unlicense":
+            bodies += [(name, re.sub(r"https?://(www\.)?unlicense\.org/?", link, t)) for link in ("https://unlicense.org", "https://www.unlicense.org", "")]
+            bodies.append((name, t[: t.index("For more information")]))
+    for name, t in list(bodies):
+        if name.startswith("BSD"):
+            bodies.append((name, re.sub(r"THE COPYRIGHT\s+HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS", t).replace("COPYRIGHT HOLDER OR", "REGENTS OR")))
+    for name, t in bodies:
+        out += [(name, t), *((name, f"{title}\n\n{t}") for title in TITLES[name])]
+    return out
+
+
 def canonical_sql(text: str) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, but that it drops every line that begins with the word copyright."""
     plain = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{COPYRIGHT}', ' ', 'g')"
     plain = f"trim(regexp_replace({plain}, '[^a-z0-9]+', ' ', 'g'))"
     for variant, one in SPELLINGS.items():
@@ -103,7 +178,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     to be small, and joined by a shuffle otherwise.
     """
     if known is None:
-        known = docs.sparkSession.createDataFrame(KNOWN, "license_id string, text string")
+        known = docs.sparkSession.createDataFrame(known_texts(), "license_id string, text string")
     table = broadcast_if_small(known_digests(known), 100_000)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -118,6 +193,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def scan_sql() -> str:
+    """The scan in SQL for the texts of ``KNOWN``; whole texts of the folder are not in it."""
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
     return f"""
 WITH known AS (

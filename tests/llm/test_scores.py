@@ -1,8 +1,10 @@
 """Toxicity, quality, pseudo-likelihood, licences, mixing, pieces and the pipeline."""
 
 import math
+import pathlib
 import random
 import re
+import textwrap
 from collections import defaultdict
 
 import duckdb
@@ -144,6 +146,27 @@ def test_licenses(spark, messy, nothing):
     assert licenses.scan_licenses(nothing).collect() == []
 
 
+def test_wrapped_and_titled_licenses(spark):
+    mit, isc = licenses.KNOWN[7][1], licenses.KNOWN[8][1]
+    wrapped = lambda text, first: re.sub(rf"(?i) ({first})", r"\n\1", text)
+    folder = pathlib.Path(licenses.__file__).parent / "known_licenses"
+    whole = lambda name: (folder / f"{name}.txt").read_text()
+    bsd = whole("BSD-2-Clause")
+    # paragraphs wrapped anew, but for those of notices, which end with their line
+    filled = lambda text, n: "\n\n".join(x if re.search(r"(?i)copyright (\(c\)|\[)", x) else textwrap.fill(x, n) for x in re.split(r"\n\s*\n", text))
+    cases = [
+        ("ISC", "Copyright 2020 A. Person\n\n" + wrapped(isc, "copyright notice")), ("ISC", "ISC License\n\nCopyright (c) 2020 A. Person\r\n\r\n" + wrapped(isc, "copyright notice")),
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(mit, "copyright holders")), ("MIT", "The MIT License (MIT)\n\n© A. Person\nAll rights reserved.\n\n" + textwrap.fill(mit, 50)),
+        ("MIT", wrapped(mit, "copyright notice")), ("Unlicense", whole("Unlicense")), ("Unlicense", filled(whole("Unlicense"), 41)), ("Apache-2.0", whole("Apache-2.0")),
+        ("Apache-2.0", filled(whole("Apache-2.0"), 61)), ("Apache-2.0", whole("Apache-2.0").split("APPENDIX")[0]), ("GPL-3.0", whole("GPL-3.0")), ("GPL-2.0", filled(whole("GPL-2.0").split("\n\n", 1)[1], 47)),
+        ("MPL-2.0", whole("MPL-2.0")), ("CC0-1.0", whole("CC0-1.0")), ("CC-BY-SA-4.0", whole("CC-BY-SA-4.0")), ("BSD-2-Clause", "Copyright (c) 2001, B\nAll rights reserved.\n\n" + bsd[bsd.index("Redistribution") :]),
+        (None, "MIT License"), (None, "Copyright (c) 2020 A. Person"), (None, isc.replace("copyright notice", "")),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs).collect()}
+    assert [(i, got[i]) for i in range(len(cases))] == [(i, want) for i, (want, _) in enumerate(cases)]
+
+
 def test_license_sql(spark, sf, docs):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
