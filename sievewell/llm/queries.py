@@ -73,11 +73,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from sievewell.llm.collocations import collocations_sql
     from sievewell.llm.licenses import scan_sql
 
-    return {"op3_license_scan": scan_sql()}
+    return {"op3_license_scan": scan_sql(), "op12_phrase_collocations": collocations_sql()}
