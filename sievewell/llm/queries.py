@@ -73,6 +73,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.conversation_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievewell.llm.collocations import collocations
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from sievewell.llm.collocations import collocations_sql
+    from sievewell.llm.conversation_trie import trie_sql
     from sievewell.llm.licenses import scan_sql
 
-    return {"op3_license_scan": scan_sql(), "op12_phrase_collocations": collocations_sql()}
+    return {"op3_license_scan": scan_sql(), "op11_conversation_trie": trie_sql(), "op12_phrase_collocations": collocations_sql()}
