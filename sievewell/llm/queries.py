@@ -85,6 +85,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievewell.llm.warc_zip import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -93,5 +99,6 @@ def oracle_sql() -> dict[str, str]:
     from sievewell.llm.collocations import collocations_sql
     from sievewell.llm.conversation_trie import trie_sql
     from sievewell.llm.licenses import scan_sql
+    from sievewell.llm.warc_zip import archived_pages_sql
 
-    return {"op3_license_scan": scan_sql(), "op11_conversation_trie": trie_sql(), "op12_phrase_collocations": collocations_sql()}
+    return {"op3_license_scan": scan_sql(), "op11_conversation_trie": trie_sql(), "op12_phrase_collocations": collocations_sql(), "op13_warc_zip": archived_pages_sql()}
