@@ -11,6 +11,7 @@ and without their titles and the instructions after their terms.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import cache
 from importlib.resources import files
@@ -18,7 +19,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.session import broadcast_if_small
+from sievewell.session import broadcast_if_small, written_once
 
 # Spellings that mean the same in licence texts.
 SPELLINGS = {
@@ -68,14 +69,19 @@ KNOWN = [
         "means.",
     ),
 ]
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-# A notice names a sign or a year right after the word, or opens a paragraph without being a sentence about
-# copyright, or follows another notice. A line of a licence's body that a wrap has begun with the word is none.
-_SIGNED = r"(?:©|copyright[ \t:,]*(?:\(c\)|©|&copy;|[\[<{(]?(?:yyyy|year)|(?:19|20)[0-9][0-9])|\(c\)[ \t]*(?:copyright|©|(?:19|20)[0-9][0-9]))[^\n]*"
+# A notice is a line. It names a sign or a year right after the word, or opens a paragraph without being a sentence
+# about copyright, or is such a line, or the sentence that reserves all rights, right after another notice. A line of
+# a licence's body that a wrap has begun with the word is none. No group is repeated: a matcher would recurse for each line.
 _ABOUT = "notice|holder|owner|law|licen[sc]e|statement|interest|protection|right|act|treat|disclaimer|permission|and|or|in|is|as|to|of|are|for|shall|may"
+_SIGNED = r"(?:©|copyright[ \t:,]*(?:\(c\)|©|&copy;|[\[<{(]?(?:yyyy|year)|(?:19|20)[0-9][0-9])|\(c\)[ \t]*(?:copyright|©|(?:19|20)[0-9][0-9]))[^\n]*"
 _NAMED = rf"copyright\b(?![ \t]+(?:{_ABOUT})s?\b)[^\n]*"
-_FOLLOWING = rf"(?:\n[ \t]*(?:{_SIGNED}|{_NAMED}|all rights reserved[ \t\r.]*(?=\n|$)))*"
-NOTICE = rf"(?:(?:^|\n)[ \t]*{_SIGNED}|(?:^[ \t\r\n]*|\n[ \t\r]*\n[ \t]*){_NAMED}){_FOLLOWING}"
+_RESERVED = r"all rights reserved[ \t\r.]*(?=\n|$)"
+MARK = "\x01"  # stands for a notice until all are found
+NOTICES = [
+    (rf"(?i)(^|\n)[ \t]*+{_SIGNED}", f"$1{MARK}"),
+    (rf"(?i)(^[ \t\r\n]*+|\n[ \t\r]*+\n[ \t]*+){_NAMED}", f"$1{MARK}"),
+    (rf"(?i)(?:{MARK}|\G(?!^))\n[ \t]*+(?:{_NAMED}|{_RESERVED}|{MARK})", f"\n{MARK}"),  # \G: where the notice before has ended
+]
 
 # Titles above texts that are known without one.
 TITLES = {
@@ -94,20 +100,45 @@ _ADDRESSES = [
     "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA",
 ]
 _ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA")
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VARIANT = r"\b(" + "|".join(SPELLINGS) + r")\b"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null gives an empty one."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
-    plain = F.when(marked, F.regexp_replace(low, NOTICE, " ")).otherwise(low)
-    plain = F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
-    spelled = plain
+def _plain(text: Column) -> Column:
+    """Letters and digits in small letters, with one blank between. Only A-Z have small letters: other signs are blanks before."""
+    return F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+
+
+def with_canonical(rows: DataFrame, text: str, into: str) -> DataFrame:
+    """``rows`` with the canonical form of the column ``text``; null gives an empty one.
+
+    Each step is a column of its own, so that none is worked out twice; only a text with
+    a word or sign of copyright is searched for notices.
+    """
+    rows = rows.withColumn("__text", F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(" "))).withColumn("__plain", _plain(F.col("__text")))
+    cut = F.col("__text")
+    for pattern, one in NOTICES:
+        cut = F.regexp_replace(cut, pattern, one)
+    marked = F.col("__plain").contains("copyright") | F.concat(F.lit(" "), "__plain", F.lit(" ")).contains(" c ") | F.col("__text").contains("©")
+    rows = rows.withColumn("__cut", F.when(marked, _plain(cut)).otherwise(F.col("__plain")))
+    spelled = F.col("__cut")
     for variant, one in SPELLINGS.items():
         spelled = F.regexp_replace(spelled, rf"\b{variant}\b", one)
-    return F.when(plain.rlike(_VARIANT), spelled).otherwise(plain)
+    return rows.withColumn(into, F.when(F.col("__cut").rlike(_VARIANT), spelled).otherwise(F.col("__cut"))).drop("__text", "__plain", "__cut")
+
+
+def canonical_text(text: str) -> str:
+    """The same in plain Python, line by line, from which the SQL takes its digests."""
+    out, run, blank = [], False, True  # in a run of notices; at the start of a paragraph
+    for line in re.split(r"\n", text):
+        low = line.lower().lstrip(" \t")
+        named = re.match(_NAMED, low) is not None
+        run = re.match(_SIGNED, low) is not None or (named and (run or blank)) or (run and re.match(rf"(?:{_RESERVED})", low) is not None)
+        out.append("" if run else line)
+        blank = not run and not line.strip(" \t\r")
+    plain = re.sub("[^A-Za-z0-9]+", " ", "\n".join(out)).strip(" ").lower()
+    for variant, one in SPELLINGS.items():
+        plain = re.sub(rf"\b{variant}\b", one, plain)
+    return plain
 
 
 @cache
@@ -151,19 +182,16 @@ def known_texts() -> list[tuple[str, str]]:
     return out
 
 
-def canonical_sql(text: str) -> str:
-    """The same in DuckDB's SQL, but that it drops every line that begins with the word copyright."""
-    plain = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{COPYRIGHT}', ' ', 'g')"
-    plain = f"trim(regexp_replace({plain}, '[^a-z0-9]+', ' ', 'g'))"
-    for variant, one in SPELLINGS.items():
-        plain = f"regexp_replace({plain}, '\\b{variant}\\b', '{one}', 'g')"
-    return plain
-
-
 def known_digests(known: DataFrame) -> DataFrame:
-    """(digest, license_id) of (license_id, text); of several names for one text the first stays, empty texts are none."""
-    forms = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> '' AND license_id IS NOT NULL")
-    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    """(digest, license_id, first) of (license_id, text); of several names for one text the first stays, empty texts are none.
+
+    ``first`` lists the words with which a text of this form can begin, before its spelling is changed.
+    """
+    forms = with_canonical(known.select("license_id", F.col("text").cast("string").alias("text")), "text", "form").where("form <> '' AND license_id IS NOT NULL")
+    start = F.substring_index("form", " ", 1)
+    others = [F.when(start == one.split(" ")[0], F.lit(variant.split(" ")[0])) for variant, one in SPELLINGS.items()]
+    forms = forms.withColumn("first", F.array_compact(F.array_distinct(F.array(start, *others))))
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min("first").alias("first"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -171,40 +199,71 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     ``digest`` is that of the whole canonical text, ``license_id`` the licence whose text
     it is, or null. ``notices`` names the licences of single lines that are a known text,
-    in order and divided by commas; empty if there are none. A null or empty text, or one
-    without letters and digits, has the digest of the empty form and matches nothing.
+    in order and divided by commas; empty if there are none. Only lines that begin with a
+    word with which a known text can begin are put in canonical form, which loses none.
+    A null or empty text, or one without letters and digits, has the digest of the empty form and matches nothing.
     Rows that repeat give one row each, also without id; other columns do not matter, an
     empty table gives no rows. ``known`` (license_id, text) is broadcast if it is counted
     to be small, and joined by a shuffle otherwise.
     """
     if known is None:
         known = docs.sparkSession.createDataFrame(known_texts(), "license_id string, text string")
-    table = broadcast_if_small(known_digests(known), 100_000)
+    table = written_once(known_digests(known), "known-licenses")
+    firsts = broadcast_if_small(table.select(F.explode("first").alias("first")).distinct(), 100_000)
+    table = broadcast_if_small(table.drop("first"), 100_000)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    lines = rows.select("doc_id", "text_key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.select("doc_id", "text_key", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(table, "digest")
+    lines = rows.select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line"))
+    # the first word, without a look at the rest of the line; a line that is a notice has none
+    lines = lines.withColumn("first", F.lower(F.regexp_extract("line", "^[^A-Za-z0-9]*([A-Za-z0-9]+)", 1))).join(firsts, "first")
+    lines = with_canonical(lines.select("doc_id", "text_key", "line"), "line", "form")
+    lines = lines.select("doc_id", "text_key", F.sha2("form", 256).alias("digest")).join(table, "digest")
     notices = lines.groupBy("doc_id", "text_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     notices = notices.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"), "notices")
-    whole = rows.select("doc_id", "text_key", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table, "digest", "left")
+    whole = with_canonical(rows, "text", "form").select("doc_id", "text_key", F.sha2("form", 256).alias("digest")).join(table, "digest", "left")
     out = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text")), "left")
     return out.select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
+def spelled_sql(plain: str) -> str:
+    for variant, one in SPELLINGS.items():
+        plain = f"regexp_replace({plain}, '\\b{variant}\\b', '{one}', 'g')"
+    return plain
+
+
 def scan_sql() -> str:
-    """The scan in SQL for the texts of ``KNOWN``; whole texts of the folder are not in it."""
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
-    return f"""
+    """The scan in DuckDB's SQL, with the digests of all known texts; notices are found line by line, by windows over the lines."""
+    digests: dict[str, str] = {}
+    for name, text in known_texts():
+        if form := canonical_text(text):
+            digest = hashlib.sha256(form.encode()).hexdigest()
+            digests[digest] = min(name, digests.get(digest, name))
+    values = ", ".join(f"('{d}', '{name}')" for d, name in sorted(digests.items()))
+    signed, about = _SIGNED.replace("[^\\n]*", ""), rf"^[ \t]*copyright[ \t]+(?:{_ABOUT})s?\b"
+    plain = lambda text: f"lower(trim(regexp_replace({text}, '[^A-Za-z0-9]+', ' ', 'g')))"
+    return rf"""
 WITH known AS (
-  SELECT sha256(form) AS digest, min(license_id) AS license_id
-  FROM (SELECT license_id, {canonical_sql("text")} AS form FROM (VALUES {values}) AS t(license_id, text)) WHERE form <> '' GROUP BY 1
-), lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+  SELECT * FROM (VALUES {values}) AS t(digest, license_id)
+), rows AS (
+  SELECT row_number() OVER () AS r, doc_id, replace(coalesce(text, ''), chr(1), ' ') AS text FROM documents
+), split AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM rows
+), kinds AS (
+  SELECT r, i, line, regexp_matches(line, '^[ \t]*{signed}', 'i') AS signed,
+         regexp_matches(line, '^[ \t]*copyright\b', 'i') AND NOT regexp_matches(line, '{about}', 'i') AS named,
+         regexp_matches(line, '^[ \t]*all rights reserved[ \t\r.]*$', 'i') AS reserved, regexp_matches(line, '^[ \t\r]*$') AS blank
+  FROM split
+), runs AS (
+  SELECT *, sum(CASE WHEN signed OR named OR reserved THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run, lag(blank, 1, true) OVER (PARTITION BY r ORDER BY i) AS opens FROM kinds
+), marked AS (
+  SELECT r, i, line, (signed OR named OR reserved) AND bool_or(signed OR (named AND opens)) OVER (PARTITION BY r, run ORDER BY i) AS notice, signed OR named AS alone FROM runs
+), texts AS (
+  SELECT r, {spelled_sql(plain("string_agg(CASE WHEN notice THEN '' ELSE line END, chr(10) ORDER BY i)"))} AS form FROM marked GROUP BY r
 ), notices AS (
-  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-  FROM lines JOIN known ON sha256({canonical_sql("line")}) = known.digest GROUP BY doc_id
+  SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM marked JOIN known ON digest = sha256({spelled_sql(plain("line"))}) WHERE NOT alone GROUP BY r
 )
-SELECT d.doc_id, sha256({canonical_sql("d.text")}) AS digest, k.license_id, coalesce(n.notices, '') AS notices
-FROM documents d LEFT JOIN known k ON sha256({canonical_sql("d.text")}) = k.digest LEFT JOIN notices n ON n.doc_id = d.doc_id
+SELECT rows.doc_id, sha256(form) AS digest, license_id, coalesce(notices, '') AS notices
+FROM rows JOIN texts USING (r) LEFT JOIN known ON known.digest = sha256(form) LEFT JOIN notices USING (r)
 """

@@ -1,5 +1,6 @@
 """Toxicity, quality, pseudo-likelihood, licences, mixing, pieces and the pipeline."""
 
+import hashlib
 import math
 import pathlib
 import random
@@ -167,6 +168,30 @@ def test_wrapped_and_titled_licenses(spark):
     assert [(i, got[i]) for i in range(len(cases))] == [(i, want) for i, (want, _) in enumerate(cases)]
 
 
+def test_long_runs_of_notices(spark):
+    mit = licenses.KNOWN[7][1]
+    for end in ("\n", "\r\n"):
+        run = end.join(f"Copyright (c) {1990 + i % 30} Person {i}" if i % 3 else f"copyright Person {i}" if i % 2 else "All rights reserved." for i in range(100_000))
+        docs = spark.createDataFrame([(1, "MIT License" + end * 2 + "(c) 2020 A" + end + run + end * 2 + mit), (2, run), (3, " \t" * 200_000 + "x"), (4, "\n " * 200_000 + "copyright X")], "doc_id long, text string")
+        got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+        assert got[1].license_id == "MIT" and [got[i].license_id for i in (2, 3, 4)] == [None] * 3
+        assert got[4].digest == hashlib.sha256(b"").hexdigest()
+
+
+def test_the_sql_knows_whole_licences_and_the_notice_rule(spark):
+    mit, isc = licenses.KNOWN[7][1], licenses.KNOWN[8][1]
+    rnd = random.Random(9)
+    parts = ["Copyright (c) 2020 A", "copyright A. Person", "Copyright Holders of X, 2020", "all rights reserved.", "", " \t", "© B", "(C) Copyright 1999", "copyright notice of this", "text", "copyright\x01x", "Licenced under CC BY 4.0", "x (c) y\r"]
+    texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 7))) + rnd.choice(["", "\n\n" + mit, "\n" + isc]) for _ in range(400)]
+    texts += [t for _, t in licenses.known_texts()] + [textwrap.fill(t, 60) for _, t in licenses.known_texts()[::7]] + [None, "é ✓", "This work is licensed under the GNU General Public License, version 3.\r\n\x01x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    got = sorted((r.doc_id, r.digest, r.license_id or "", r.notices) for r in licenses.scan_licenses(docs).collect())
+    want = sorted((a, b, c or "", d) for a, b, c, d in con.sql(f"SELECT doc_id, digest, license_id, notices FROM ({licenses.scan_sql()})").fetchall())
+    assert got == want and len({c for _, _, c, _ in got}) > 15
+
+
 def test_license_sql(spark, sf, docs):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
@@ -323,4 +348,4 @@ def _brute_repeats(df):
 
 
 def test_every_query_is_there():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 14))
