@@ -1,20 +1,23 @@
 """Near-duplicate documents: a self-join on the Jaccard likeness of word shingles, by a MinHash LSH forest.
 
-1. One pass gives each text a digest of its words and, for every tree of the forest,
-   the prefix of its MinHash signature. Texts with equal words are one class from here on.
-2. The prefix matched in the sorted tries is shortened from the full depth until
-   ``trees`` tries find a pair at the threshold with the target recall. Classes that
-   share such a prefix in a tree are tied to the smallest class there, so a bucket of n
-   classes gives n - 1 ties and no pairs.
-3. Components of the ties are the only places where links can be. A component's
-   shingle sets meet once, however many trees tie them. A component above a fixed weight
-   is cut into blocks, and every pair of blocks is a task of its own.
+1. One pass gives each text a digest of its words and a MinHash signature: for each tree
+   of the forest one string of ``DEPTH`` bytes. Texts with equal words are one class from here on.
+2. A tree is the trie of its strings. Classes are matched by long prefixes first, each to the
+   first class of its node, and joined where the whole signatures agree as near copies do. Then
+   prefixes are shortened, to the length at which the trees find a pair at the threshold with
+   the target recall. At each step only nodes whose classes are not all joined yet are looked at,
+   so dense groups are settled by long prefixes and the short ones serve the rest; at the last
+   step all pairs that are not joined are compared by their signatures, in blocks.
+3. A group of joined classes is where links can be. Its shingle sets meet once, however many
+   trees joined them. A group above a fixed weight is cut into blocks, and every pair of
+   blocks is a task of its own.
 4. Tasks compare whole sets exactly, count links, and give the edges of a spanning
    forest of what they found; the components of these edges are the groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,15 @@ def prefix_depth(similarity: float, trees: int, recall: float, depth: int = DEPT
     raise ValueError(f"{trees} trees cannot reach a recall of {recall} at {similarity}")
 
 
+def least_agreement(similarity: float, values: int) -> int:
+    """How many of a signature's ``values`` agree at least: four standard deviations below what a pair at the threshold has.
+
+    A pair at the threshold falls below it with a chance of 3 in 100,000. Values are single bytes,
+    of which one in 256 agrees by accident.
+    """
+    return math.floor(values * similarity - 4 * math.sqrt(values * similarity * (1 - similarity)))
+
+
 def word_digests(words: np.ndarray, bounds: np.ndarray) -> list:
     """A 16-byte digest of the words of each text in their order; None for a text without words."""
     place = np.arange(len(words), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
@@ -49,37 +61,127 @@ def word_digests(words: np.ndarray, bounds: np.ndarray) -> list:
     return [x.tobytes() if n else None for x, n in zip(both, np.diff(bounds), strict=True)]
 
 
-def prefixes(sets: np.ndarray, bounds: np.ndarray, trees: int, depth: int, seed: int = 7) -> np.ndarray:
-    """The hashed prefix of each text's MinHash signature in each tree."""
-    factors = np.random.default_rng(seed).integers(1, 1 << 63, (trees, depth), dtype=np.uint64) | _U(1)
-    out = np.zeros((len(bounds) - 1, trees), np.uint64)
-    for t in range(trees):
-        label = np.full(len(bounds) - 1, t + 1, np.uint64)
-        for f in factors[t]:
-            label = mixed(label ^ by_text(np.minimum, (sets * f) >> _U(8), bounds, _NONE)) * _U(3)
-        out[:, t] = label
+def signatures_of(sets: np.ndarray, bounds: np.ndarray, trees: int, depth: int = DEPTH, seed: int = 7) -> np.ndarray:
+    """The MinHash signature of each text: ``trees`` strings of ``depth`` bytes, one after the other."""
+    factors = np.random.default_rng(seed).integers(1, 1 << 63, trees * depth, dtype=np.uint64) | _U(1)
+    out = np.zeros((len(bounds) - 1, trees * depth), np.uint8)
+    for k, f in enumerate(factors):
+        out[:, k] = mixed(by_text(np.minimum, (sets * f) >> _U(8), bounds, _NONE)) & _U(255)
     return out
 
 
-def signatures(docs: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
-    """(doc_id, key, text_key, digest, weight, prefixes) of every document; a text without words has no digest."""
+def signed_documents(docs: DataFrame, trees: int, size: int) -> DataFrame:
+    """(doc_id, key, text_key, digest, weight, signature) of every document; a text without words has no digest."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", 1 << 20):
             words, bounds = lower_words(piece.column("text"))
             sets, to = shingles(words, bounds, size)
-            found = prefixes(sets, to, trees, depth)
+            found = signatures_of(sets, to, trees)
             yield pa.record_batch(
                 [
                     *(piece.column(c) for c in ("doc_id", "key", "text_key")),
                     pa.array(word_digests(words, bounds), pa.binary()),
                     pa.array(np.diff(to), pa.int64()),
-                    pa.array(list(found.view(np.int64)), pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x in found], pa.binary()),
                 ],
-                names=["doc_id", "key", "text_key", "digest", "weight", "prefixes"],
+                names=["doc_id", "key", "text_key", "digest", "weight", "signature"],
             )
 
-    return keyed(docs).mapInArrow(sign, "doc_id long, key long, text_key long, digest binary, weight long, prefixes array<long>")
+    return keyed(docs).mapInArrow(sign, "doc_id long, key long, text_key long, digest binary, weight long, signature binary")
+
+
+def _entries(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """The node of each tree, at this depth, that a class lies in."""
+    node = F.concat(F.col("tree").cast("string").cast("binary"), F.lit(":").cast("binary"), F.substring("signature", F.col("tree") * DEPTH + 1, F.lit(depth)))
+    return classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", node).drop("tree")
+
+
+def _joined(classes: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """(digest, signature, joined), the smallest digest that a class is joined to."""
+    some = classes.select("digest", "signature")
+    if edges is None:
+        return some.withColumn("joined", F.col("digest"))
+    found = components(edges).select(F.col("node").alias("digest"), "component")
+    return written_once(some.join(found, "digest", "left").select("digest", "signature", F.coalesce("component", "digest").alias("joined")), "joined")
+
+
+def _first_matches(joined: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(a, b): classes with the first class of a node they share, where they are not joined and their signatures agree."""
+    entries = _entries(joined, trees, depth)
+    heads = entries.groupBy("node").agg(F.min(F.struct("digest", "signature", "joined")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    met = entries.join(heads, "node").where("joined <> head.joined").select("digest", "signature", F.col("head.digest").alias("other"), F.col("head.signature").alias("other_signature"))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("signature", "other_signature"))
+            near = b.filter(pa.array((x == y).sum(1) >= least)) if len(b) else b
+            yield pa.record_batch([near.column("digest"), near.column("other")], names=["a", "b"])
+
+    return met.mapInArrow(agree, "a binary, b binary")
+
+
+def _agreements(least: int):
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Rows of (node, right, joined, digest, signature): all of a node's against those to the right, where not joined."""
+        table = table.sort_by([("node", "ascending"), ("right", "ascending"), ("digest", "ascending")]).combine_chunks()
+        node, right, digest = table.column("node").to_pylist(), table.column("right").to_numpy(), table.column("digest").to_pylist()
+        groups = table.column("joined").combine_chunks().dictionary_encode().indices.to_numpy()
+        codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+        heads = [k for k in range(len(node)) if not k or node[k] != node[k - 1]]
+        found: tuple[list, list] = ([], [])
+        for a, b in zip(heads, [*heads[1:], len(node)], strict=True):
+            rows = np.arange(a, b)
+            left, others = rows[~right[a:b]], rows[right[a:b]]
+            ties: tuple[list, list] = ([], [])
+            step = max(1, (4 << 20) // max(1, len(left) * codes.shape[1]))
+            for k in range(0, len(others), step):
+                some = others[k : k + step]
+                same = (codes[left][:, None, :] == codes[some][None, :, :]).sum(2)
+                x, y = np.nonzero((same >= least) & (groups[left][:, None] != groups[some][None, :]))
+                ties[0].extend(left[x].tolist())
+                ties[1].extend(some[y].tolist())
+            for p, q in forest(b - a, np.array(ties[0], int) - a, np.array(ties[1], int) - a):
+                found[0].append(digest[a + p])
+                found[1].append(digest[a + q])
+        return pa.table([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=["a", "b"])
+
+    return compare
+
+
+def _all_matches(joined: DataFrame, trees: int, depth: int, least: int, block_rows: int) -> DataFrame:
+    """(a, b): a spanning forest of all pairs that share a node, are not joined yet and whose signatures agree.
+
+    In each node the largest joined group needs no look at itself: all classes meet those outside it.
+    """
+    entries = _entries(joined, trees, depth)
+    parts = entries.groupBy("node", "joined").agg(F.count("*").alias("n"))
+    nodes = parts.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "joined")).alias("top")).where("groups > 1")
+    nodes = written_once(nodes.select("node", "n", F.col("top.n").alias("top_n"), F.col("top.joined").alias("top")), "open-nodes")
+    met = entries.join(broadcast_if_small(nodes, 200_000, 32 << 20), "node")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    blocks, rights = (F.greatest(F.ceil(n / block_rows), F.lit(1)).cast("int") for n in (F.col("n"), F.col("n") - F.col("top_n")))
+    large = F.col("n") > block_rows
+    met = met.select(
+        "digest", "signature", "joined", "node", F.col("joined") != F.col("top"), blocks.alias("blocks"), rights.alias("rights"),
+        F.when(large, F.hex("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(1 + total // 4096)).cast("string")).alias("task"),
+    ).toDF("digest", "signature", "joined", "node", "outside", "blocks", "rights", "task")
+    place = lambda of: F.pmod(F.xxhash64("digest"), F.col(of)).cast("int")
+    row = ["digest", "signature", "joined", "node", "task"]
+    left = met.select(*row, F.lit(False).alias("right"), place("blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    right = met.where("outside").select(*row, F.lit(True).alias("right"), place("rights").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    return left.unionByName(right).groupBy("task", "i", "j").applyInArrow(_agreements(least), "a binary, b binary")
+
+
+def matched(classes: DataFrame, similarity: float, trees: int, recall: float, block_rows: int = 2048) -> DataFrame:
+    """(digest, component) of the classes that have near copies by their signatures; see the steps above."""
+    last, least = prefix_depth(similarity, trees, recall), least_agreement(similarity, trees * DEPTH)
+    edges = None
+    for depth in range(DEPTH, last, -2):
+        found = written_once(_first_matches(_joined(classes, edges), trees, depth, least), "matches")
+        edges = found if edges is None else edges.unionByName(found)
+    found = written_once(_all_matches(_joined(classes, edges), trees, last, least, block_rows), "matches")
+    return components(found if edges is None else edges.unionByName(found)).select(F.col("node").alias("digest"), "component")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -189,12 +291,12 @@ def near_duplicates(
     documents linked directly, copies included, ``group_id`` the smallest id that links
     reach, and ``kept`` marks it. Every link that a shared prefix offers is verified, and
     none is given that is not; a pair at the threshold is offered with a chance of at
-    least ``recall``, a closer pair with a higher one.
+    least ``recall`` (less 3 in 100,000, see ``least_agreement``), a closer pair with a higher one.
 
     A null or empty text, or one without words, links with nothing and is a class of its
-    own. A row without id takes part in counting links and is kept unless its words
-    occur under an id; its class and group are those of the ids it is linked to, or null.
-    Rows that repeat an id give one row each. Other columns do not matter; an empty
+    own. A row without id takes part in counting links; its class and group are those of the ids
+    it is linked to, or null, and of a group without any id the row of the smallest text hash is kept.
+    Rows that repeat an id give one row each, all marked alike where their texts are equal. Other columns do not matter; an empty
     table gives no rows.
     """
     found = _resolved(docs, similarity, size, trees, recall, block_weight)
@@ -202,28 +304,37 @@ def near_duplicates(
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that of the smallest id; all columns stay."""
-    gone = _resolved(docs, **options).where("NOT kept").select(F.col("key").alias("gone_key"), F.col("text_key").alias("gone_text")).distinct()
-    gone = broadcast_if_small(written_once(gone, "near-duplicates"))
+    """``docs`` with one row of each group of near-duplicates; all columns stay.
+
+    It is the row of the smallest id, or of the smallest text hash where no row of the group has
+    an id. Of rows that repeat it in id and text the one whose row has the smallest hash stays.
+    """
+    found = _resolved(docs, **options).where("copied OR NOT kept").groupBy(F.col("key").alias("of_key"), F.col("text_key").alias("of_text")).agg(
+        F.bool_or("kept").alias("kept"), F.count("*").alias("rows")
+    )
+    found = written_once(found.where("rows > 1 OR NOT kept"), "near-duplicates")
     text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that no column can clash
-    rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), text_key).alias("key"), text_key.alias("text_key"))
-    rows = rows.join(gone, (F.col("key") == F.col("gone_key")) & (F.col("text_key") == F.col("gone_text")), "left_anti")
-    return rows.select("row.*")
+    rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), text_key).alias("of_key"), text_key.alias("of_text"))
+    known = broadcast_if_small(found)
+    single = rows.join(known, ["of_key", "of_text"], "left_anti").select("row.*")
+    repeated = found.where("kept AND rows > 1")
+    if repeated.isEmpty():
+        return single
+    again = rows.join(broadcast_if_small(repeated), ["of_key", "of_text"]).groupBy("of_key", "of_text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return single.unionByName(again.select("row.*"))
 
 
 def _resolved(docs: DataFrame, similarity: float = 0.8, size: int = 5, trees: int = 20, recall: float = 0.995, block_weight: int = 200_000) -> DataFrame:
-    depth = prefix_depth(similarity, trees, recall)
-    signed = written_once(signatures(docs, trees, depth, size), "signatures")
+    signed = written_once(signed_documents(docs, trees, size), "signatures")
     some = signed.where("digest IS NOT NULL")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "key", "text_key")
     classes = some.groupBy("digest").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min("key").alias("pick"), F.first("weight").alias("weight"), F.first("prefixes").alias("prefixes")
-    )
+        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min("key").alias("pick"), F.min(first).alias("first"),
+        F.first("weight").alias("weight"), F.first("signature").alias("signature"),
+    )
     classes = written_once(classes, "classes")
-    entries = classes.select("digest", F.explode("prefixes").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    ties = entries.join(heads, "bucket").where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
-    placed = components(ties).select(F.col("node").alias("digest"), "component")
+    placed = matched(classes, similarity, trees, recall)
     members = written_once(placed.join(classes.select("digest", "copies", "weight", "pick"), "digest"), "members")
     loads = members.groupBy("component").agg(F.sum("weight").alias("load"))
     total = members.agg(F.sum("weight")).first()[0] or 0
@@ -248,19 +359,22 @@ def _resolved(docs: DataFrame, similarity: float = 0.8, size: int = 5, trees: in
     counts = found.groupBy("digest").agg(F.sum("links").alias("links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("digest").alias("a"), F.col("other").alias("b")))
     groups = groups.select(F.col("node").alias("digest"), "component")
-    ids = groups.join(classes.select("digest", "class_id"), "digest").groupBy("component").agg(F.min("class_id").alias("group_id"))
-    grouped = groups.join(ids, "component").select("digest", "group_id")
-    facts = classes.select("digest", "copies", "class_id").join(counts, "digest", "left").join(grouped, "digest", "left")
+    ids = groups.join(classes.select("digest", "class_id", "first"), "digest").groupBy("component").agg(F.min("class_id").alias("group_id"), F.min("first").alias("group_first"))
+    grouped = groups.join(ids, "component").select("digest", "group_id", "group_first")
+    facts = classes.select("digest", "copies", "class_id", "first").join(counts, "digest", "left").join(grouped, "digest", "left")
     facts = facts.select(
-        "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
-    )
+        "digest", "copies", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"),
+        F.coalesce("group_first", "first").alias("head"),
+    )
     out = signed.select("doc_id", "key", "text_key", "digest").join(facts, "digest", "left")
-    out = out.select(
+    is_head = (F.col("key") == F.col("head.key")) & (F.col("text_key") == F.col("head.text_key")) & (F.col("doc_id").isNull() == F.col("head.none"))
+    return out.select(
         "doc_id",
         "key",
         "text_key",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+        F.coalesce(is_head, F.lit(True)).alias("kept"),
+        (F.coalesce(F.col("copies"), F.lit(1)) > 1).alias("copied"),
     )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.col("group_id").isNull()))

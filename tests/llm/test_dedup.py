@@ -119,10 +119,59 @@ def test_near_duplicates_of_messy_rows(messy, nothing):
     assert [(r.class_id, r.n_links, r.kept) for r in got if r.doc_id == 4] == [(4, 0, True)]
     kept = jaccard_join.without_near_duplicates(messy)
     assert kept.columns == messy.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1, 3, 3, 4, 5, 7, 8, 9, 10]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 3, 4, 5, 7, 8, 9, 10]
     assert jaccard_join.near_duplicates(nothing).collect() == [] and jaccard_join.without_near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "a"), (None, text, "b"), (None, text + " more", "c"), (7, "other words that are alone here", "d"), (7, "other words that are alone here", "d"), (7, "Other words that are alone here!", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = jaccard_join.without_near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 7]
+    again = jaccard_join.without_near_duplicates(df.unionByName(df).repartition(3)).collect()  # a second ingest
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, kept), key=str)
+
+
+def test_texts_that_are_little_alike_make_no_groups(spark):
+    rnd = random.Random(11)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join([*shared, *(f"u{rnd.randrange(10**9)}" for _ in range(64))])) for i in range(8000)]  # 56 of 176 shingles: 0.3
+    rows += [(10_000 + i, rows[i][1] + " end") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = jaccard_join.signed_documents(df, 20, 5).select("digest", "signature")
+    placed = jaccard_join.matched(jaccard_join.written_once(classes, "classes"), 0.8, 20, 0.995)
+    assert placed.groupBy("component").count().agg({"count": "max"}).first()[0] == 2 and placed.count() == 60
+
+
+@pytest.mark.parametrize(("likeness", "changed"), [(0.8, 22), (0.85, 16)])
+def test_recall_of_planted_pairs(spark, likeness, changed):
+    rnd = random.Random(13)
+    rows = []
+    for i in range(600):
+        words = [f"w{rnd.randrange(10**9)}" for _ in range(204)]  # 200 shingles; words changed at the end change as many shingles
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[: 204 - changed], *(f"v{j}x{i}" for j in range(changed))]))]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert (200 - changed) / (200 + changed) >= likeness
+    assert sum(r.n_links == 1 for r in found) / len(rows) >= 0.99 and max(r.n_links for r in found) == 1
+
+
+def test_a_large_node_is_compared_in_blocks(spark):
+    rnd = random.Random(17)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[rnd.randrange(100)] = f"u{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = jaccard_join.written_once(jaccard_join.signed_documents(df, 20, 5).select("digest", "signature"), "classes")
+    joined = jaccard_join._joined(classes, None)
+    least = jaccard_join.least_agreement(0.8, 200)
+    count = lambda rows: components(jaccard_join._all_matches(joined, 20, 6, least, rows)).groupBy("component").count().count()
+    assert count(16) == count(4096) == 1
+
+
 def test_prefixes_are_shortened_until_the_recall_holds():
     assert jaccard_join.prefix_depth(0.8, 20, 0.995) == 6 and jaccard_join.prefix_depth(0.8, 60, 0.995) == 10
     with pytest.raises(ValueError, match="recall"):
