@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import re
 import tempfile
 import uuid
@@ -81,6 +82,30 @@ def written_once(df, purpose: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df, path: str, key: str, order: str, parts: int):
+    """Write ``df`` as Parquet in ``parts`` buckets by ``key``, each in the order of ``order``, and open it.
+
+    Joins and aggregations whose keys include ``key`` then need no shuffle.
+    """
+    name = _table_name(path)
+    writer = df.repartition(parts, key).write.mode("overwrite").format("parquet").bucketBy(parts, key).sortBy(order)
+    writer.option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, key: str, order: str, parts: int):
+    """A table that ``bucketed`` has written, in this session or another: files do not say how they are laid out."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({order}) INTO {int(parts)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return "sievewell_" + hashlib.md5(path.encode()).hexdigest()
+
+
 def spread(df, *keys):
     """Give a frame with few input partitions one per core before heavy row-wise work.
 
