@@ -342,3 +342,77 @@ def recomputed_decisions(spark, sf):
     )
     d = fill_decisions(recorded)
     return d.select("conv_id", "turn", "decision", "rule_tag", F.round("grounding_score", 6).alias("grounding_score"))
+
+
+# --- questions end to end -------------------------------------------------------------------
+
+QUESTIONS_SQL = """SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'Which drug interactions are known of ' || text ELSE 'What is the mechanism of the medicine ' || text END AS query FROM benchmark
+  UNION ALL SELECT 1000 + row_number() OVER (ORDER BY source), 'What are the side effects of ' || source || ' and what is it used for?' FROM (SELECT DISTINCT source FROM documents)
+  UNION ALL SELECT 2000 + row_number() OVER (ORDER BY source), 'What dose of ' || source || ' should I take?' FROM (SELECT DISTINCT source FROM documents)"""
+
+
+def questions(spark, sf):
+    """Passages in and out of scope, and questions about document sources, some of which no rule lets pass."""
+    from pyspark.sql import Window as W
+
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked_of = F.when(F.col("query_id") % 3 == 0, F.col("text")).when(
+        F.col("query_id") % 3 == 1, F.concat(F.lit("Which drug interactions are known of "), "text")
+    )
+    asked_of = asked_of.otherwise(F.concat(F.lit("What is the mechanism of the medicine "), "text"))
+    sources = table(spark, sf, "documents").select("source").distinct()
+    # One row per source name: a dimension, so its numbering window is small.
+    n = F.row_number().over(W.orderBy("source")).cast("bigint")
+    effects = sources.select((1000 + n).alias("query_id"), F.concat(F.lit("What are the side effects of "), "source", F.lit(" and what is it used for?")).alias("query"))
+    doses = sources.select((2000 + n).alias("query_id"), F.concat(F.lit("What dose of "), "source", F.lit(" should I take?")).alias("query"))
+    return passages.select("query_id", asked_of.alias("query")).unionByName(effects).unionByName(doses)
+
+
+def quoted(made):
+    """Stands for a model: some answers quote the first evidence, some only when they are told to be strict, some are no JSON."""
+    top = F.substring(F.coalesce(F.try_element_at("evidence", F.lit(1))["chunk_text"], F.lit("")), 1, 240)
+    says = lambda text: F.to_json(F.struct(text.alias("summary"), F.lit("").alias("mechanism_summary"), F.lit("").alias("safety_notes")))
+    loose = says(F.lit("nothing of the kind is known"))
+    n = F.col("query_id") % 4
+    return made.withColumn("content", F.when(n == 1, F.lit("no json")).when((n == 0) | ((n == 2) & F.col("strict")), says(top)).otherwise(loose))
+
+
+def _two_passes_sql() -> str:
+    from sievewell.plans.retrieving import BM25_SQL, _top
+    from sievewell.plans.frames import QUERIES_SQL
+
+    cases = [f"WHEN NOT {_find('query', P.DOMAIN_PACKS['intended'])} THEN 'OUT_OF_SCOPE_QUERY'"]
+    cases += [f"WHEN {_find('query', p)} THEN {_q(t)}" for p, t, _, _ in P.SCOPE_RULES]
+    scoped = f"questions AS ({QUESTIONS_SQL}), scoped AS (SELECT *, CASE {' '.join(cases)} END AS scope_tag FROM questions)"
+    # both forms of every question are searched; which second passes count is decided at the end
+    both = f"SELECT query_id * 2 AS query_id, query FROM scoped WHERE scope_tag IS NULL UNION ALL SELECT query_id * 2 + 1, query || ' ' || {_q(P.RETRY_TAIL)} FROM scoped WHERE scope_tag IS NULL"
+    says = "json_object('summary', {}, 'mechanism_summary', '', 'safety_notes', '')::VARCHAR"
+    made = f"""found AS (SELECT t.query_id, list(ck.chunk_text ORDER BY rank) AS ev FROM ({_top('boosted', 5)}) t JOIN ck USING (key) GROUP BY 1),
+asked AS (SELECT s.query_id AS conv_id, turn, coalesce(ev, []) AS ev FROM scoped s, (VALUES (0), (1)) p(turn) LEFT JOIN found f ON f.query_id = s.query_id * 2 + turn WHERE scope_tag IS NULL),
+answers AS (SELECT *, CASE WHEN conv_id % 4 = 1 THEN 'no json' WHEN conv_id % 4 = 0 OR (conv_id % 4 = 2 AND turn = 1) THEN {says.format("coalesce(substr(ev[1], 1, 240), '')")} ELSE {says.format("'nothing of the kind is known'")} END AS content FROM asked)"""
+    searched = BM25_SQL.replace(QUERIES_SQL, both)
+    return f"""WITH {scoped}, {searched}, {DECIDED_SQL.replace(ANSWERS_SQL, made)},
+passes AS (SELECT a.conv_id AS query_id, a.rule_tag AS t1, b.rule_tag AS t2, a.g AS g1, b.g AS g2, len(a.ev) AS n1, len(b.ev) AS n2, a.v AS v1, b.v AS v2,
+  coalesce(a.rule_tag IN ('LOW_GROUNDING', 'LOW_COVERAGE', 'RETRIEVAL_FAILURE'), false) AS again
+  FROM decided a JOIN decided b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
+kept AS (SELECT query_id, CASE WHEN again THEN t2 ELSE t1 END AS rule_tag, CASE WHEN again THEN 2 ELSE 1 END AS guard_pass, CASE WHEN again THEN t1 END AS correction_reason,
+  CASE WHEN again THEN n2 ELSE n1 END AS evidence_count, CASE WHEN again THEN v2 ELSE v1 END AS v, CASE WHEN again THEN g2 ELSE g1 END AS g, again FROM passes)
+SELECT s.query_id, CASE WHEN s.scope_tag IS NOT NULL OR k.rule_tag IS NOT NULL THEN 'BLOCK' ELSE 'ALLOW' END AS decision, coalesce(s.scope_tag, k.rule_tag) AS rule_tag,
+  coalesce(k.guard_pass, 1) AS guard_pass, k.correction_reason, coalesce(k.evidence_count, 0) AS evidence_count,
+  CASE WHEN s.scope_tag IS NOT NULL THEN 'high' WHEN k.rule_tag IS NULL THEN 'low' ELSE 'blocked' END AS hallucination_risk,
+  CASE WHEN s.scope_tag IS NULL THEN s.query || CASE WHEN k.again THEN ' ' || {_q(P.RETRY_TAIL)} ELSE '' END END AS retrieval_query_used,
+  CASE WHEN s.scope_tag IS NULL AND k.rule_tag IS NULL THEN k.v->>'$.summary' ELSE '' END AS summary,
+  round(CASE WHEN s.scope_tag IS NOT NULL OR k.rule_tag IN ('JSON_INVALID', 'SCHEMA_INVALID') THEN 0.0 ELSE k.g END, 6) AS confidence_score
+FROM scoped s LEFT JOIN kept k USING (query_id)"""
+
+
+@plan("question_records", "D8 D9 D10 D11 D12 R6 T-19", _two_passes_sql())
+def question_records(spark, sf):
+    from sievewell.operators.questions import question_records as records
+    from sievewell.plans.retrieving import evidence_of_queries
+
+    d = records(questions(spark, sf), lambda q: evidence_of_queries(spark, sf, q), quoted, F.lit("2025-01-01T00:00:00"), "none")
+    return d.select(
+        "query_id", "decision", "rule_tag", "guard_pass", "correction_reason", F.col("evidence_count").cast("bigint").alias("evidence_count"), "hallucination_risk",
+        "retrieval_query_used", "summary", F.round("confidence_score", 6).alias("confidence_score"),
+    )
