@@ -349,7 +349,7 @@ def record_places(packages: DataFrame) -> DataFrame:
                         raise ValueError(f"{uri}: {e}") from e
                     yield _places(uri, some)
 
-    return packages.select("path").repartition("path").mapInArrow(locate, "path string, offset long, length long")
+    return packages.select("path").repartition(1 + packages.count() // 8, "path").mapInArrow(locate, "path string, offset long, length long")
 
 
 def _places(uri: str, some: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -444,8 +444,10 @@ def read_records(packages: DataFrame, with_payload: bool = True) -> DataFrame:
         if f is not None:
             f.close()
 
-    places = record_places(packages).withColumn("part", F.floor(F.col("offset") / RUN_BYTES))
-    places = places.repartition("path", "part").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    places = written_once(record_places(packages).withColumn("part", F.floor(F.col("offset") / RUN_BYTES)), "record-places")
+    # places are few bytes, but each stands for a record: tasks are as many as the parts call for
+    tasks = 1 + places.groupBy("path", "part").agg(F.count("*").alias("n")).count() // 4
+    places = places.repartition(tasks, "path", "part").sortWithinPartitions("path", "offset").select("path", "offset", "length")
     return places.mapInArrow(read, schema)
 
 
