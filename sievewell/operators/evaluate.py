@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievewell.functions import patterns as P
 from sievewell.functions import text as tx
 from sievewell.operators.guardrail import decide, parse_answer, schema_issues
-from sievewell.operators.ranking import count_and_quantiles, running_totals
+from sievewell.operators.ranking import count_and_quantiles, grouped_quantiles, running_totals
 
 CONFUSION = ["tp", "fp", "tn", "fn"]
 
@@ -89,8 +89,7 @@ def run_metrics(
 ) -> DataFrame:
     """One row of run metrics, or one per value of ``by`` (such as the mode).
 
-    The latency percentile is exact by rank selection per group; the groups are
-    few by nature (modes) and are listed first.
+    The latency percentile is exact by rank selection, for all groups at once.
     """
     group = [by] if by else []
     if by:  # a run without a mode is one of the usual kind
@@ -131,10 +130,7 @@ def run_metrics(
             )
             out = out.withColumn("model_mode", modes.scalar())
         return out
-    values = [r[0] for r in df.select(by).distinct().collect()]
-    p95 = [(v, count_and_quantiles(df.where(F.col(by).eqNullSafe(F.lit(v))), latency, [0.95])[1][0]) for v in values]
-    spark = df.sparkSession
-    late = spark.createDataFrame(p95, f"{by} string, latency_p95_ms double")
+    late = grouped_quantiles(df, by, latency, {"latency_p95_ms": 0.95}).drop("n")
     return out.join(best, by, "left").join(breakdown, by, "left").join(late, by, "left")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievewell.session import broadcast_if_small, written_once
+
 # A band this small is finished by listing its distinct values with counts.
 _BAND_ROWS = 2_000
 _ACCURACY = 10_000
@@ -118,6 +120,66 @@ def exact_quantiles(df: DataFrame, col: str, ps: list[float]) -> list[float | No
     return count_and_quantiles(df, col, ps)[1]
 
 
+def grouped_quantiles(df: DataFrame, by: str, col: str, ps: dict[str, float], band_rows: int = 1_000_000) -> DataFrame:
+    """(by, n, one column for each of ``ps``): exact, linearly interpolated quantiles of every group at once.
+
+    One aggregation gives each group's number of values and, from a mergeable sketch, a band for
+    each wanted rank; a second counts what lies below the band and lists the distinct values inside it. While the
+    largest band holds more than ``band_rows`` rows, bands are sketched again. Nothing but that size comes to
+    the driver, however many groups there are, and a group of any size is counted before it is moved. Null values
+    are left out; a group without any has n = 0 and nulls. A null group is a group.
+    """
+    names = list(ps)
+    keyed = df.select(F.col(by).alias("g"), F.col(col).cast("double").alias("v"))
+    values = keyed.where("v IS NOT NULL")
+    groups = keyed.groupBy("g").agg(F.count("v").alias("n"))
+    spot = lambda p: F.lit(p) * (F.col("n") - 1)
+    parts = [F.struct(F.lit(f"{k}|{edge}").alias("want"), rank(spot(p)).cast("long").alias("r")) for k, p in ps.items() for edge, rank in (("lo", F.floor), ("hi", F.ceil))]
+    wanted = groups.where("n > 0").select("g", "n", F.explode(F.array(*parts)).alias("x")).select("g", "n", "x.want", "x.r")
+    # the band in which a rank is looked for: above ``low``, up to ``high``; null for no end
+    whole = {"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "below": F.lit(0).cast("long"), "m": F.col("n")}
+    bands = written_once(wanted.withColumns(whole).select("g", "r", "low", "high", "below", "m").distinct(), "rank-bands")
+    most = bands.agg(F.max("m")).first()[0] or 0
+    while most > band_rows:
+        bands, before = written_once(_narrowed(values, bands), "rank-bands"), most
+        most = bands.agg(F.max("m")).first()[0]
+        if most >= before:
+            break  # the largest bands hold one value that repeats
+    distinct = _in_bands(values, bands).groupBy("g", "r", "below", "v").agg(F.count("*").alias("c"))
+    upto = F.col("below") + F.sum("c").over(W.partitionBy("g", "r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    found = distinct.select("g", "r", "v", upto.alias("upto")).where(F.col("upto") > F.col("r")).groupBy("g", "r").agg(F.min("v").alias("v"))
+    found = wanted.select(F.col("g").alias("wg"), F.col("r").alias("wr"), "want").join(found, F.col("wg").eqNullSafe(F.col("g")) & (F.col("wr") == F.col("r")))
+    ends = found.groupBy(F.col("wg").alias("fg")).agg(*(F.max(F.when(F.col("want") == f"{k}|{e}", F.col("v"))).alias(f"{k}|{e}") for k in names for e in ("lo", "hi")))
+    out = groups.join(ends, F.col("g").eqNullSafe(F.col("fg")), "left")
+    between = lambda k, p: F.col(f"{k}|lo") + (F.col(f"{k}|hi") - F.col(f"{k}|lo")) * (spot(p) - F.floor(spot(p)))
+    return out.select(F.col("g").alias(by), "n", *(between(k, p).alias(k) for k, p in ps.items()))
+
+
+_SPOTS = [i / 200 for i in range(1, 200)]
+
+
+def _in_bands(values: DataFrame, bands: DataFrame) -> DataFrame:
+    """The values (g, v) in the band of each wanted rank of their group, with the band's columns."""
+    met = values.join(broadcast_if_small(bands.withColumnRenamed("g", "of")), F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    return met.where((F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high"))))
+
+
+def _narrowed(values: DataFrame, bands: DataFrame) -> DataFrame:
+    """Each band cut to the values of its sketch around the rank; one that would miss its rank stays as it is."""
+    band = ["g", "r", "low", "high", "below", "m"]
+    spots = _in_bands(values, bands).groupBy(*band).agg(F.percentile_approx("v", _SPOTS, _ACCURACY).alias("spots"))
+    step = F.floor((F.col("r") - F.col("below")) / F.col("m") * (len(_SPOTS) + 1)).cast("int")
+    closer = spots.withColumns({"_low": F.coalesce(F.get("spots", step - 2), F.col("low")), "_high": F.coalesce(F.get("spots", step + 1), F.col("high"))}).drop("spots")
+    closer = written_once(closer, "rank-spots")
+    inner = F.col("_low").isNull() | (F.col("v") > F.col("_low"))
+    outer = F.col("_high").isNull() | (F.col("v") <= F.col("_high"))
+    counts = _in_bands(values, closer).groupBy(*band, "_low", "_high").agg(F.count_if(~inner).alias("under"), F.count_if(inner & outer).alias("held"))
+    start = F.col("below") + F.col("under")
+    hit = (start <= F.col("r")) & (F.col("r") < start + F.col("held"))
+    keep = lambda new, old: F.when(hit, new).otherwise(F.col(old)).alias(old)
+    return counts.select("g", "r", keep(F.col("_low"), "low"), keep(F.col("_high"), "high"), keep(start, "below"), keep(F.col("held"), "m"))
+
+
 def discrete_quantile(df: DataFrame, col: str, p: float):
     """The smallest value whose cumulative share reaches ``p``; null on no rows."""
     n = df.where(F.col(col).isNotNull()).count()

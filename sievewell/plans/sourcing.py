@@ -241,6 +241,24 @@ def latest_batch(spark, sf):
     return newest.groupBy("batch").agg(F.count("*").alias("row_count"))
 
 
+@plan(
+    "ordered_fingerprint",
+    "S14",
+    """WITH lines AS (SELECT event_id // 4000 AS file, row_number() OVER (PARTITION BY event_id // 4000 ORDER BY event_id) - 1 AS place,
+      props || '|' || event_id AS line FROM events),
+    leaves AS (SELECT file, place // 1024 AS place, sha256(string_agg(sha256(line), '' ORDER BY place)) AS hash, count(*) AS n, sum(strlen(line) + 1) AS bytes FROM lines GROUP BY file, lines.place // 1024),
+    tops AS (SELECT file, sum(n)::BIGINT AS line_count, sum(bytes)::BIGINT AS bytes, CASE WHEN count(*) = 1 THEN any_value(hash) ELSE sha256(string_agg(hash, '' ORDER BY place)) END AS hash FROM leaves GROUP BY file)
+    SELECT file, line_count, bytes, sha256(hash || '|' || line_count || '|' || bytes) AS sha256 FROM tops""",
+)
+def ordered_fingerprint(spark, sf):
+    """Files of 4 000 lines each, in the order of their events."""
+    path = work_dir(spark, "ordered")
+    lines = table(spark, sf, "events").select(F.floor(F.col("event_id") / 4000).alias("file"), "event_id", F.concat_ws("|", "props", "event_id").alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    d = fs.ordered_fingerprint(spark, path)
+    return d.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), "line_count", "bytes", "sha256")
+
+
 @plan(
     "source_fingerprint",
     "S14",

@@ -70,3 +70,23 @@ def stream_progress(spark, sf):
     raw = sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=3)
     sm.start_idempotent_sink(raw, out, check, log).awaitTermination()
     return spark.read.parquet(log).agg(F.sum("input_rows").alias("input_rows"))
+
+
+@plan(
+    "stream_without_replays",
+    "S13 X1 TR23",
+    """SELECT 'events' AS topic, (event_id % 3)::INT AS partition, event_id AS offset, event_type AS value FROM events""",
+)
+def stream_without_replays(spark, sf):
+    """Every message is landed twice, in the same and in another batch; the query is stopped and started again in between."""
+    landed, out, check = work_dir(spark, "replays"), work_dir(spark, "replays-out"), work_dir(spark, "replays-check")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.lit("events").alias("topic"), (F.col("event_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"),
+        F.col("event_type").alias("value"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+    )
+    for part in range(3):
+        some = rows.where(F.col("partition") != part)  # each message is in two of the three batches
+        some.unionByName(some.where("offset % 7 = 0")).write.mode("append").json(landed)
+        stream = spark.readStream.schema(sm.ENVELOPE_SCHEMA).json(landed)
+        sm.start_sink(sm.without_replays(stream, "60 days"), out, check).awaitTermination()
+    return spark.read.parquet(out).select("topic", "partition", "offset", "value")

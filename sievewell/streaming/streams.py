@@ -1,7 +1,7 @@
-"""JSON message streams: sources, clean-up hops, sinks, progress.
+"""JSON message streams: sources, clean-up hops, sinks, replays, progress.
 
-The queries are stateless appends, so there is no watermark; exactly-once comes
-from the checkpoint of the file sinks.
+But for :func:`without_replays` the queries are stateless appends, so there is no watermark;
+exactly-once comes from the checkpoint of the file sinks.
 """
 
 from __future__ import annotations
@@ -48,6 +48,24 @@ def envelope(raw: DataFrame, ts: Column) -> DataFrame:
     )
 
 
+ENVELOPE_SCHEMA = "topic STRING, partition INT, offset BIGINT, value STRING, ts STRING"
+
+
+def without_replays(envelopes: DataFrame, limit: str = "1 day", ts: str = "ts") -> DataFrame:
+    """Each message (topic, partition, offset) of a stream of envelopes once, whatever is sent or landed again.
+
+    The offsets seen are kept as keyed state in the checkpoint. ``limit`` bounds it: an offset is
+    forgotten when the latest message time is that much later, so replays within ``limit`` are found
+    for certain, and the state holds the offsets of that time, not of the whole topic. A message that comes
+    later than ``limit`` behind the latest is dropped as too late to judge. A message without offset or
+    time cannot be told from a replay and has no limit; it is left out: send such to another sink.
+    """
+    timed = envelopes.withColumn("_event_time", F.try_to_timestamp(F.col(ts))).where("_event_time IS NOT NULL AND offset IS NOT NULL")
+    keyed = timed.withColumns({"_topic": F.coalesce("topic", F.lit("")), "_partition": F.coalesce("partition", F.lit(-1))})
+    once = keyed.withWatermark("_event_time", limit).dropDuplicatesWithinWatermark(["_topic", "_partition", "offset"])
+    return once.drop("_event_time", "_topic", "_partition")
+
+
 def start_sink(
     df: DataFrame,
     path: str,

@@ -3,6 +3,8 @@
 import random
 import statistics
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -73,3 +75,25 @@ def test_hash_row_numbers_are_a_numbering(spark):
     df = spark.range(300).withColumnRenamed("id", "key")
     numbers = [r["row_number"] for r in rk.hash_row_numbers(df, "key", 1).collect()]
     assert sorted(numbers) == list(range(300))
+
+
+def test_quantiles_of_many_groups_at_once(spark):
+    rnd = np.random.default_rng(3)
+    g = np.concatenate([np.arange(10_000).repeat(3), np.full(60_000, 77)])  # one group holds most rows
+    v = np.concatenate([rnd.normal(size=30_000), rnd.choice([1.5, 1.5, 1.5, -2.0, 9.0], 20_000), rnd.normal(size=40_000)])
+    pdf = pd.DataFrame({"g": g, "v": v}).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(pdf).selectExpr("CASE WHEN g = 5 THEN NULL ELSE cast(g AS string) END AS g", "CASE WHEN g = 6 THEN NULL ELSE v END AS v")
+    ps = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    for band in (1_000_000, 500):
+        got = {r["g"]: r for r in rk.grouped_quantiles(df, "g", "v", ps, band_rows=band).collect()}
+        assert len(got) == 10_000 and got["6"]["n"] == 0 and got["6"]["p50"] is None
+        for name, some in pdf.groupby("g"):
+            if name != 6:
+                row = got[None if name == 5 else str(name)]
+                assert row["n"] == len(some) and [row[k] for k in ps] == pytest.approx(list(np.quantile(some["v"], list(ps.values()))), abs=1e-12)
+
+
+def test_a_value_that_repeats_ends_the_search(spark):
+    df = spark.range(3000).selectExpr("'a' AS g", "1.0D AS v")
+    assert [tuple(r) for r in rk.grouped_quantiles(df, "g", "v", {"p": 0.5}, band_rows=10).collect()] == [("a", 3000, 1.0)]
+    assert rk.grouped_quantiles(df.where("false"), "g", "v", {"p": 0.5}).collect() == []

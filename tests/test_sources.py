@@ -1,6 +1,7 @@
 """Sources, sinks, high-water mark and streams."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 
@@ -269,3 +270,61 @@ def test_auc_counts_ties_half(spark):
 def test_throughput_floor(spark):
     df = spark.createDataFrame([("2025-01-01T00:00:00",), ("2025-01-01T00:00:30",), ("?",)], "t string")
     assert ev.throughput(df, "t").first()[0] == pytest.approx(6.0)
+
+
+def _ordered(spark, path):
+    return [(r["line_count"], r["bytes"], r["sha256"]) for r in fs.ordered_fingerprint(spark, f"file://{path}").collect()]
+
+
+def test_the_ordered_digest_sees_order_and_no_splits(spark, tmp_path, monkeypatch):
+    lines = [f"line {i} {'x' * (i % 90)}" for i in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "empty.txt").write_text("")
+    monkeypatch.setattr(fs, "LEAF_LINES", 64)
+    monkeypatch.setattr(fs, "FAN_OUT", 8)  # four levels
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        found = []
+        for size in ("128m", "50000", "7000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found.append(_ordered(spark, tmp_path))
+        assert found[0] == found[1] == found[2] and found[0][0][0] == 5000 and len(found[0]) == 1
+        level = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
+        for wide in (64, 8, 8, 8):
+            level = [hashlib.sha256("".join(level[i : i + wide]).encode()).hexdigest() for i in range(0, len(level), wide)]
+        size = (tmp_path / "a.txt").stat().st_size
+        assert len(level) == 1 and found[0][0][2] == hashlib.sha256(f"{level[0]}|5000|{size}".encode()).hexdigest()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    seen = {found[0][0]}
+    for text in ("\n".join(lines), "\r\n".join(lines) + "\n", "\n".join([lines[1], lines[0], *lines[2:]]) + "\n", "\n".join([*lines[:4000], lines[4001], lines[4000], *lines[4002:]]) + "\n"):
+        (tmp_path / "a.txt").write_bytes(text.encode())
+        seen.add(_ordered(spark, tmp_path)[0])
+    assert len(seen) == 5
+
+
+def _envelopes(spark, path, rows):
+    spark.createDataFrame(rows, sm.ENVELOPE_SCHEMA).write.mode("append").json(path)
+
+
+def test_replays_add_no_row_and_state_is_forgotten(spark, tmp_path):
+    landed, out, check = (f"{tmp_path}/{x}" for x in ("landed", "out", "check"))
+
+    def run():
+        stream = spark.readStream.schema(sm.ENVELOPE_SCHEMA).json(landed)
+        query = sm.start_sink(sm.without_replays(stream, "1 hour"), out, check)
+        query.awaitTermination()
+        state = [op for p in query.recentProgress for op in p["stateOperators"]]
+        rows = sorted(r["value"] for r in spark.read.parquet(out).collect())
+        return rows, (state[-1]["numRowsTotal"] if state else None)
+
+    _envelopes(spark, landed, [("t", 0, 1, "a", "2025-01-01 10:00:00"), ("t", 0, 1, "a", "2025-01-01 10:00:00"), ("t", 1, 1, "b", "2025-01-01 10:05:00"), ("u", 0, 1, "c", "2025-01-01 10:05:00")])
+    assert run()[0] == ["a", "b", "c"]
+    _envelopes(spark, landed, [("t", 0, 1, "a", "2025-01-01 10:00:00"), ("t", 0, 2, "d", "2025-01-01 10:20:00"), ("t", 0, None, "no offset", "2025-01-01 10:20:00"), (None, None, 1, "e", "2025-01-01 10:20:00")])
+    rows, held = run()  # started again from the checkpoint
+    assert rows == ["a", "b", "c", "d", "e"] and held == 5
+    _envelopes(spark, landed, [("t", 0, 3, "f", "2025-01-01 20:00:00")])
+    run()
+    _envelopes(spark, landed, [("t", 0, 4, "g", "2025-01-01 20:01:00"), ("t", 0, 1, "too late to judge", "2025-01-01 10:00:00")])
+    rows, held = run()
+    assert rows == ["a", "b", "c", "d", "e", "f", "g"] and held == 2
