@@ -7,6 +7,8 @@ that is run again gives the same values.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def slices(batches, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of one piece hold about ``max_bytes``; a longer text stands alone."""
+_KEPT: dict[str, object] = {}
+
+
+def kept_by(owner: str) -> dict[str, object]:
+    """What a worker process keeps for its next task of the same operator; another operator's is dropped."""
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+    return _KEPT
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers are used again, and allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches, column: str = "text", max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 14, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of one piece hold about ``max_bytes``, and no more than ``max_rows``; a longer text stands alone.
+
+    Before the first piece, what other operators have kept in the process is dropped; after the last one memory is given back.
+    """
+    kept_by(owner)
     for batch in batches:
         col = batch.column(column)
         if isinstance(col, pa.ChunkedArray):
@@ -41,12 +65,13 @@ def slices(batches, column: str = "text", max_bytes: int = SLICE_BYTES) -> Itera
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         first, total = 0, 0
         for i, n in enumerate(size.tolist()):
-            if total and total + n > max_bytes:
+            if (total and total + n > max_bytes) or i - first == max_rows:
                 yield batch.slice(first, i - first)
                 first, total = i, 0
             total += n
         if first < len(size):
             yield batch.slice(first)
+    give_back()
 
 
 def utf8(col: pa.Array, pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
