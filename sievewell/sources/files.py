@@ -25,53 +25,68 @@ def read_xml(
 ) -> DataFrame:
     """One row per outermost ``row_tag`` element.
 
-    With a schema, files are split between tasks like any text, see :func:`xml_elements`.
-    Without one, the built-in reader infers it: a pass over all files, or the sampled share
+    With a schema, files are split between tasks like any text, see :func:`xml_elements`; the few
+    that it cannot split are read by one task each. Without one, the built-in reader infers it: a pass over all files, or the sampled share
     of them, by one task for each file.
     """
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("mode", mode)
+    reader = reader.option("excludeAttribute", exclude_attribute)
     if schema is not None:
         if not isinstance(schema, str):
             schema = schema.toDDL()
         options = {"mode": mode, "excludeAttribute": str(exclude_attribute).lower()}
-        parsed = xml_elements(spark, path, row_tag).select(F.from_xml("element", F.lit(schema), options).alias("r"))
-        return parsed.select("r.*")
-    reader = spark.read.format("xml").option("rowTag", row_tag).option("mode", mode)
-    reader = reader.option("excludeAttribute", exclude_attribute)
+        elements, whole = xml_elements(spark, path, row_tag)
+        # by a generator, which later filters on the fields are not pushed below: each would parse the element again
+        parsed = elements.select(F.inline(F.array(F.from_xml("element", F.lit(schema), options))))
+        return parsed.unionByName(reader.schema(schema).load(whole)) if whole else parsed
     if sampling_ratio is not None:
         reader = reader.option("samplingRatio", sampling_ratio)
     return reader.load(path)
 
 
-def xml_elements(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """(element): the text of each outermost ``row_tag`` element of the files at ``path``.
+def xml_elements(spark: SparkSession, path: str, row_tag: str) -> tuple[DataFrame, list[str]]:
+    """(element): the text of each outermost ``row_tag`` element of the files at ``path``, and files to be read whole.
 
     Files are read as text that ends records at the closing tag, so a file is split by size.
     Nearly all records are whole elements. Where elements of the same name stand inside an
     element, its records are told by the depth of open tags, which is summed up within each
     split, and over splits from one row for each; only those records are moved to be joined.
-    Tags in comments and CDATA sections count as tags. Elements without a closing tag
-    (``<tag/>``) have no content and are left out, as are tags that are never closed.
+    Elements without content (``<tag/>``) count where they are outermost. Tags in comments and
+    CDATA sections are none. A file in which a comment or section holds a closing tag, so that
+    it is cut by one, is left out and listed: only a reader of whole files can tell its tags.
+    Tags that are never closed make no element.
     """
-    close = f"</{row_tag}>"
+    close, tag = f"</{row_tag}>", re.escape(row_tag)
+    opening, empty = rf"<{tag}(?:\s(?:[^>]*[^>/])?)?>", rf"<{tag}(?:\s[^>]*)?/>"
     parts = spark.read.option("lineSep", close).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth")
     )
-    opening = rf"<{re.escape(row_tag)}(\s[^>]*[^/])?>"
-    parts = parts.withColumn("opens", F.regexp_count("value", F.lit(opening)))
+    # plain tests come first: most records hold no comment, section or element of the name inside
+    without = lambda c, mark, pattern: F.when(F.contains(c, F.lit(mark)), F.regexp_replace(c, pattern, "")).otherwise(F.col(c))
+    parts = parts.withColumn("value", without("value", "<!--", "(?s)<!--.*?-->")).withColumn("seen", without("value", "<![CDATA[", r"(?s)<!\[CDATA\[.*?\]\]>"))
+    start = lambda c: F.split(c, opening, 2)[0]
+    cut = F.contains("seen", F.lit("<!--")) | F.contains("seen", F.lit("<![CDATA[")) | (F.contains("value", F.lit("<![CDATA[")) & F.contains(start("value"), F.lit("<![CDATA[")))
+    parts = parts.select("file", "split", "nth", "value", F.regexp_count("seen", F.lit(opening)).alias("opens"), start("seen").alias("start"), cut.alias("cut"))
     # the last record of a file ends without a closing tag; it opens no element that is ever closed
     parts = parts.withColumn("step", F.col("opens") - 1)
-    sums = parts.groupBy("file", "split").agg(F.sum("step").alias("total"), F.max("opens").alias("most"))
+    sums = parts.groupBy("file", "split").agg(F.sum("step").alias("total"), F.max("opens").alias("most"), F.bool_or("cut").alias("cut"))
     before = F.coalesce(F.sum("total").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = written_once(sums.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), before.alias("depth"), "most"), "xml-splits")
-    head = F.regexp_extract("value", f"(?s)({opening}.*)", 1)
+    starts = written_once(sums.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), before.alias("depth"), "most", "cut"), "xml-splits")
+    whole_files = sorted(r[0] for r in starts.where("cut").select("s_file").distinct().collect())
+    if whole_files:
+        parts, starts = parts.where(~F.col("file").isin(whole_files)), starts.where(~F.col("s_file").isin(whole_files))
+    head = F.concat(F.regexp_extract("value", f"(?s)({opening}.*)", 1), F.lit(close))
+    none = F.array().cast("array<string>")
+    empties = F.when(F.contains("start", F.lit("/>")), F.regexp_extract_all("start", F.lit(empty), F.lit(0))).otherwise(none)
     if (starts.agg(F.max("most")).first()[0] or 0) <= 1:  # no element inside another of its name: nothing to join
-        return parts.where("opens = 1").select(F.concat(head, F.lit(close)).alias("element"))
-    starts = broadcast_if_small(starts.drop("most"))
+        return parts.select(F.explode(F.concat(empties, F.when(F.col("opens") == 1, F.array(head)).otherwise(none))).alias("element")), whole_files
+    starts = broadcast_if_small(starts.drop("most", "cut"))
     placed = parts.join(starts, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
     inside = W.partitionBy("file", "split").orderBy("nth")
     after = F.col("depth") + F.sum("step").over(inside)
     placed = placed.withColumn("after", after).withColumn("whole", (F.col("opens") == 1) & (F.col("after") == 0))
-    single = placed.where("whole").select(F.concat(head, F.lit(close)).alias("element"))
+    single = placed.where("whole").select(head.alias("element"))
+    outer = placed.where("after = step").select(F.explode(empties).alias("element"))  # at depth 0 before the record
     # records of nested elements: a group ends where the depth is 0 again
     rest = placed.where("NOT whole").select("file", "split", "nth", "value", "after")
     ends = rest.where("after = 0").groupBy("file", "split").agg(F.count("*").alias("n"))
@@ -86,7 +101,7 @@ def xml_elements(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     )
     text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), close), F.lit(close))
     nested = joined.where("lowest = 0").select(F.regexp_extract(text, f"(?s)({opening}.*)", 1).alias("element"))
-    return single.unionByName(nested)
+    return single.unionByName(outer).unionByName(nested), whole_files
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -117,6 +117,26 @@ def test_nested_row_tags_are_no_rows(spark, tmp_path):
     assert rows(got) == [("a",), ("b",)]
 
 
+@pytest.mark.parametrize("nested", [False, True])
+def test_empty_elements_comments_and_sections(spark, tmp_path, nested):
+    inner = "<in><drug><name>x</name></drug><drug/></in>" if nested else ""
+    body = (
+        f'<drug/><drug><name>a</name>{inner}</drug>\n<drug id="7"/><!-- <drug><name>no <drug/> --><drug id="1"><name><![CDATA[<drug> & </x><drug/>]]></name><!-- c --></drug>'
+        f'<drugs/><drug-x/><drug ><name>b</name><drugx/>{inner}</drug><drug\n/>'
+    )
+    (tmp_path / "a.xml").write_text(f"<r>{body}</r>")
+    got = sorted(tuple(r) for r in fs.read_xml(spark, str(tmp_path / "a.xml"), "drug", schema="_id long, name string").select(F.coalesce("_id", F.lit(0)), F.coalesce("name", F.lit(""))).collect())
+    assert got == [(0, ""), (0, ""), (0, "a"), (0, "b"), (1, "<drug> & </x><drug/>"), (7, "")]
+
+
+def test_files_cut_inside_a_comment_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<r><drug><name>a</name></drug><!-- <drug><name>no</name></drug> --><drug><name><![CDATA[</drug>]]></name></drug></r>")
+    (tmp_path / "b.xml").write_text("<r><drug><name>b</name></drug></r>")
+    elements, whole = fs.xml_elements(spark, str(tmp_path), "drug")
+    assert [w.rsplit("/", 1)[1] for w in whole] == ["a.xml"] and elements.count() == 1
+    assert rows(fs.read_xml(spark, str(tmp_path), "drug", schema="name string")) == [("</drug>",), ("a",), ("b",)]
+
+
 def test_unknown_suffix(spark):
     with pytest.raises(ValueError):
         fs.read_by_suffix(spark, "/x/y.xlsx")
