@@ -4,10 +4,10 @@
    of the forest one string of ``DEPTH`` bytes. Texts with equal words are one class from here on.
 2. A tree is the trie of its strings. Classes are matched by long prefixes first, each to the
    first class of its node, and joined where the whole signatures agree as near copies do. Then
-   prefixes are shortened, to the length at which the trees find a pair at the threshold with
-   the target recall. At each step only nodes whose classes are not all joined yet are looked at,
-   so dense groups are settled by long prefixes and the short ones serve the rest; at the last
-   step all pairs that are not joined are compared by their signatures, in blocks.
+   the prefix is shortened, to the length at which the trees find a pair at the threshold with
+   the target recall. There only nodes whose classes are not all joined yet are looked at,
+   so dense groups are settled by long prefixes and the short ones serve the rest; all pairs
+   that are not joined are compared by their signatures, in blocks.
 3. A group of joined classes is where links can be. Its shingle sets meet once, however many
    trees joined them. A group above a fixed weight is cut into blocks, and every pair of
    blocks is a task of its own.
@@ -97,20 +97,12 @@ def _entries(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", node).drop("tree")
 
 
-def _joined(classes: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """(digest, signature, joined), the smallest digest that a class is joined to."""
-    some = classes.select("digest", "signature")
-    if edges is None:
-        return some.withColumn("joined", F.col("digest"))
-    found = components(edges).select(F.col("node").alias("digest"), "component")
-    return written_once(some.join(found, "digest", "left").select("digest", "signature", F.coalesce("component", "digest").alias("joined")), "joined")
-
-
-def _first_matches(joined: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
-    """(a, b): classes with the first class of a node they share, where they are not joined and their signatures agree."""
-    entries = _entries(joined, trees, depth)
-    heads = entries.groupBy("node").agg(F.min(F.struct("digest", "signature", "joined")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = entries.join(heads, "node").where("joined <> head.joined").select("digest", "signature", F.col("head.digest").alias("other"), F.col("head.signature").alias("other_signature"))
+def _first_matches(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(a, b): classes with the first class of a node they share, where their signatures agree."""
+    entries = _entries(classes, trees, depth)
+    heads = entries.groupBy("node").agg(F.min(F.struct("digest", "signature")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    met = entries.join(heads, "node").where("digest <> head.digest").select("digest", "signature", F.col("head.digest").alias("other"), F.col("head.signature").alias("other_signature"))
+    met = met.dropDuplicates(["digest", "other"])  # met in several trees
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,12 +168,21 @@ def _all_matches(joined: DataFrame, trees: int, depth: int, least: int, block_ro
 def matched(classes: DataFrame, similarity: float, trees: int, recall: float, block_rows: int = 2048) -> DataFrame:
     """(digest, component) of the classes that have near copies by their signatures; see the steps above."""
     last, least = prefix_depth(similarity, trees, recall), least_agreement(similarity, trees * DEPTH)
-    edges = None
-    for depth in range(DEPTH, last, -2):
-        found = written_once(_first_matches(_joined(classes, edges), trees, depth, least), "matches")
-        edges = found if edges is None else edges.unionByName(found)
-    found = written_once(_all_matches(_joined(classes, edges), trees, last, least, block_rows), "matches")
-    return components(found if edges is None else edges.unionByName(found)).select(F.col("node").alias("digest"), "component")
+    some = classes.select("digest", "signature")
+    joined = some.withColumn("joined", F.col("digest"))
+    if last < DEPTH:
+        first = components(written_once(_first_matches(some, trees, (DEPTH + last) // 2, least), "matches"))
+        first = first.select(F.col("node").alias("digest"), "component")
+        joined = written_once(some.join(first, "digest", "left").select("digest", "signature", F.coalesce("component", "digest").alias("joined")), "joined")
+    found = written_once(_all_matches(joined, trees, last, least, block_rows), "matches")
+    # what is joined is one node from here on, so few edges are left
+    ends = joined.select("digest", "joined")
+    left, right = (ends.select(F.col("digest").alias(c), F.col("joined").alias(f"{c}_of")) for c in ("a", "b"))
+    again = components(found.join(left, "a").join(right, "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
+    again = again.select(F.col("node").alias("joined"), "component")
+    placed = ends.join(again, "joined", "left").select("digest", F.coalesce("component", "joined").alias("component"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return placed.join(sizes, "component").select("digest", "component")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

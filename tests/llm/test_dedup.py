@@ -166,7 +166,7 @@ def test_a_large_node_is_compared_in_blocks(spark):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     classes = jaccard_join.written_once(jaccard_join.signed_documents(df, 20, 5).select("digest", "signature"), "classes")
-    joined = jaccard_join._joined(classes, None)
+    joined = classes.selectExpr("*", "digest AS joined")
     least = jaccard_join.least_agreement(0.8, 200)
     count = lambda rows: components(jaccard_join._all_matches(joined, 20, 6, least, rows)).groupBy("component").count().count()
     assert count(16) == count(4096) == 1
