@@ -121,7 +121,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     chosen = chosen.select("doc_id", (F.col("p") > 0.5).cast("int").alias("label"), F.xxhash64("h").alias("place"))
     some = [chosen.where(F.col("label") == k).orderBy("place", "doc_id").limit(most) for k in (0, 1)]
     some = written_once(some[0].unionByName(some[1]).select(F.col("doc_id").alias("id"), "label"), "quality-sample")
-    return rows.join(F.broadcast(some), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    # of several texts under one id the one of the smallest hash stays
+    texts = rows.join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text").groupBy("doc_id", "label")
+    return texts.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("doc_id", "r.text", "label")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = 1500, rank: int = 48) -> Neighbours:

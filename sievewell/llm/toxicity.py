@@ -13,6 +13,7 @@ all terms tried, none would be expected to. Weights are log-odds of the training
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from sievewell.llm.texts import by_text, lower_words, mixed, shingles, slices, utf8, word_bounds
 from sievewell.session import written_once
 
-# Insults, and phrases in which they are none. Written as they look after folding.
+# Insults, and phrases in which they are none.
 INSULTS = [
     "asshole", "bastard", "bitch", "cretin", "dickhead", "dimwit", "dumbass", "fuck", "halfwit", "idiot", "imbecile", "jackass",
     "loser", "moron", "nitwit", "pathetic", "scum", "scumbag", "shithead", "stupid", "worthless",
@@ -40,11 +41,11 @@ EXCEPTIONS = [
     "white trash bag", "stupid mistake", "pathetic fallacy", "disgusting weather",
 ]
 # Signs that are read as letters, and letters of other scripts that look like Latin ones.
-_SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+_SIGNS = {"0": "o", "1": "i", "l": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 _LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ғ": "f", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "п": "n", "о": "o",
     "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i",
-    "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "đ": "d",
+    "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "i", "ø": "o", "đ": "d",
 }
 _FOLD = str.maketrans(_SIGNS | _LOOKALIKES)
 _MARKS = {c: None for c in (*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xAD, 0xFEFF)}
@@ -54,13 +55,17 @@ TEST_FOLD = "pmod(crc32(cast(doc_id AS string)), 3)"
 
 
 def folded(text: str) -> str:
-    """The text as the lexicon sees it; its length can change."""
+    """The text as the lexicon sees it; its length can change. i, l and 1 are one letter, in the lexicon too."""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_MARKS)
     return text.translate(_FOLD)
 
 
+# marks that stand for i inside a word; between words they are marks
+_INSIDE = re.compile(r"(?<=\w)[!|](?=\w)")
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Whole words and word beginnings with their weights, exception phrases, and the calibration of scores."""
@@ -77,7 +82,7 @@ class Lexicon:
         terms = {(w, "word"): x for w, x in self.words.items()} | {(w, "stem"): x for w, x in self.stems.items()} | {(p, "except"): 0.0 for p in self.exceptions}
         by_text: dict[str, list] = {}
         for (term, kind), weight in terms.items():
-            by_text.setdefault(term, []).append((kind, weight))
+            by_text.setdefault(folded(term), []).append((kind, weight))
         for term, meanings in by_text.items():
             found.add_word(term, (len(term), meanings))
         found.make_automaton()
@@ -85,8 +90,18 @@ class Lexicon:
 
 
 def hits_weight(text: str, automaton: ahocorasick.Automaton) -> float:
-    """The sum of the weights of the words hit, each occurrence by its heaviest entry, outside exception phrases."""
+    """The sum of the weights of the words hit, each occurrence by its heaviest entry, outside exception phrases.
+
+    A text with ``!`` or ``|`` inside words is read in both ways, as marks and as i, and the heavier counts.
+    """
     text = folded(text)
+    weight = _hits(text, automaton)
+    if _INSIDE.search(text):
+        weight = max(weight, _hits(_INSIDE.sub("i", text), automaton))
+    return weight
+
+
+def _hits(text: str, automaton: ahocorasick.Automaton) -> float:
     n = len(text)
     hits: dict[int, tuple[int, float]] = {}
     free: list[tuple[int, int]] = []
@@ -132,10 +147,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     chosen = chosen.select("doc_id", (F.col("p") > 0.5).cast("int").alias("label"), F.xxhash64("h").alias("place"))
     some = [chosen.where(F.col("label") == k).orderBy("place", "doc_id").limit(most) for k in (0, 1)]
     some = written_once(some[0].unionByName(some[1]).select(F.col("doc_id").alias("id"), "label"), "toxic-sample")
-    texts = rows.join(F.broadcast(some), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("text", "label")
-    sketched = texts.mapInArrow(_sketch, "text string, label int, " + ", ".join(f"m{k} long" for k in range(_SKETCHES)))
-    for k in range(_SKETCHES):  # copies of one text prove nothing more about its words than the text itself
-        sketched = sketched.dropDuplicates(["label", f"m{k}"])
+    # of texts under one id, and of near copies, the one of the smallest hash stays, whatever the order of the rows
+    texts = rows.join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    sketches = [f"m{k}" for k in range(_SKETCHES)]
+    sketched = texts.select("r.text", "label").mapInArrow(_sketch, "text string, label int, " + ", ".join(f"{m} long" for m in sketches))
+    for m in sketches:  # copies of one text prove nothing more about its words than the text itself
+        others = [c for c in sketches if c != m]
+        sketched = sketched.groupBy("label", m).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", *others)).alias("r")).select("label", m, "r.text", *(f"r.{c}" for c in others))
     return sketched.select("text", "label")
 
 
@@ -179,7 +197,7 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = 3000, entries: int =
     sample = written_once(training_rows(docs, labels, most), "toxic-texts")
     counts = written_once(sample.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-terms")
     whole = counts.where("term = ''").first()
-    fixed = {w: 3.0 for w in INSULTS}
+    fixed = {folded(w): 3.0 for w in INSULTS}
     if whole is None or not whole["clean"] or not whole["toxic"]:
         return Lexicon(fixed, {})
     clean, toxic = whole["clean"], whole["toxic"]

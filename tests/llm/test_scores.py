@@ -6,7 +6,7 @@ import pathlib
 import random
 import re
 import textwrap
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -51,6 +51,48 @@ def test_folding_and_exceptions():
     assert weigh("pond scum") == 0 and weigh("scum of a pond scum") == 2.0 and weigh("") == 0
 
 
+@pytest.mark.parametrize("spelt", ["1oser", "a55ho1e", "wor7h1ess", "worth1ess", "id!ot", "|diot id|ot", "lDlOT", "LOSER", "łoser", "so hello!loser"])
+def test_spellings_of_insults(spelt):
+    automaton = toxicity.Lexicon({toxicity.folded(w): 3.0 for w in toxicity.INSULTS}, {}).automaton()
+    assert toxicity.hits_weight(f"you {spelt} you", automaton) == 3.0
+
+
+def _plain_weight(text, lexicon):
+    """Every entry tried at every place of the folded text."""
+
+    def read(t):
+        inside = lambda k: 0 <= k < len(t) and t[k].isalnum()
+        at = lambda e: [k for k in range(len(t) - len(e) + 1) if t.startswith(e, k) and not inside(k - 1)]
+        free = [(k, k + len(e)) for e in map(toxicity.folded, lexicon.exceptions) for k in at(e) if not inside(k + len(e))]
+        hits = {}
+        for entries, open_end in ((lexicon.words, False), (lexicon.stems, True)):
+            for entry, weight in entries.items():
+                e = toxicity.folded(entry)
+                for k in at(e):
+                    if open_end or not inside(k + len(e)):
+                        hits.setdefault(k, []).append((weight, k + len(e)))
+        return sum(max(x)[0] for k, x in hits.items() if not any(a <= k and max(x)[1] <= b for a, b in free))
+
+    low = toxicity.folded(text)
+    return max(read(low), read(re.sub(r"(?<=\w)[!|](?=\w)", "i", low)))
+
+
+def test_the_automaton_agrees_with_a_plain_search():
+    rnd = random.Random(21)
+    pieces_ = ["idiot", "1d1ot", "scum", "pond", "Pond", "scumbag", "loser", "sore", "ioser", "stu", "stupid", "mistake", " ", " ", " ", ".", "!", "|", "x", "і", "é", "\n", "trash", "can"]
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "scum": 2.0, "loser": 1.5, "stupid": 1.0, "trash": 0.5}, {"stup": 0.75, "scumb": 4.0, "ix": 0.25})
+    automaton = lexicon.automaton()
+    for _ in range(1500):
+        text = "".join(rnd.choice(pieces_) for _ in range(rnd.randint(0, 25)))
+        assert toxicity.hits_weight(text, automaton) == pytest.approx(_plain_weight(text, lexicon)), text
+
+
+def test_the_lexicon_does_not_depend_on_the_order_of_rows(spark, docs, labels):
+    more = docs.unionByName(docs.where("doc_id % 5 = 0").selectExpr("doc_id", "concat(text, ' again') AS text", "lang", "source", "n_chars"))  # ids that repeat
+    one = toxicity.learned(more.repartition(2), labels)
+    assert all(toxicity.learned(more.repartition(n, "lang"), labels.repartition(3)) == one for n in (7, 13))
+
+
 def test_toxicity_of_messy_rows(spark, messy, nothing, labels):
     model = toxicity.learned(nothing, labels.where("false"))
     got = toxicity.scored(messy, model).collect()
@@ -82,7 +124,7 @@ def test_pseudo_likelihood(spark, messy, nothing):
     # after "a" comes "b", before "d" comes "c": only the sides tell
     texts = [" ".join(rnd.choice(["a b", "c d", "e f g"]) for _ in range(60)) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    net = pseudo_likelihood.fitted(docs, rounds=3, least=20_000)
+    net = pseudo_likelihood.fitted(docs, rounds=3)
     shuffled = []
     for i, t in enumerate(texts):
         words = t.split()
@@ -115,6 +157,9 @@ def test_pseudo_likelihood_learns_rare_words_at_one_rate(spark):
     texts = [" ".join(rnd.choice(pairs) for _ in range(60)) + f" once{i:05d}" for i in range(1200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     assert pseudo_likelihood.fitted(docs, rounds=0).tokens == 33 + math.isqrt(1200 * 121)
+    assert pseudo_likelihood.fitted(docs, rounds=0, most_words=50).tokens == 33 + 50
+    one = pseudo_likelihood.fitted(docs.repartition(4), vocabulary=50, rounds=1, replicas=1)  # one copy reads all partitions
+    assert one.weights.shape == pseudo_likelihood.fitted(docs, vocabulary=50, rounds=0).weights.shape
     net = pseudo_likelihood.fitted(docs, vocabulary=600, rounds=4)
     shuffled = [(i, " ".join(rnd.sample(t.split(), 121))) for i, t in enumerate(texts)]
     own = {r.doc_id: r.log_prob for r in pseudo_likelihood.scored(docs, net).collect()}
@@ -322,29 +367,86 @@ def test_viterbi_against_all_paths():
 
 def test_pipeline(spark, sf, docs):
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+    import sentencepiece
+
     model = toxicity.learned(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    toxic = {r.doc_id for r in toxicity.scored(docs, model).where("predicted = 1").collect()}
+    lexicon = toxicity.Lexicon(model.words, model.stems, model.exceptions, model.bias, model.gain, model.per_length)
     now, kept = docs, None
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before, now = now, stage(spark, now, sf).persist()
+        before, now = [(r.doc_id, r.text) for r in now.collect()] if k < 4 else before, stage(spark, now, sf).persist()
         if k < 4:
             assert now.columns == docs.columns
-        if k == 0:
-            assert {r.doc_id for r in now.collect()} == {r.doc_id for r in docs.collect()} - toxic
+            after = [(r.doc_id, r.text) for r in now.collect()]
+        if k == 0:  # by a plain search of all entries
+            weight = np.array([_plain_weight(t or "", lexicon) for _, t in before], float)
+            words = np.array([len(re.findall(r"(?:[A-Za-z0-9_]|[^\x00-\x7f])+", t or "")) for _, t in before], float)
+            assert sorted(after) == sorted(r for r, s in zip(before, toxicity._scores(lexicon, weight, words), strict=True) if s < 0.7)
+            assert len(after) < len(before)
+        if k == 1:
+            stay = _one_of_each_group(before)
+            assert sorted(after) == sorted(r for r in before if r[0] in stay) and len(after) < len(before)
         if k == 2:
-            want = {(i, h) for i, _, _, _, h in _brute_repeats(before)}
-            assert {r.doc_id for r in now.collect()} == {i for i, _ in want}
-        if k == 3:
+            assert sorted((i, t or "") for i, t in after) == _without_repeats(before)
+            assert {i for i, _ in after} == {i for i, _ in before}
+        if k == 3:  # as often as the mix of these very rows takes them
+            takes = {r.doc_id: r.taken // r.size if r.size else None for r in mixing.mix_documents(spark.createDataFrame(stage_rows, docs.schema)).collect()}
+            times = Counter(i for i, _ in after)
+            assert all(n is None or times[i] == n for i, n in takes.items()) and set(after) <= set(before)
             kept = now
+        if k == 2:
+            stage_rows = now.collect()
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoded = Counter((r.doc_id, tuple(r.ids)) for r in now.collect())
+    assert encoded == Counter((r.doc_id, tuple(lib.encode(r.text or ""))) for r in kept.collect())
     assert now.count() == kept.count() and sum(r.n_pieces for r in now.collect()) > 0
     got = sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == sorted((r.doc_id, tuple(r.ids)) for r in now.collect())
 
 
-def _brute_repeats(df):
-    from .test_dedup import removed_by_hand
-
-    return removed_by_hand([(r.doc_id, (r.text or "").encode()) for r in df.limit(40).collect()], 50) if df.count() <= 40 else [(r.doc_id, 0, 0, 0, "") for r in df.collect()]
+def _without_repeats(rows, window=50):
+    """(id, text without the bytes that a 50-byte string of a smaller id covers), by hand."""
+    first = {}
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    for i, t in texts:
+        for s in range(len(t) - window + 1):
+            k = t[s : s + window]
+            first[k] = min(first.get(k, i), i)
+    out = []
+    for i, t in texts:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - window + 1):
+            if first[t[s : s + window]] < i:
+                gone[s : s + window] = True
+        out.append((i, np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "replace")))
+    return sorted(out)
+
+
+def _one_of_each_group(rows):
+    """Ids that stay when of texts of likeness 0.8 or more, linked through others too, the smallest id does."""
+    from .test_dedup import shingle_set
+
+    sets = {i: shingle_set(t) for i, t in rows}
+    holders, root = defaultdict(set), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    for i, s in sets.items():
+        common = defaultdict(int)
+        for x in s:
+            for j in holders[x]:
+                if j < i:
+                    common[j] += 1
+        for j, n in common.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in sets if find(i) == i}
 
 
 def test_every_query_is_there():
