@@ -180,6 +180,22 @@ def _narrowed(values: DataFrame, bands: DataFrame) -> DataFrame:
     return counts.select("g", "r", keep(F.col("_low"), "low"), keep(F.col("_high"), "high"), keep(start, "below"), keep(F.col("held"), "m"))
 
 
+def certified_quantiles(df: DataFrame, col: str, ps: list[float], accuracy: int = _ACCURACY) -> DataFrame:
+    """(p, n, value, below, upto, certified): sketched quantiles with their exact ranks.
+
+    ``below`` values are smaller than ``value`` and ``upto`` are not larger. It is certified where the rank
+    p n lies between them, or no further off than the sketch's error, n / ``accuracy``. Two aggregations; the
+    driver sees a number for each of ``ps``.
+    """
+    values = df.select(F.col(col).alias("v")).where(F.col(col).isNotNull())
+    row = values.agg(F.count("*").alias("n"), F.percentile_approx("v", ps, accuracy).alias("b")).first()
+    found = list(zip(ps, row["b"] or [None] * len(ps), strict=True))
+    counts = [F.struct(F.lit(p).alias("p"), F.lit(v).cast("double").alias("value"), F.count_if(F.col("v") < F.lit(v)).alias("below"), F.count_if(F.col("v") <= F.lit(v)).alias("upto")) for p, v in found]
+    rows = values.agg(F.count("*").alias("n"), F.array(*counts).alias("x")).select("n", F.inline("x"))
+    rank, off = F.col("p") * F.col("n"), F.col("n") / accuracy + 1
+    return rows.select("p", "n", "value", "below", "upto", ((F.col("below") - off <= rank) & (rank <= F.col("upto") + off)).alias("certified"))
+
+
 def discrete_quantile(df: DataFrame, col: str, p: float):
     """The smallest value whose cumulative share reaches ``p``; null on no rows."""
     n = df.where(F.col(col).isNotNull()).count()

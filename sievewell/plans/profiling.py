@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievewell.operators import profile as pr
+from sievewell.operators.ranking import certified_quantiles, hash_rank_key
 from sievewell.plans.base import plan, table
 from sievewell.plans.frames import SILVER_SQL, silver
 
@@ -81,6 +82,13 @@ def percentiles_approximate(spark, sf):
     return pr.percentiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.5, 0.9, 0.99], exact=False)
 
 
+@plan("percentiles_certified", "A5", "SELECT p::DOUBLE AS p, count(l_extendedprice) AS n, true AS certified FROM lineitem, (VALUES (0.5), (0.9), (0.99)) t(p) GROUP BY p")
+def percentiles_certified(spark, sf):
+    """Sketched percentiles whose exact ranks are counted: each lies within the sketch's error."""
+    d = certified_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.5, 0.9, 0.99])
+    return d.select("p", "n", "certified")
+
+
 _NULLABLE = ["drug_id", "drug_name", "avg_mass", "description", "indication", "mechanism", "toxicity", "ingest_dt"]
 
 
@@ -245,6 +253,13 @@ def stratified_sample_seeded(spark, sf):
     return pr.seeded_sample_by(parts, "mass_bin", {"<100": 0.1, "100-500": 0.1, ">500": 0.1}, 42)
 
 
+@plan("plain_sample_hash", "W8", "SELECT p_partkey, p_retailprice FROM part WHERE ('0x' || substr(md5('7|' || p_partkey), 1, 15))::BIGINT < 288230376151711744")
+def plain_sample_hash(spark, sf):
+    """A quarter of the rows, by a hash of the id: the same rows however the table is laid out."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return parts.where(hash_rank_key(7, "p_partkey") < (1 << 60) // 4)
+
+
 @plan("plain_sample", "W8")
 def plain_sample(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_retailprice").sample(False, 0.25, 7)

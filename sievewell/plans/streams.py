@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievewell.plans.base import data_version, plan
 from sievewell.plans.frames import MESSAGES_SQL, messages
 from sievewell.session import work_dir
+from sievewell.sources.files import path_exists
 from sievewell.streaming import streams as sm
 
 CLEANED_SQL = f"""m AS ({MESSAGES_SQL}), j AS (SELECT event_id, CASE WHEN json_valid(value) THEN value::JSON END AS v FROM m),
@@ -90,3 +91,27 @@ def stream_without_replays(spark, sf):
         stream = spark.readStream.schema(sm.ENVELOPE_SCHEMA).json(landed)
         sm.start_sink(sm.without_replays(stream, "60 days"), out, check).awaitTermination()
     return spark.read.parquet(out).select("topic", "partition", "offset", "value")
+
+
+@plan("stream_progress_of_all", "X4", "SELECT count(*) AS input_rows, count(*) AS landed_rows FROM events")
+def stream_progress_of_all(spark, sf):
+    """The rows that a listener was told of by all batches of a plain file sink, and those that arrived."""
+    import time
+
+    out, check, path = (work_dir(spark, f"listened-{x}") for x in ("out", "check", "log"))
+    log = sm.ProgressLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        raw = sm.message_stream(spark, "text", path=topic(spark, sf), maxFilesPerTrigger=1)
+        query = sm.start_sink(raw, out, check)
+        query.awaitTermination()
+        for _ in range(300):  # listeners are told of the end a little later
+            if path_exists(spark, f"{path}/_SUCCESS"):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+        log.flush()
+    landed = spark.read.schema("value string").parquet(out)
+    seen = log.read().where(F.col("query_id") == str(query.id))
+    return seen.agg(F.sum("input_rows").alias("input_rows")).crossJoin(landed.agg(F.count("*").alias("landed_rows")))

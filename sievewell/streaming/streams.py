@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from sievewell.operators.standardize import clean_messages
 
@@ -140,3 +140,45 @@ def status_row(query: StreamingQuery) -> DataFrame:
     return SparkSession.active().createDataFrame(
         [(query.isActive, query.status["message"], recent)], "active boolean, message string, recent_batches int"
     )
+
+
+PROGRESS_SCHEMA = "query_id string, run_id string, name string, batch_id bigint, input_rows bigint, trigger_ms bigint, state_rows bigint"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps a row of every micro-batch of every query of the session in a table, whatever their sinks.
+
+    Rows are gathered and written below ``path`` when there are ``flush_rows`` of them, and when a query
+    ends, by the thread that Spark tells listeners with; queries do not wait for it. ``read`` gives the table,
+    with one row for a batch even if its progress was told twice. Start it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, flush_rows: int = 500):
+        super().__init__()
+        self.spark, self.path, self.flush_rows = spark, path, flush_rows
+        self.rows: list[tuple] = []
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        state = sum(op.numRowsTotal for op in p.stateOperators)
+        took = dict(p.durationMs).get("triggerExecution")
+        self.rows.append((str(p.id), str(p.runId), p.name, p.batchId, p.numInputRows, took, state))
+        if len(self.rows) >= self.flush_rows:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.flush()
+
+    def flush(self) -> None:
+        rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(PROGRESS_SCHEMA).parquet(self.path).dropDuplicates(["query_id", "run_id", "batch_id"])

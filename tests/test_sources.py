@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import time
 
 import pytest
 
@@ -348,3 +349,24 @@ def test_replays_add_no_row_and_state_is_forgotten(spark, tmp_path):
     _envelopes(spark, landed, [("t", 0, 4, "g", "2025-01-01 20:01:00"), ("t", 0, 1, "too late to judge", "2025-01-01 10:00:00")])
     rows, held = run()
     assert rows == ["a", "b", "c", "d", "e", "f", "g"] and held == 2
+
+
+def test_a_listener_sees_more_batches_than_a_query_remembers(spark, tmp_path):
+    topic, out, check = (str(tmp_path / x) for x in ("topic", "out", "check"))
+    spark.range(120).selectExpr("cast(id AS string) AS value").repartition(120).write.text(topic)
+    spark.range(200, 230).selectExpr("cast(id AS string) AS value").repartition(30).write.mode("append").text(topic)
+    log = sm.ProgressLog(spark, str(tmp_path / "log"), flush_rows=40)
+    spark.streams.addListener(log)
+    try:
+        query = sm.start_sink(sm.message_stream(spark, "text", path=topic, maxFilesPerTrigger=1), out, check)
+        query.awaitTermination()
+        for _ in range(300):
+            if log.read().count() > 100 and not log.rows if (tmp_path / "log").exists() else False:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+        log.flush()
+    seen = log.read().where("input_rows > 0")
+    assert seen.count() > 100 >= len(query.recentProgress) and seen.agg({"input_rows": "sum"}).first()[0] == 150
+    assert {r["run_id"] for r in seen.select("run_id").distinct().collect()} == {str(query.runId)}
