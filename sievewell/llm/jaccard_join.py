@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sievewell.llm.buckets import forest
 from sievewell.llm.graph import components
+from sievewell.llm.hot import looked_up
 from sievewell.llm.texts import by_text, lower_words, mixed, shingles, slices
 from sievewell.session import broadcast_if_small, written_once
 
@@ -91,18 +92,20 @@ def signed_documents(docs: DataFrame, trees: int, size: int) -> DataFrame:
     return keyed(docs).mapInArrow(sign, "doc_id long, key long, text_key long, digest binary, weight long, signature binary")
 
 
-def _entries(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """The node of each tree, at this depth, that a class lies in."""
-    node = F.concat(F.col("tree").cast("string").cast("binary"), F.lit(":").cast("binary"), F.substring("signature", F.col("tree") * DEPTH + 1, F.lit(depth)))
-    return classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", node).drop("tree")
+def _entries(classes: DataFrame, trees: int, depth: int, *others: str) -> DataFrame:
+    """(digest, node, others): the node of each tree, at this depth, that a class lies in; the signature goes no further."""
+    node = F.xxhash64("tree", F.substring("signature", F.col("tree") * DEPTH + 1, F.lit(depth)))
+    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return rows.select("digest", node.alias("node"), *others)
 
 
 def _first_matches(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
     """(a, b): classes with the first class of a node they share, where their signatures agree."""
     entries = _entries(classes, trees, depth)
-    heads = entries.groupBy("node").agg(F.min(F.struct("digest", "signature")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = entries.join(heads, "node").where("digest <> head.digest").select("digest", "signature", F.col("head.digest").alias("other"), F.col("head.signature").alias("other_signature"))
-    met = met.dropDuplicates(["digest", "other"])  # met in several trees
+    heads = entries.groupBy("node").agg(F.min("digest").alias("other"), F.count("*").alias("n")).where("n > 1").select("node", "other")
+    ties = entries.join(heads, "node").where("digest <> other").select("digest", "other").distinct()  # met in several trees
+    ties = written_once(ties.join(classes, "digest"), "ties")
+    met = looked_up(ties, classes.select(F.col("digest").alias("other"), F.col("signature").alias("other_signature")), ["other"], "inner", "hot-heads")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,16 +149,17 @@ def _all_matches(joined: DataFrame, trees: int, depth: int, least: int, block_ro
 
     In each node the largest joined group needs no look at itself: all classes meet those outside it.
     """
-    entries = _entries(joined, trees, depth)
-    parts = entries.groupBy("node", "joined").agg(F.count("*").alias("n"))
-    nodes = parts.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "joined")).alias("top")).where("groups > 1")
-    nodes = written_once(nodes.select("node", "n", F.col("top.n").alias("top_n"), F.col("top.joined").alias("top")), "open-nodes")
-    met = entries.join(broadcast_if_small(nodes, 200_000, 32 << 20), "node")
+    groups = joined.withColumn("group", F.xxhash64("joined"))
+    entries = _entries(groups, trees, depth, "group")
+    parts = entries.groupBy("node", "group").agg(F.count("*").alias("n"))
+    nodes = parts.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "group")).alias("top")).where("groups > 1")
+    nodes = written_once(nodes.select("node", "n", F.col("top.n").alias("top_n"), F.col("top.group").alias("top")), "open-nodes")
+    met = entries.join(broadcast_if_small(nodes, 200_000, 32 << 20), "node").join(joined, "digest")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     blocks, rights = (F.greatest(F.ceil(n / block_rows), F.lit(1)).cast("int") for n in (F.col("n"), F.col("n") - F.col("top_n")))
     large = F.col("n") > block_rows
     met = met.select(
-        "digest", "signature", "joined", "node", F.col("joined") != F.col("top"), blocks.alias("blocks"), rights.alias("rights"),
+        "digest", "signature", "joined", "node", F.col("group") != F.col("top"), blocks.alias("blocks"), rights.alias("rights"),
         F.when(large, F.hex("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(1 + total // 4096)).cast("string")).alias("task"),
     ).toDF("digest", "signature", "joined", "node", "outside", "blocks", "rights", "task")
     place = lambda of: F.pmod(F.xxhash64("digest"), F.col(of)).cast("int")
