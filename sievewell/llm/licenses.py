@@ -100,12 +100,15 @@ _ADDRESSES = [
     "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA",
 ]
 _ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA")
-_VARIANT = r"\b(" + "|".join(SPELLINGS) + r")\b"
+_FIRSTS = sorted({v[0] for v in SPELLINGS})
+# the variants by their first letters, so that most words are passed at one look
+_VARIANT = " (?:" + "|".join(f"{a}(?:" + "|".join(sorted(v[1:] for v in SPELLINGS if v[0] == a)) + ")" for a in _FIRSTS) + ") "
 
 
 def _plain(text: Column) -> Column:
     """Letters and digits in small letters, with one blank between. Only A-Z have small letters: other signs are blanks before."""
-    return F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+    # a single blank, which is most of what there is to replace, is left as it is
+    return F.lower(F.trim(F.regexp_replace(text, " *[^A-Za-z0-9 ][^A-Za-z0-9]*| {2,}", " ")))
 
 
 def with_canonical(rows: DataFrame, text: str, into: str) -> DataFrame:
@@ -123,7 +126,7 @@ def with_canonical(rows: DataFrame, text: str, into: str) -> DataFrame:
     spelled = F.col("__cut")
     for variant, one in SPELLINGS.items():
         spelled = F.regexp_replace(spelled, rf"\b{variant}\b", one)
-    return rows.withColumn(into, F.when(F.col("__cut").rlike(_VARIANT), spelled).otherwise(F.col("__cut"))).drop("__text", "__plain", "__cut")
+    return rows.withColumn(into, F.when(F.concat(F.lit(" "), "__cut", F.lit(" ")).rlike(_VARIANT), spelled).otherwise(F.col("__cut"))).drop("__text", "__plain", "__cut")
 
 
 def canonical_text(text: str) -> str:
@@ -218,7 +221,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     # the first word, without a look at the rest of the line; a line that is a notice has none
     lines = lines.withColumn("first", F.lower(F.regexp_extract("line", "^[^A-Za-z0-9]*([A-Za-z0-9]+)", 1))).join(firsts, "first")
     lines = with_canonical(lines.select("doc_id", "text_key", "line"), "line", "form")
-    lines = lines.select("doc_id", "text_key", F.sha2("form", 256).alias("digest")).join(table, "digest")
+    # never null, so that the join brings no test for null under the steps, which would work the form out once more
+    lines = lines.select("doc_id", "text_key", F.coalesce(F.sha2("form", 256), F.lit("")).alias("digest")).join(table, "digest")
     notices = lines.groupBy("doc_id", "text_key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     notices = notices.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_text"), "notices")
     whole = with_canonical(rows, "text", "form").select("doc_id", "text_key", F.sha2("form", 256).alias("digest")).join(table, "digest", "left")
