@@ -4,7 +4,8 @@
    share, which gives the proposed phrases.
 2. A full pass counts each phrase that is proposed or in the negative border: whose words but
    the last, and whose words but the first, are proposed. The border is never listed; a
-   phrase is in it by that test, where it occurs. Every single word is in it.
+   phrase is in it by that test, where it occurs. Every single word is in it. It counts twice: by short
+   keys, which leaves out what cannot be frequent, and what is left by its text, exactly.
 3. A phrase of the border that turns out frequent is a failure. Failures join the proposed
    phrases, and a further pass counts what has become border by them, until none fails.
    What was counted is then all that is frequent, since all parts of a frequent phrase are.
@@ -39,6 +40,7 @@ _BREAK[_BREAKS] = True
 _WORD = np.ones(256, bool)
 _WORD[[*_BREAKS, 9, 32]] = False
 LEAST_BITS, MOST_BITS = 16, 28
+_SHORT = _U((1 << 48) - 1)
 COUNTS = "lang string, phrase string, words int, key long, n long"
 
 
@@ -62,13 +64,13 @@ class KeySet:
         return found
 
 
-def key_set(keys: DataFrame, bits: int | None = None) -> KeySet:
+def key_set(keys: DataFrame, bits: int | None = None, each: int = 16) -> KeySet:
     """The column ``key`` as bits: 16 for each key, but at most 2 ** 28 in all (32 MB), or the given number.
 
     Spark sets the bits in blocks of 4 KB; only those come to the driver. Sets of one number of bits
     grow with their keys: what a set holds, falsely or not, is held with more keys too.
     """
-    bits = bits or min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(1, keys.count())))))
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(each * max(1, keys.count())))))
     places = keys.select(F.explode(place_bits(F.col("key"), bits)).alias("at")).select((F.col("at") + 1).alias("at"))
     blocks = places.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("set"))
     data = np.zeros(max(1, (1 << bits) >> 15) * 4096, np.uint8)
@@ -141,44 +143,72 @@ def _counted(words: Words, size: int, wanted: np.ndarray, one: np.ndarray) -> tu
     return at[order[heads]], np.diff(np.append(heads, len(at)))
 
 
-def count_phrases(docs: DataFrame, sizes: list[int], proposed: KeySet | None = None, before: KeySet | None = None) -> DataFrame:
-    """(lang, phrase, words, key, n) of the phrases of ``sizes`` words in (lang, text) that are due.
+def _due(words: Words, sizes: list[int], now: KeySet | None, before: KeySet | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, keys, due) for the places of a batch: the key of the phrase that begins there, and whether it is due.
 
     Due are all single words, and longer phrases whose two parts that lack an end word are
-    ``proposed``, unless both were so ``before``, when single words are not due either. Rows without
-    phrase give the number of words of a language, when single words are due. A phrase has several rows.
+    proposed ``now``, unless both were so ``before``, when single words are not due either.
+    """
+    for size in sizes:
+        keys, due = words.phrases(size, words.one, _MULT), words.inside(size)
+        if size == 1 and before is not None:
+            continue
+        if size > 1 and len(keys):
+            parts = words.phrases(size - 1, words.one, _MULT)
+            held = now.holds(parts)
+            due = due & held[:-1] & held[1:]
+            if before is not None:
+                held = before.holds(parts)
+                due = due & ~(held[:-1] & held[1:])
+        yield size, keys, due
+
+
+def frequent_keys(docs: DataFrame, sizes: list[int], least: int, proposed: KeySet | None) -> DataFrame:
+    """(key) of 48 bits under which due phrases stand ``least`` times or more together.
+
+    Phrases that share a key are counted as one, so none that is frequent is missed. Most phrases of the
+    border are rare: they are shuffled as two numbers, and never as text.
+    """
+    now = docs.sparkSession.sparkContext.broadcast(proposed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", 1 << 20):
+            words = Words(piece.column("text"), piece.column("lang"))
+            for _, keys, due in _due(words, sizes, now.value, None):
+                some, n = np.unique(keys[due] & _SHORT, return_counts=True)
+                yield pa.record_batch([pa.array(some.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    counts = docs.select("lang", "text").mapInArrow(count, "key long, n long")
+    return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+
+
+def count_phrases(docs: DataFrame, sizes: list[int], proposed: KeySet | None = None, before: KeySet | None = None, among: KeySet | None = None) -> DataFrame:
+    """(lang, phrase, words, key, n) of the phrases of ``sizes`` words in (lang, text) that are due, see ``_due``.
+
+    With ``among``, only of those whose short key it holds. Rows without phrase give the number of words
+    of a language, when single words are due. A phrase has several rows.
     """
     sc = docs.sparkSession.sparkContext
-    now, old = sc.broadcast(proposed), sc.broadcast(before)
+    now, old, wanted = sc.broadcast(proposed), sc.broadcast(before), sc.broadcast(among)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", 4 << 20):
+        for piece in slices(batches, "text", 1 << 20):
             words = Words(piece.column("text"), piece.column("lang"))
             if not len(words.one):
                 continue
-            parts: list[pa.Array] = []
             if 1 in sizes and old.value is None:
                 number = np.bincount(words.lang, minlength=len(words.langs))
                 none = [None] * len(number)
                 yield pa.record_batch([pa.array(words.langs, pa.string()), pa.array(none, pa.string()), pa.array([0] * len(number), pa.int32()), pa.array(none, pa.int64()), pa.array(number, pa.int64())], names=["lang", "phrase", "words", "key", "n"])
-            for size in sizes:
-                one = words.phrases(size, words.one, _MULT)
-                due = words.inside(size)
-                if size > 1:
-                    parts = words.phrases(size - 1, words.one, _MULT)
-                    held = now.value.holds(parts)
-                    due = due & held[:-1] & held[1:] if len(held) else due
-                    if old.value is not None:
-                        held = old.value.holds(parts)
-                        due = due & ~(held[:-1] & held[1:]) if len(held) else due
-                elif old.value is not None:
-                    continue
-                at, n = _counted(words, size, due, one)
+            for size, keys, due in _due(words, sizes, now.value, old.value):
+                if wanted.value is not None and len(keys):
+                    due = due & wanted.value.holds(mixed(keys & _SHORT))
+                at, n = _counted(words, size, due, keys)
                 for some in range(0, len(at), 1 << 17):
                     i = at[some : some + (1 << 17)]
                     lang = pa.array(words.langs, pa.string()).take(pa.array(words.lang[i]))
                     yield pa.record_batch(
-                        [lang, words.text(i, size), pa.array(np.full(len(i), size, np.int32)), pa.array(one[i].view(np.int64)), pa.array(n[some : some + (1 << 17)].astype(np.int64))],
+                        [lang, words.text(i, size), pa.array(np.full(len(i), size, np.int32)), pa.array(keys[i].view(np.int64)), pa.array(n[some : some + (1 << 17)].astype(np.int64))],
                         names=["lang", "phrase", "words", "key", "n"],
                     )
 
@@ -220,7 +250,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
     sizes = list(range(1, longest + 1))
     while True:
         passes += 1
-        counted = written_once(_summed(count_phrases(rows, sizes, now, before), least), "phrase-counts")
+        among = None
+        if before is None:  # the first border is large, and nearly all of it is rare; later ones are small
+            short = written_once(frequent_keys(rows, sizes, least, now), "phrase-keys")
+            among = key_set(_spread_keys(short), each=64)
+        counted = written_once(_summed(count_phrases(rows, sizes, now, before, among), least), "phrase-counts")
         totals = counted.where("phrase IS NULL").select("lang", "n") if totals is None else totals
         counted = counted.where("phrase IS NOT NULL")
         found = counted if found is None else found.unionByName(counted)
@@ -231,6 +265,16 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
         now, before = key_set(levels, now.bits), now  # as many bits, so that no phrase is taken out and counted again
 
 
+def _spread_keys(keys: DataFrame) -> DataFrame:
+    """Short keys as those that a key set looks up: with all their bits mixed."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(mixed(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64))], names=["key"])
+
+    return keys.mapInArrow(spread, "key long")
+
+
 def _not_in(counted: DataFrame, proposed: KeySet) -> DataFrame:
     """Keys of the phrases that are not among the proposed: failures of the border."""
     held = counted.sparkSession.sparkContext.broadcast(proposed)
