@@ -1,13 +1,11 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-A text is cut where no piece can reach across: before blanks and around characters that
-no piece has. For the words between, all substrings up to the longest piece are joined
-with the piece table by equality; the pieces found are the edges of the word's lattice,
-and a fold over its positions picks the path. ``encode_words`` does this with Spark's
-explode, equi-join, grouping and ``aggregate`` for a table of words. ``encoded`` runs it so
-for the commonest words of a sample, whose results go to all tasks, and does the same
-steps over the other distinct words of a batch with arrays, where the words are: moving
-every word of every text to the piece table and back would take several times the texts.
+A text is cut where no piece can reach across: before blanks and between characters that no piece has side by side. All distinct words of all texts
+are encoded by relational steps: substrings up to the longest piece are joined with the piece
+table by equality; the pieces found are the edges of a word's lattice, edges are grouped, some
+thousand words at a time, and a fold over a word's positions picks the path. Texts travel as
+numbers of words in slices of a few MB; a slice's distinct words go to the lattice and their ids come
+back to the slice, so words that a slice repeats are moved once.
 
 The fold follows the model's kind. For a unigram model the path has the greatest sum of
 scores (Viterbi). For a model of merges (BPE) it is the path on which every piece and every
@@ -17,7 +15,9 @@ way in, and the path is the one the merges would take.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewell.llm.texts import by_text, kept_by, mixed, ranges, slices, span_hashes, utf8
-from sievewell.session import written_once
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -38,6 +38,8 @@ _MULT = _U(0xD6E8FEB86659FD93)
 _INVERSE = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 START, UNKNOWN = -1, -2
 LONGEST_WORD = 512
+SLICE_BYTES, WORDS_AT_ONCE = 24 << 20, 400_000
+LOT_BYTES, LOTS_PER_TASK = 1 << 20, 8  # a lot has the distinct words of about so many bytes of text
 
 
 @dataclass
@@ -140,50 +142,75 @@ def _model_kind(raw: bytes) -> int:
 # --- the lattice as a relation -------------------------------------------------------------
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of every distinct word of (word), by relational steps; unknown characters have the id -2.
+def _lot(lots: int) -> Column:
+    return F.pmod(F.xxhash64("word"), F.lit(lots)).cast("int")
 
-    Words hold the sign of a blank, not the blank. Null and empty words have no row.
+
+def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(lot, word, start, size, id): the lattices of distinct (lot, word), which stay dealt by lot.
+
+    Words of more than LONGEST_WORD characters have one row without an edge.
     """
-    spark = words.sparkSession
-    rows = [(t, i, s) for t, i, s, ok in zip(pieces.texts, pieces.ids, pieces.scores, pieces.whole(), strict=True) if ok]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))  # the model's size bounds it
-    distinct = words.select("word").where("word <> ''").distinct()
-    spans = distinct.select("word", F.explode(F.expr("sequence(0, char_length(word) - 1)")).alias("start"))
-    spans = spans.select("word", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, char_length(word) - start))")).alias("size"))
-    spans = spans.withColumn("piece", F.expr("substring(word, start + 1, size)"))
+    rows = [(t, i) for t, i, ok in zip(pieces.texts, pieces.ids, pieces.whole(), strict=True) if ok]
+    table = F.broadcast(words.sparkSession.createDataFrame(rows, "piece string, id int"))  # the model's size bounds it
+    n = F.char_length("word")
+    starts = F.when(n <= LONGEST_WORD, F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.lit(-1)))
+    spans = words.select("lot", "word", F.explode(starts).alias("start"))
+    most = F.when(F.col("start") < 0, 1).otherwise(F.least(F.lit(pieces.longest), n - F.col("start")))
+    spans = spans.select("lot", "word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    spans = spans.withColumn("piece", F.expr("CASE WHEN start >= 0 THEN substring(word, start + 1, size) END"))
     edges = spans.join(table, "piece", "left").where("id IS NOT NULL OR size = 1")
-    edges = edges.select(
-        "word", "start", (F.col("start") + F.col("size")).alias("end"), "piece", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score")
-    )
-    if pieces.kind == "bpe":
-        edges = written_once(edges, "piece-edges")
-        left = edges.select("word", F.col("end").alias("start"), F.col("piece").alias("before"), F.col("id").alias("before_id"))
-        pairs = left.join(edges, ["word", "start"]).select("before", "before_id", "piece", "id").distinct()
-
-        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = [UNKNOWN in (b, d) or pieces.neighbours(a, c) for a, b, c, d in zip(*(batch.column(n).to_pylist() for n in ("before", "before_id", "piece", "id")), strict=True)]
-                yield pa.record_batch([batch.column("id"), batch.column("before_id")], names=["id", "before_id"]).filter(pa.array(ok, pa.bool_()))
-
-        known = pairs.mapInArrow(agree, "id int, before_id int").groupBy("id").agg(F.collect_set("before_id").alias("prev"))
-        edges = edges.join(known, "id", "left").withColumn("prev", F.coalesce("prev", F.array().cast("array<int>")))
-        way = "filter(e.edges, d -> d.start = 0 OR array_contains(d.prev, element_at(acc, d.start + 1).last))"
-    else:
-        edges = edges.withColumn("prev", F.array().cast("array<int>"))
-        way = "e.edges"
-    ends = edges.groupBy("word", "end").agg(F.collect_list(F.struct("start", "id", "score", "prev")).alias("edges"))
-    grouped = ends.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    step = (
-        "named_struct('score', element_at(acc, d.start + 1).score + d.score, 'early', -d.start, 'last', d.id, "
-        "'ids', concat(element_at(acc, d.start + 1).ids, array(d.id)))"
-    )
-    first = f"array(named_struct('score', 0D, 'early', 0, 'last', {START}, 'ids', CAST(array() AS array<int>)))"
-    fold = f"aggregate(ends, {first}, (acc, e) -> concat(acc, array(array_max(transform({way}, d -> {step})))), acc -> element_at(acc, -1).ids)"
-    return grouped.select("word", F.expr(fold).alias("ids"))
-
-
-# --- the same over the distinct words of a batch -------------------------------------------
+    return edges.select("lot", "word", "start", "size", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
+
+
+def _folded(lattice: Lattice, edges: pa.Table) -> tuple[pa.Array, pa.ListArray]:
+    """The distinct words of a lot's edges, and the ids of each."""
+    found = edges.column("word").combine_chunks().dictionary_encode()
+    words = found.dictionary
+    row, start, size, ids = (np.asarray(x, np.int64) for x in (found.indices, *(edges.column(c) for c in ("start", "size", "id"))))
+    on = start >= 0
+    flat, count = lattice.fold(row[on], start[on], size[on], ids[on], pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+    to = np.concatenate([[0], np.cumsum(count)])
+    odd = np.zeros(len(words), bool)
+    odd[row[~on]] = True
+    odd[np.repeat(np.arange(len(words)), count)[flat == UNKNOWN]] = True
+    if odd.any():
+        parts = np.split(flat, to[1:-1])
+        for k in np.flatnonzero(odd).tolist():
+            word = words[k].as_py()
+            parts[k] = lattice.with_bytes(parts[k], word) if len(word) <= LONGEST_WORD else lattice.long(word)
+        flat, to = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return words, pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def _lattice(shared) -> Lattice:
+    """A worker keeps the table, and the pairs it has worked out, for its next groups and tasks."""
+    kept = kept_by("pieces")
+    if kept.get("run") != shared.value[1]:
+        kept |= {"run": shared.value[1], "lattice": Lattice(shared.value[0], {})}
+    return kept["lattice"]
+
+
+def encode_words(words: DataFrame, pieces: Pieces, lots: int = 64) -> DataFrame:
+    """(word, ids) of every distinct word of (word), by relational steps.
+
+    Words hold the sign of a blank, not the blank. Null and empty words have no row. ``lots`` is the number
+    of groups of words that are folded together; a group's lattices fit a task's memory.
+    """
+    shared = words.sparkSession.sparkContext.broadcast((pieces, uuid.uuid4().hex))
+
+    def fold(table: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("word", "ids"), _folded(_lattice(shared), table), strict=True)))
+
+    dealt = words.where("word <> ''").select(_lot(lots).alias("lot"), "word").repartition(_tasks(lots), "lot")
+    return _edges(dealt.distinct(), pieces).groupBy("lot").applyInArrow(fold, "word string, ids array<int>")
+
+
+def _tasks(lots: int) -> int:
+    return -(-lots // LOTS_PER_TASK)
+
+
+# --- the fold, and the same steps with arrays alone, for long words and for trials -----------
 
 
 class Lattice:
@@ -316,6 +343,48 @@ class Lattice:
             at[on] = back[on, at[on]]
         return out, count
 
+    def fold(self, row: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the best paths of many words, one after the other, and their number by word; edges are given by word, in any order."""
+        n, longest = len(lengths), int(np.max(start + size, initial=0))
+        bpe = self.pieces.kind == "bpe"
+        last = np.full((n, longest + 1), START, np.int64)
+        back = np.zeros((n, longest + 1), np.int32)
+        score = np.full((n, longest + 1), -np.inf)
+        score[:, 0] = 0.0
+        done = np.zeros((n, longest + 1), bool)
+        key = (start + size) * (longest + 1) + start
+        order = np.argsort(key.astype(np.int32), kind="stable")
+        key, row, ids = key[order], row[order], ids[order]
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        # ends ascend, so what enters a position is settled before its edges leave; of edges with one end the longest comes first
+        for a, b in zip(heads.tolist(), np.append(heads, len(key))[1:].tolist(), strict=True):
+            end, at = divmod(int(key[a]), longest + 1)
+            rows, i = row[a:b], ids[a:b]
+            if bpe:
+                todo = ~done[rows, end]
+                rows, i = rows[todo], i[todo]
+                good = self.agree(last[rows, at], i)
+                rows, i = rows[good], i[good]
+                done[rows, end] = True
+            else:
+                total = score[rows, at] + np.where(i == UNKNOWN, self.pieces.unknown_score, self.score_of[np.maximum(i, 0)])
+                good = total > score[rows, end]
+                rows, i = rows[good], i[good]
+                score[rows, end] = total[good]
+            last[rows, end], back[rows, end] = i, at
+        place = np.where(lengths <= longest, lengths, 0)
+        place[np.bincount(row, minlength=n) == 0] = 0
+        out, count, steps = np.full((n, longest), START, np.int32), np.zeros(n, np.int64), 0
+        on = np.flatnonzero(place)
+        while len(on):
+            out[on, longest - 1 - steps] = last[on, place[on]]
+            if (out[on, longest - 1 - steps] == START).any():
+                raise AssertionError("a position without a way in")
+            count[on] += 1
+            place[on] = back[on, place[on]]
+            on, steps = on[place[on] > 0], steps + 1
+        return out[out != START].astype(np.int64), count
+
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in ``data`` (UTF-8 with blanks) and their ``n + 1`` bounds; ``h`` has the hashes of the words."""
         n = len(starts)
@@ -341,7 +410,7 @@ class Lattice:
             size = int(sizes[some[0]])
             if size > LONGEST_WORD:
                 for k in some.tolist():
-                    pieces_of[k] = self._long(parts[k][1])
+                    pieces_of[k] = self.long(parts[k][1])
                 continue
             lot = max(1, 400_000 // size)
             for a in range(0, len(some), lot):
@@ -351,7 +420,7 @@ class Lattice:
                 odd = (ids == UNKNOWN).any(1)
                 for row, k in enumerate(part.tolist()):
                     path = ids[row, : count[row]][::-1]
-                    pieces_of[k] = self._with_bytes(path, parts[k][1]) if odd[row] else path
+                    pieces_of[k] = self.with_bytes(path, parts[k][1]) if odd[row] else path
         for (k, _), ids in zip(parts, pieces_of, strict=True):
             found[k].append(ids)
         for k, ids in zip(todo, found, strict=True):
@@ -368,7 +437,7 @@ class Lattice:
         cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _long(self, word: str) -> np.ndarray:
+    def long(self, word: str) -> np.ndarray:
         """The fold over one very long word, in memory proportional to it."""
         texts = {t: i for i, t in self.text_of.items()}
         last, back, score = [START] * (len(word) + 1), [0] * (len(word) + 1), [0.0] * (len(word) + 1)
@@ -392,9 +461,9 @@ class Lattice:
             path.append(last[at])
             at = back[at]
         ids = np.array(path[::-1], np.int64)
-        return self._with_bytes(ids, word) if (ids == UNKNOWN).any() else ids
+        return self.with_bytes(ids, word) if (ids == UNKNOWN).any() else ids
 
-    def _with_bytes(self, path: np.ndarray, word: str) -> np.ndarray:
+    def with_bytes(self, path: np.ndarray, word: str) -> np.ndarray:
         """Unknown characters as byte pieces, if the model has them; neighbouring ones as one unknown piece otherwise."""
         out, at = [], 0
         for i in path.tolist():
@@ -416,17 +485,6 @@ def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes) * powers[:-1])]), inverse
 
 
-def _blank_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of texts that begin with a blank: blanks and what follows them up to the next blank."""
-    blank = data == 32
-    head = np.zeros(len(data), bool)
-    if len(data):
-        head[1:] = blank[1:] & ~blank[:-1]
-        head[bounds[:-1][np.diff(bounds) > 0]] = True
-    starts = np.flatnonzero(head)
-    return starts, np.append(starts[1:], len(data)) if len(starts) else starts
-
-
 class Plain:
     """What every id stands for, as bytes: pieces with blanks for their sign, byte pieces, nothing for control pieces."""
 
@@ -448,49 +506,144 @@ class Plain:
         return self.data[ranges(self.to[ids], self.sizes(ids))]
 
 
-def _round_trips(plain: Plain, ids: np.ndarray, count: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Whether the ids of each text decode to its bytes."""
-    sizes = by_text(np.add, plain.sizes(ids), np.concatenate([[0], np.cumsum(count)]), 0).astype(np.int64)
-    same = sizes == np.diff(bounds)
-    back = plain.decode(ids)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    for k in np.flatnonzero(same).tolist():
-        same[k] = np.array_equal(back[at[k] : at[k + 1]], data[bounds[k] : bounds[k + 1]])
-    return same
-
-
-_SLICE = 1 << 21
-
-
-def _encoder(shared, check: bool = False):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = Plain(shared.value[0]) if check else None
-        kept = kept_by("pieces")  # a worker keeps the tables, and the pairs it has worked out, for its next tasks
-        if kept.get("run") != shared.value[2]:
-            kept |= {"run": shared.value[2], "lattice": Lattice(*shared.value[:2])}
-        lattice = kept["lattice"]
-        for piece in slices(batches, "text", _SLICE, owner="pieces"):
-            text = pc.fill_null(piece.column("text"), "")
-            text = pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise("", text, " "))
-            data, bounds = utf8(pc.replace_substring(text, SPACE, " "))
-            starts, ends = _blank_words(data, bounds)
-            hashes, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            ids, to = lattice.encode(data, starts[first], ends[first], hashes)
-            sizes = np.diff(to)[which]
-            flat = ids[ranges(to[which], sizes)].astype(np.int32)
-            count = by_text(np.add, sizes, np.searchsorted(starts, bounds), 0).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat, pa.int32()))
+def _apart(pieces: Pieces) -> np.ndarray:
+    """By two ASCII characters: whether no piece has them side by side, so that a word can be cut there. Blanks stand for their sign.
+
+    Without byte pieces, unknown characters in a row are one piece, and words stay whole.
+    """
+    table = np.full((256, 256), False)
+    if pieces.byte_ids:
+        table[:128, :128] = True
+        for text in pieces.texts:
+            raw = text.replace(SPACE, " ").encode()
+            table[list(raw[:-1]), list(raw[1:])] = False
+    return table
+
+
+def _cut(batches: Iterator[pa.RecordBatch], apart: np.ndarray) -> Iterator[tuple[int, pa.RecordBatch, pa.Array, np.ndarray, pa.Array, np.ndarray]]:
+    """Slices of texts: number, rows, texts after the blank that encoding puts there, bounds by word, distinct words, and a word's place among these.
+
+    The number has the task, the slice and a checksum of the words: a task that is run again over other rows has other numbers.
+    """
+    for n, piece in enumerate(slices(batches, "text", SLICE_BYTES, owner="pieces")):
+        text = pc.fill_null(piece.column("text"), "")
+        text = pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise("", text, " "))
+        data, bounds = utf8(pc.replace_substring(text, SPACE, " "))
+        head = np.zeros(len(data), bool)
+        head[1:] = apart.ravel()[data[:-1].astype(np.uint16) << 8 | data[1:]] | (data[1:] == 32) & (data[:-1] != 32)
+        head[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(head)
+        every = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        found = every.dictionary_encode()
+        places = found.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(-np.bincount(places, minlength=len(found.dictionary)), kind="stable")  # the commonest first: small numbers pack well
+        words = found.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        raw, _ = utf8(words)
+        number = TaskContext.get().partitionId() << 44 | (n & 0xFFF) << 32 | zlib.crc32(raw)
+        yield number, piece, text, np.searchsorted(starts, bounds), words, rank[places]
+
+
+def _slice_words(apart: np.ndarray):
+    """(slice, words): the distinct words of each slice."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, _, _, words, _ in _cut(batches, apart):
+            words = pc.replace_substring(words.cast(pa.string()), " ", SPACE)
+            yield pa.record_batch([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["slice", "words"])
+
+    return listed
+
+
+def _slice_rows(apart: np.ndarray):
+    """Rows with the places of their words in the slice's list, byte by byte, and a digest of the text."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, piece, text, bounds, _, places in _cut(batches, apart):
+            cells = places.view(np.uint8).reshape(-1, 4)
+            found = [pa.compress(cells[a:b].T.tobytes(), "zstd", asbytes=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            raw, to = utf8(text)
             others = [n for n in piece.schema.names if n != "text"]
-            out = [*(piece.column(n) for n in others), lists]
+            yield pa.record_batch(
+                [*(piece.column(n) for n in others), pa.array(np.full(len(piece), number, np.int64)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(found, pa.binary()), pa.array(_digests(raw, to), pa.binary())],
+                names=[*others, "slice", "n_words", "places", "digest"],
+            )
+
+    return coded
+
+
+def _digests(data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    view = memoryview(np.ascontiguousarray(data))
+    return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _answered(shared):
+    """The ids of a lot's words go to the slices that have them."""
+
+    def answer(edges: pa.Table, pairs: pa.Table) -> pa.Table:
+        if not len(edges):
+            return pa.table([[]] * 4, schema=pa.schema([("slice", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("places", "sizes", "ids"))]))
+        words, ids = _folded(_lattice(shared), edges)
+        which = pc.index_in(pairs.column("asked").combine_chunks(), words).to_numpy(zero_copy_only=False)
+        number, place = (pairs.column(c).to_numpy() for c in ("slice", "place"))
+        order = np.argsort(number, kind="stable")
+        which, number, place = which[order].astype(np.int64), number[order], place[order]
+        heads = np.append(np.flatnonzero(np.diff(number, prepend=number[0] - 1)), len(number)).astype(np.int32)
+        to = ids.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(to)[which]
+        flat = ids.values.to_numpy()[ranges(to[which], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[heads].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v, pa.int32())) for o, v in ((heads, place), (heads, sizes.astype(np.int32)), (ends, flat))]
+        return pa.table([pa.array(number[heads[:-1]]), *lists], names=["slice", "places", "sizes", "ids"])
+
+    return answer
+
+
+def _plain(shared) -> Plain:
+    kept = kept_by("pieces")
+    if kept.get("plain run") != shared.value[1]:
+        kept |= {"plain run": shared.value[1], "plain": Plain(shared.value[0])}
+    return kept["plain"]
+
+
+def _written(shared, names: list[str], check: bool):
+    """The ids of a slice's texts, from those of its words; they are decoded and held against the text if that is asked for."""
+
+    def write(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows):
+            raise RuntimeError("the rows of a slice have changed between two readings")
+        place, sizes, ids = (answers.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "sizes", "ids"))
+        size_of, start_of = np.full(len(place), -1, np.int64), np.zeros(len(place), np.int64)
+        size_of[place], start_of[place] = sizes, np.cumsum(sizes) - sizes
+        held = rows.column("n_words").to_numpy().astype(np.int64)
+        plain = _plain(shared) if check else None
+        seen, parts = -1, []
+        heads = np.unique(np.searchsorted(np.cumsum(held), np.arange(0, held.sum(), WORDS_AT_ONCE), side="right"))
+        for a, b in zip([0, *heads[heads > 0].tolist()], [*heads[heads > 0].tolist(), len(rows)], strict=True):
+            some = rows.slice(a, b - a)
+            cells = (pa.decompress(c.as_buffer(), 4 * n, "zstd", asbytes=True) for c, n in zip(some.column("places"), held[a:b].tolist(), strict=True))
+            which = np.concatenate([np.zeros(0, np.int32), *(np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, -1).T).view(np.int32).ravel() for c in cells)])
+            seen = max(seen, int(np.max(which, initial=-1)))
+            if seen >= len(place):
+                break
+            n = size_of[which]
+            out = ids[ranges(start_of[which], n)]
+            to = np.concatenate([[0], np.cumsum(by_text(np.add, n, np.concatenate([[0], np.cumsum(held[a:b])]), 0))]).astype(np.int64)
+            columns = [*(some.column(c) for c in names), pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(out))]
             if check:
-                out.append(pa.array(_round_trips(plain, flat.astype(np.int64), count, *utf8(text)), pa.bool_()))
-            yield pa.record_batch(out, names=[*others, "ids", *(["round_trip"] if check else [])])
+                ends = np.concatenate([[0], np.cumsum(plain.sizes(out))])[to]
+                columns.append(pa.array([x == y for x, y in zip(_digests(plain.decode(out), ends), some.column("digest").to_pylist(), strict=True)], pa.bool_()))
+            parts.append(pa.table(columns, names=[*names, "ids", *(["round_trip"] if check else [])]))
+        if seen + 1 != len(place):
+            raise RuntimeError("the words of a slice have changed between two readings")
+        return pa.concat_tables(parts)
 
-    return encode
+    return write
 
 
 def common_words(docs: DataFrame, most: int, sample_docs: int) -> DataFrame:
-    """(word): the ``most`` commonest words of about ``sample_docs`` documents."""
+    """(word): the ``most`` commonest words of about ``sample_docs`` documents, for trials of the two forms of the lattice."""
     n = docs.count()
     picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample_docs))) == 0)
     spaced = F.concat(F.lit(" "), F.col("text").cast("string"))
@@ -499,31 +652,43 @@ def common_words(docs: DataFrame, most: int, sample_docs: int) -> DataFrame:
     return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
 
 
-def encoded(docs: DataFrame, model: str = MODEL, most_words: int = 20_000, sample_docs: int = 2_000) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``docs`` with ``ids``, the pieces of the whole text, in place of ``text``.
 
     Ids are those that the model file defines: a blank is put before the text, blanks are
     kept, the model's own sign for a blank counts as one, characters without a piece become
     byte pieces. A null or empty text has no
-    pieces. At most ``most_words`` words are encoded beforehand; which ones has no effect on
-    the ids. Other columns stay, but for one that is named ``ids``.
+    pieces. ``docs`` is read more than once and should be a stored table; rows that lie otherwise at the next reading raise.
+    Other columns stay, but for one that is named ``ids``.
     """
-    return _encoded(docs, model, most_words, sample_docs, False)
+    return _encoded(docs, model, False)
 
 
-def _encoded(docs: DataFrame, model: str, most_words: int, sample_docs: int, check: bool) -> DataFrame:
+def _encoded(docs: DataFrame, model: str, check: bool) -> DataFrame:
     pieces = load_pieces(model)
-    known = encode_words(common_words(docs, most_words, sample_docs), pieces)
-    words = {r["word"]: list(r["ids"]) for r in known.where(~F.array_contains("ids", UNKNOWN)).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, words, uuid.uuid4().hex))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, uuid.uuid4().hex))
     rows = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
-    names = [f for f in rows.schema.fields if f.name != "text"]
-    # inner names, so that no two columns clash
-    inner = rows.select(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(names)), "text")
+    lots = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // LOT_BYTES
+    fields = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f"c{k}" for k in range(len(fields))]  # inner names, so that no two columns clash
+    inner = rows.select(*(F.col(f"`{f.name}`").alias(c) for c, f in zip(names, fields, strict=True)), "text")
+    schema = [f"{c} {f.dataType.simpleString()}" for c, f in zip(names, fields, strict=True)]
+
+    apart = _apart(pieces)
+    listed = inner.mapInArrow(_slice_words(apart), "slice long, words array<string>")
+    pairs = listed.select("slice", F.posexplode("words").alias("place", "word"))
+    pairs = pairs.repartition(_tasks(lots), _lot(lots)).withColumn("lot", _lot(lots))
+    asked = pairs.select("slice", "place", F.col("word").alias("asked"), F.col("lot").alias("of_lot"))
+    # the words' first places are looked at so that both readings of the pairs have the same columns and share one shuffle
+    distinct = pairs.groupBy("lot", "word").agg(F.min("slice").alias("first"), F.min("place").alias("place")).where("first IS NOT NULL AND place >= 0")
+    found = _edges(distinct, pieces).groupBy("lot").cogroup(asked.groupBy("of_lot"))
+    answers = found.applyInArrow(_answered(shared), "slice long, places array<int>, sizes array<int>, ids array<int>")
+
+    coded = inner.mapInArrow(_slice_rows(apart), ", ".join([*schema, "slice long", "n_words int", "places binary", "digest binary"]))
     more = ["ids", "round_trip"] if check else ["ids"]
-    schema = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(names)] + ["ids array<int>", "round_trip boolean"][: len(more)]
-    out = inner.mapInArrow(_encoder(shared, check), ", ".join(schema))
-    return out.select(*(F.col(f"c{k}").alias(f.name) for k, f in enumerate(names)), *more)
+    back = coded.groupBy("slice").cogroup(answers.withColumnRenamed("slice", "of_slice").groupBy("of_slice"))
+    out = back.applyInArrow(_written(shared, names, check), ", ".join([*schema, *["ids array<int>", "round_trip boolean"][: len(more)]]))
+    return out.select(*(F.col(c).alias(f.name) for c, f in zip(names, fields, strict=True)), *more)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -549,12 +714,12 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per document: doc_id, ids, n_pieces, round_trip (whether the ids decode to the text).
 
-    Ids are decoded where they are made, and the bytes compared with the text's. A null text
+    Ids are decoded where they come together, and a digest of the bytes compared with the text's. A null text
     has no pieces and decodes to an empty text, which counts as a round trip. Rows that
     repeat give one row each; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = _encoded(rows, model, 20_000, 2_000, True)
+    out = _encoded(rows, model, True)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
 
 

@@ -346,6 +346,31 @@ def test_the_relational_lattice_agrees_with_the_arrays(spark, docs, kind):
         assert pieces.UNKNOWN in ids or ids == mine.tolist(), word
 
 
+def test_every_word_goes_through_the_join(spark):
+    import sentencepiece
+
+    lib, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.load_pieces()
+    words = ["▁中文😀", "▁~~~a", "▁" + "a" * 700, "▁nothingelse.", "▁🎉🎉x", "▁", ""]
+    got = {r.word: list(r.ids) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
+    assert got == {w: lib.encode(w[1:]) for w in words if len(w) > 1} | {"▁": [i for i, n in table.names.items() if n == "▁"]}
+    df = spark.createDataFrame([(1, "rare words zyxwq"), (2, None), (3, "")], "doc_id long, text string")
+    plan = pieces.encoded(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_unigram_words_by_the_join(spark):
+    rnd = random.Random(8)
+    texts = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bca"]
+    table = pieces.Pieces(texts, list(range(3, 12)), [-rnd.random() * 5 for _ in texts], {}, 0, "unigram", {})
+    lattice = pieces.Lattice(table, {})
+    words = sorted({"".join(rnd.choice("abcx") for _ in range(rnd.randint(1, 9))) for _ in range(60)})
+    got = {r.word: list(r.ids) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
+    for word in words:
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)[None, :]
+        ids, n = lattice.paths(codes, len(word))
+        assert got[word] == lattice.with_bytes(ids[0, : n[0]][::-1], word).tolist()
+
+
 def test_viterbi_against_all_paths():
     rnd = random.Random(7)
     texts = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bca"]
