@@ -556,13 +556,24 @@ def _slice_words(apart: np.ndarray):
     return listed
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, the first bytes of all before the second ones, compressed; their count comes first."""
+    cells = np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4)
+    return len(cells).to_bytes(4, "little") + pa.compress(cells.T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    cells = np.frombuffer(pa.decompress(blob[4:], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(cells.reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _slice_rows(apart: np.ndarray):
     """Rows with the places of their words in the slice's list, byte by byte, and a digest of the text."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, piece, text, bounds, _, places in _cut(batches, apart):
-            cells = places.view(np.uint8).reshape(-1, 4)
-            found = [pa.compress(cells[a:b].T.tobytes(), "zstd", asbytes=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            found = [_packed(places[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             raw, to = utf8(text)
             others = [n for n in piece.schema.names if n != "text"]
             yield pa.record_batch(
@@ -582,20 +593,23 @@ def _answered(shared):
     """The ids of a lot's words go to the slices that have them."""
 
     def answer(edges: pa.Table, pairs: pa.Table) -> pa.Table:
-        if not len(edges):
-            return pa.table([[]] * 4, schema=pa.schema([("slice", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("places", "sizes", "ids"))]))
-        words, ids = _folded(_lattice(shared), edges)
-        which = pc.index_in(pairs.column("asked").combine_chunks(), words).to_numpy(zero_copy_only=False)
-        number, place = (pairs.column(c).to_numpy() for c in ("slice", "place"))
-        order = np.argsort(number, kind="stable")
-        which, number, place = which[order].astype(np.int64), number[order], place[order]
-        heads = np.append(np.flatnonzero(np.diff(number, prepend=number[0] - 1)), len(number)).astype(np.int32)
-        to = ids.offsets.to_numpy().astype(np.int64)
-        sizes = np.diff(to)[which]
-        flat = ids.values.to_numpy()[ranges(to[which], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[heads].astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v, pa.int32())) for o, v in ((heads, place), (heads, sizes.astype(np.int32)), (ends, flat))]
-        return pa.table([pa.array(number[heads[:-1]]), *lists], names=["slice", "places", "sizes", "ids"])
+        out: dict[str, list] = {"slice": [], "places": [], "sizes": [], "ids": []}
+        if len(edges):
+            words, ids = _folded(_lattice(shared), edges)
+            which = pc.index_in(pairs.column("asked").combine_chunks(), words).to_numpy(zero_copy_only=False).astype(np.int64)
+            number, place = (pairs.column(c).to_numpy() for c in ("slice", "place"))
+            order = np.lexsort((place, number))
+            which, number, place = which[order], number[order], place[order]
+            to, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+            heads = np.flatnonzero(np.diff(number, prepend=number[0] - 1))
+            for a, b in zip(heads.tolist(), np.append(heads, len(number))[1:].tolist(), strict=True):
+                some = which[a:b]
+                sizes = to[some + 1] - to[some]
+                out["slice"].append(int(number[a]))
+                out["places"].append(_packed(np.diff(place[a:b], prepend=0)))
+                out["sizes"].append(_packed(sizes))
+                out["ids"].append(_packed(flat[ranges(to[some], sizes)]))
+        return pa.table(out, schema=pa.schema([("slice", pa.int64()), *((n, pa.binary()) for n in ("places", "sizes", "ids"))]))
 
     return answer
 
@@ -613,7 +627,10 @@ def _written(shared, names: list[str], check: bool):
     def write(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
             raise RuntimeError("the rows of a slice have changed between two readings")
-        place, sizes, ids = (answers.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "sizes", "ids"))
+        got = {c: [_unpacked(x) for x in answers.column(c).to_pylist()] for c in ("places", "sizes", "ids")}
+        none = np.zeros(0, np.int32)
+        place = np.concatenate([none, *(np.cumsum(x, dtype=np.int32) for x in got["places"])])
+        sizes, ids = np.concatenate([none, *got["sizes"]]), np.concatenate([none, *got["ids"]])
         size_of, start_of = np.full(len(place), -1, np.int64), np.zeros(len(place), np.int64)
         size_of[place], start_of[place] = sizes, np.cumsum(sizes) - sizes
         held = rows.column("n_words").to_numpy().astype(np.int64)
@@ -622,8 +639,7 @@ def _written(shared, names: list[str], check: bool):
         heads = np.unique(np.searchsorted(np.cumsum(held), np.arange(0, held.sum(), WORDS_AT_ONCE), side="right"))
         for a, b in zip([0, *heads[heads > 0].tolist()], [*heads[heads > 0].tolist(), len(rows)], strict=True):
             some = rows.slice(a, b - a)
-            cells = (pa.decompress(c.as_buffer(), 4 * n, "zstd", asbytes=True) for c, n in zip(some.column("places"), held[a:b].tolist(), strict=True))
-            which = np.concatenate([np.zeros(0, np.int32), *(np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, -1).T).view(np.int32).ravel() for c in cells)])
+            which = np.concatenate([none, *(_unpacked(x) for x in some.column("places").to_pylist())])
             seen = max(seen, int(np.max(which, initial=-1)))
             if seen >= len(place):
                 break
@@ -682,7 +698,7 @@ def _encoded(docs: DataFrame, model: str, check: bool) -> DataFrame:
     # the words' first places are looked at so that both readings of the pairs have the same columns and share one shuffle
     distinct = pairs.groupBy("lot", "word").agg(F.min("slice").alias("first"), F.min("place").alias("place")).where("first IS NOT NULL AND place >= 0")
     found = _edges(distinct, pieces).groupBy("lot").cogroup(asked.groupBy("of_lot"))
-    answers = found.applyInArrow(_answered(shared), "slice long, places array<int>, sizes array<int>, ids array<int>")
+    answers = found.applyInArrow(_answered(shared), "slice long, places binary, sizes binary, ids binary")
 
     coded = inner.mapInArrow(_slice_rows(apart), ", ".join([*schema, "slice long", "n_words int", "places binary", "digest binary"]))
     more = ["ids", "round_trip"] if check else ["ids"]
