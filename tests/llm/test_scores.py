@@ -150,6 +150,22 @@ def test_pseudo_likelihood(spark, messy, nothing):
     assert pseudo_likelihood.score_documents(nothing).collect() == []
 
 
+@pytest.mark.parametrize("size", [0.5, 40.0])  # outputs that fit a float as they are, and some that do not
+def test_pseudo_likelihood_works_in_blocks_that_stay_in_cache(size):
+    rng, n = np.random.default_rng(3), 2 * pseudo_likelihood.ROWS + 77
+    h = np.ones((n, 17), np.float32)
+    h[:, :-1] = np.tanh(rng.normal(size=(n, 16)) * 3)
+    out, base, own = (rng.normal(size=(16, 90)) * size).astype(np.float32), rng.normal(size=90).astype(np.float32), rng.integers(0, 90, n)
+    assert max(len(z) for _, z in pseudo_likelihood._outputs(h, out, base)) == pseudo_likelihood.ROWS
+    z = h[:, :-1].astype(float) @ out + base
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert np.allclose(pseudo_likelihood._chances(h, out, base, own), (z - z.max(1, keepdims=True))[np.arange(n), own] - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)), atol=2e-3)
+    p[np.arange(n), own] -= 1
+    dh, by_weight, by_base = pseudo_likelihood._pulls(h, out, base, own)
+    assert np.allclose(dh, p @ out.T, atol=2e-3 * size) and np.allclose(by_weight, h[:, :-1].T @ p / n, atol=1e-4) and np.allclose(by_base, p.mean(0), atol=1e-4)
+
+
 def test_pseudo_likelihood_learns_rare_words_at_one_rate(spark):
     rnd = random.Random(5)
     # each of 300 words has one word that follows it; the pairs stand in any order
