@@ -197,6 +197,35 @@ def test_pseudo_likelihood_learns_rare_words_at_one_rate(spark):
     assert abs(len(places) / (3 * 4900) - 1 / 7) < 0.02 and len(set(places % 7)) == 7
 
 
+def test_pseudo_likelihood_gives_common_words_small_classes():
+    starts = pseudo_likelihood.class_starts(9233)
+    sizes = np.diff(starts)
+    assert starts[0] == 0 and starts[1] == 33 and starts[-1] == 9233 and (sizes > 0).all() and (np.diff(sizes[1:-1]) >= 0).all()
+    # outputs of a window, where the n-th commonest word stands in proportion to 1 / n; classes of 128 take 201
+    share = 1 / np.arange(1, 9201)
+    own = np.repeat(sizes, sizes)[33:]
+    assert len(sizes) + (own * share).sum() / share.sum() < 150
+    assert pseudo_likelihood.class_count(128) == 1 and pseudo_likelihood.class_count(129) > 2
+
+
+def test_pseudo_likelihood_sums_rows_by_token():
+    rng = np.random.default_rng(6)
+    few = pseudo_likelihood.FEW_ROWS
+    part = rng.permutation(np.concatenate([np.full(3 * few + 5, 7), np.full(pseudo_likelihood.FEW + 1, 3), np.full(pseudo_likelihood.FEW, 2), np.repeat(np.arange(100, 100 + 2 * few), 2), np.arange(5000, 5000 + few)])).astype(np.int32)
+    around = rng.normal(size=(len(part), 112)).astype(np.float32)
+    tokens, counts, sums = pseudo_likelihood._sums_by_token(around, part, 9233)
+    assert sorted(tokens.tolist()) == np.unique(part).tolist()
+    for token, n, row in zip(tokens, counts, sums, strict=True):
+        assert n == (part == token).sum() and np.allclose(row, around[part == token].astype(float).sum(0), atol=1e-3)
+
+
+def test_pseudo_likelihood_scores_from_stored_tokens_as_from_texts(spark, messy):
+    rows = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.log_prob) for r in df.collect()))
+    own, other = rows(pseudo_likelihood.score_documents(messy)), rows(pseudo_likelihood.scored(messy, pseudo_likelihood.fitted(messy)))
+    assert [r[:3] for r in own] == [r[:3] for r in other] and len(own) == messy.count()
+    assert np.allclose([r[3] for r in own], [r[3] for r in other], rtol=1e-3)
+
+
 def test_licenses(spark, messy, nothing):
     full = licenses.KNOWN[7][1]
     rows = [(1, "Copyright (c) 2020 A. Person\nCOPYRIGHT B\n\n" + full.upper().replace("LICENSE", "LICENCE")), (2, full + " And more."), (3, "x\nLicenced under the apache licence — version 2.0\ny")]
