@@ -6,8 +6,10 @@
    the last, and whose words but the first, are proposed. The border is never listed; a
    phrase is in it by that test, where it occurs. Every single word is in it. It counts twice: by short
    keys, which leaves out what cannot be frequent, and what is left by its text, exactly.
-3. A phrase of the border that turns out frequent is a failure. Failures join the proposed
-   phrases, and a further pass counts what has become border by them, until none fails.
+3. A phrase of the border that turns out frequent is a failure. While failures are more than
+   the proposed phrases, they join these, and a further pass counts what has become border by
+   them. Otherwise one last pass counts every phrase that was not counted and none of whose
+   parts was counted and found rare, however much longer than a failure it is.
    What was counted is then all that is frequent, since all parts of a frequent phrase are.
 
 Proposed phrases go to the tasks as a set of bits of bounded size. Two phrases may share
@@ -41,6 +43,7 @@ _WORD = np.ones(256, bool)
 _WORD[[*_BREAKS, 9, 32]] = False
 LEAST_BITS, MOST_BITS = 16, 28
 _SHORT = _U((1 << 48) - 1)
+PILE = 1 << 20  # keys that a task adds up before they are sent
 COUNTS = "lang string, phrase string, words int, key long, n long"
 
 
@@ -110,12 +113,28 @@ class Words:
             words = mixed(words * _MULT + lang_key[self.lang])
         self.one = words
         self.two = mixed(words * _MULT2)
-
-    def phrases(self, size: int, of: np.ndarray, by: np.uint64) -> np.ndarray:
-        n = max(0, len(of) - size + 1)
-        out = of[:n].copy()
-        for j in range(1, size):
-            out = out * by + of[j : n + j]
+        self._sums, self._keys = [words], [mixed(words + _U(1))]  # by size, less one
+
+    def keys(self, size: int) -> np.ndarray:
+        """The key of the phrase of ``size`` words that begins at each word, while there are so many."""
+        while len(self._keys) < size:
+            n = len(self._keys)
+            self._sums.append(self._sums[-1][:-1] * _MULT + self.one[n:])
+            self._keys.append(mixed(self._sums[-1] + _U(n + 1)))
+        return self._keys[size - 1]
+
+    def second_keys(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Other keys of the phrases at some places."""
+        if 4 * len(at) < len(self.two):
+            out = self.two[at]
+            for j in range(1, size):
+                out = out * _MULT2 + self.two[at + j]
+        else:
+            n = len(self.two) - size + 1
+            out = self.two[:n]
+            for j in range(1, size):
+                out = out * _MULT2 + self.two[j : n + j]
+            out = out[at]
         return mixed(out + _U(size))
 
     def inside(self, size: int) -> np.ndarray:
@@ -133,8 +152,8 @@ def _counted(words: Words, size: int, wanted: np.ndarray, one: np.ndarray) -> tu
     at = np.flatnonzero(wanted)
     if not len(at):
         return at, at
-    a, b = one[at], words.phrases(size, words.two, _MULT2)[at]
-    order = np.argsort(a, kind="stable")
+    a, b = one[at], words.second_keys(at, size)
+    order = np.argsort(a)
     new = a[order][1:] != a[order][:-1]
     if (~new & (b[order][1:] != b[order][:-1])).any():  # two phrases share the first of their keys
         order = np.lexsort((b, a))
@@ -150,11 +169,11 @@ def _due(words: Words, sizes: list[int], now: KeySet | None, before: KeySet | No
     proposed ``now``, unless both were so ``before``, when single words are not due either.
     """
     for size in sizes:
-        keys, due = words.phrases(size, words.one, _MULT), words.inside(size)
+        keys, due = words.keys(size), words.inside(size)
         if size == 1 and before is not None:
             continue
         if size > 1 and len(keys):
-            parts = words.phrases(size - 1, words.one, _MULT)
+            parts = words.keys(size - 1)
             held = now.holds(parts)
             due = due & held[:-1] & held[1:]
             if before is not None:
@@ -163,6 +182,37 @@ def _due(words: Words, sizes: list[int], now: KeySet | None, before: KeySet | No
         yield size, keys, due
 
 
+def _last_due(words: Words, longest: int, now: KeySet, known: KeySet) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``_due``, what the last pass counts: all that was not counted and of whose parts none was counted and is not ``known``.
+
+    Counted was each single word, and each phrase whose two parts that lack an end word are proposed ``now``.
+    """
+    maybe = counted = np.ones(len(words.one), bool)
+    for size in range(1, longest + 1):
+        keys = words.keys(size)
+        if size > 1:
+            maybe = maybe[:-1] & maybe[1:] & words.inside(size)
+            counted = counted[:-1] & counted[1:]
+            yield size, keys, maybe & ~counted
+        if size == longest or not len(keys):
+            return
+        at = np.flatnonzero(maybe & counted)
+        maybe[at] = known.holds(keys[at])
+        at = np.flatnonzero(maybe)  # whether a phrase is proposed matters where it may be frequent
+        counted = np.zeros(len(keys), bool)
+        counted[at] = now.holds(keys[at])
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Keys of several slices with the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    sums = np.add.reduceat(n[order], heads) if len(heads) else n
+    return pa.record_batch([pa.array(keys[heads].view(np.int64)), pa.array(sums.astype(np.int64))], names=["key", "n"])
+
+
 def frequent_keys(docs: DataFrame, sizes: list[int], least: int, proposed: KeySet | None) -> DataFrame:
     """(key) of 48 bits under which due phrases stand ``least`` times or more together.
 
@@ -172,35 +222,42 @@ def frequent_keys(docs: DataFrame, sizes: list[int], least: int, proposed: KeySe
     now = docs.sparkSession.sparkContext.broadcast(proposed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for piece in slices(batches, "text", 1 << 20):
             words = Words(piece.column("text"), piece.column("lang"))
             for _, keys, due in _due(words, sizes, now.value, None):
-                some, n = np.unique(keys[due] & _SHORT, return_counts=True)
-                yield pa.record_batch([pa.array(some.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+                held.append(np.unique(keys[due] & _SHORT, return_counts=True))
+            if sum(len(some) for some, _ in held) > PILE:
+                yield _added(held)
+                held = []
+        if held:
+            yield _added(held)
 
     counts = docs.select("lang", "text").mapInArrow(count, "key long, n long")
     return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def count_phrases(docs: DataFrame, sizes: list[int], proposed: KeySet | None = None, before: KeySet | None = None, among: KeySet | None = None) -> DataFrame:
-    """(lang, phrase, words, key, n) of the phrases of ``sizes`` words in (lang, text) that are due, see ``_due``.
+def count_phrases(
+    docs: DataFrame, sizes: list[int], proposed: KeySet | None = None, before: KeySet | None = None, among: KeySet | None = None, known: KeySet | None = None
+) -> DataFrame:
+    """(lang, phrase, words, key, n) of the phrases of ``sizes`` words in (lang, text) that are due, see ``_due``, or with ``known`` ``_last_due``.
 
     With ``among``, only of those whose short key it holds. Rows without phrase give the number of words
     of a language, when single words are due. A phrase has several rows.
     """
     sc = docs.sparkSession.sparkContext
-    now, old, wanted = sc.broadcast(proposed), sc.broadcast(before), sc.broadcast(among)
+    now, old, wanted, sure = sc.broadcast(proposed), sc.broadcast(before), sc.broadcast(among), sc.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", 1 << 20):
             words = Words(piece.column("text"), piece.column("lang"))
             if not len(words.one):
                 continue
-            if 1 in sizes and old.value is None:
+            if 1 in sizes and old.value is None and sure.value is None:
                 number = np.bincount(words.lang, minlength=len(words.langs))
                 none = [None] * len(number)
                 yield pa.record_batch([pa.array(words.langs, pa.string()), pa.array(none, pa.string()), pa.array([0] * len(number), pa.int32()), pa.array(none, pa.int64()), pa.array(number, pa.int64())], names=["lang", "phrase", "words", "key", "n"])
-            for size, keys, due in _due(words, sizes, now.value, old.value):
+            for size, keys, due in _due(words, sizes, now.value, old.value) if sure.value is None else _last_due(words, max(sizes), now.value, sure.value):
                 if wanted.value is not None and len(keys):
                     due = due & wanted.value.holds(mixed(keys & _SHORT))
                 at, n = _counted(words, size, due, keys)
@@ -259,7 +316,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
         counted = counted.where("phrase IS NOT NULL")
         found = counted if found is None else found.unionByName(counted)
         failed = written_once(_not_in(counted.where(F.col("words") < longest), now), "phrase-failures")
-        if failed.isEmpty():
+        number = failed.count()
+        if number and number <= levels.count():  # few: what they open is counted at once, not a length at a time
+            passes += 1
+            known = key_set(found.where(F.col("words") < longest), each=64)
+            last = _summed(count_phrases(rows, sizes, now, known=known), least)
+            found, number = found.unionByName(written_once(last, "phrase-counts")), 0
+        if not number:
             return found.select("lang", "phrase", "words", "n"), totals, passes
         levels = levels.unionByName(failed)
         now, before = key_set(levels, now.bits), now  # as many bits, so that no phrase is taken out and counted again

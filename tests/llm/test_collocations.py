@@ -1,10 +1,13 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from sievewell.llm.collocations import KeySet, collocations, count_phrases, frequent_phrases, key_set
+from sievewell.llm.collocations import KeySet, _summed, collocations, count_phrases, frequent_phrases, key_set
 
+FULL = KeySet(16, np.full(8192, 255, np.uint8))
 WORD = re.compile(r"[^\x20\x09]+")
 
 
@@ -51,6 +54,35 @@ def test_a_failing_border_is_counted_in_further_passes(spark):
     assert [tuple(r) for r in totals.collect()] == [("en", 180)]
 
 
+def test_what_few_failures_open_is_counted_in_one_pass(spark):
+    rows = [(i, "a b c d e. c d. p q r s", "en") for i in range(40)] + [(100 + i, "a b c d e f g h", "de") for i in range(60)]
+    # one long document that no sample of one in 20 need hold: all its phrases fail
+    rows += [(1000, "v w x y z. " * 30 + "w x y z v. " * 30, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for share in (2, 3, 4, 20):
+        found, _, passes = frequent_phrases(df, 30, share=share, slack=0.5)
+        assert passes <= 3
+        counts = {(r["lang"], r["phrase"]): r["n"] for r in found.collect()}
+        assert counts["en", "v w x y z"] == counts["en", "x y z v"] == 30 and counts["en", "w x y z"] == 60 and counts["de", "d e f g h"] == 60
+        assert sorted(map(tuple, collocations(df, 30, share=share, slack=0.5).collect())) == _brute([(r[2], r[1]) for r in rows], 30)
+
+
+@pytest.mark.parametrize("each", [1, 4])
+def test_the_last_pass_counts_all_that_was_not(spark, each):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(300)) for _ in range(8)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    every = count_phrases(docs, [1, 2, 3, 4, 5], FULL)
+    total = {r["phrase"]: (r["n"], r["words"], r["key"]) for r in _summed(every, 3).where("phrase IS NOT NULL").collect()}
+    # some are proposed, not always those that would be; a small set holds more than it should
+    picked = [(k,) for p, (_, w, k) in total.items() if w < 5 and rnd.randrange(each + 1)]
+    now = key_set(spark.createDataFrame(picked, "key long"), 16)
+    first = _summed(count_phrases(docs, [1, 2, 3, 4, 5], now), 3).where("phrase IS NOT NULL")
+    last = _summed(count_phrases(docs, [1, 2, 3, 4, 5], now, known=key_set(first.where("words < 5"))), 3)
+    got = [(r["phrase"], r["n"]) for r in first.unionByName(last).collect()]
+    assert len(got) == len(total) and dict(got) == {p: n for p, (n, _, _) in total.items()}
+
+
 def test_pieces_cases_and_overlaps(spark):
     rows = [(1, "X x\tx  x. x, X!x\n\x0bx", None), (2, "x x", "und"), (3, "É é é É", "fr"), (None, "x x", "fr"), (None, "x x", "fr")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
