@@ -118,3 +118,14 @@ def test_label_index_orders_by_frequency_then_name(spark):
     assert {r["label"]: r["label_index"] for r in label_index(df, "label").collect()} == want
     got = {(r["label"], r["at"]) for r in with_label_index(df, "label", "at").collect()}
     assert got == {*want.items(), (None, 200.0)}
+
+
+def test_markup_rules_run_only_over_texts_with_their_signs(spark):
+    plain = F.col("a")
+    for pattern, replacement in tx.P.MARKUP:
+        plain = F.regexp_replace(plain, pattern, replacement)
+    for text in ["no marks, at all.", "a_b_c", "2 < 3 > 1", "[x](y) *z*", "`code` t", "[**x**](y)", "un*closed", "", None]:
+        assert one(spark, tx.clean_markup(F.col("a")), text) == one(spark, plain, text)
+    # none of the rules can begin elsewhere, and none brings a sign into a text
+    assert all(re.match(tx.P.MARKUP_SIGNS, pattern.lstrip("\\")) for pattern, _ in tx.P.MARKUP)
+    assert not any(re.search(tx.P.MARKUP_SIGNS, replacement) for _, replacement in tx.P.MARKUP)
